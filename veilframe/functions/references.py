@@ -57,4 +57,4 @@ def sql_references(query: Column) -> Column:
 
 
 def is_select(query: Column) -> Column:
-    return F.startswith(F.upper(F.trim(query)), F.lit("SELECT"))
+    return F.rlike(query, F.lit(r"^\s*(?i:select)"))

@@ -139,7 +139,7 @@ def column_reason(rules: AccessRules, role: Column, tables: Column, columns: Col
 def requested_fields(fields: Column) -> Column:
     """Comma-separated field list -> trimmed names."""
     return F.when(fields.isNull(), empty(_NAMES)).otherwise(
-        F.transform(F.split(fields, ","), lambda f: F.trim(f))
+        F.transform(F.split(fields, ","), lambda f: F.btrim(f, F.lit(" \t\n\r\f\v")))
     )
 
 

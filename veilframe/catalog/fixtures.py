@@ -121,7 +121,8 @@ def _derive(spark: SparkSession, sf_dir: str, sql: str, table: str, even: bool =
     df = source(spark, sf_dir, table)
     if even:
         df = spread(df)
-    return spark.sql(sql.replace(f"FROM {table}", "FROM {given}").replace('"limit"', "limit"), given=df)
+    template = sql.replace("{", "{{").replace("}", "}}").replace('"limit"', "limit")
+    return spark.sql(template.replace(f"FROM {table}", "FROM {given}"), given=df)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -187,11 +187,10 @@ TOKENS = (
     f"FROM (SELECT *, {_HASH} AS h FROM words) w"
 )
 _WORDS_SQL = (
-    "words AS (SELECT doc_id, text, CAST(i - 1 AS BIGINT) AS idx, "
-    "CAST(coalesce(list_sum(list_transform(ws[1:i-1], lambda x: length(x) + 1)), 0) AS BIGINT) AS t_start, "
-    "CAST(coalesce(list_sum(list_transform(ws[1:i-1], lambda x: length(x) + 1)), 0) + length(ws[i]) AS BIGINT) AS t_end "
-    "FROM (SELECT doc_id, text, ws, unnest(range(1, len(ws) + 1)) AS i FROM "
-    "(SELECT doc_id, text, string_split(text, ' ') AS ws FROM documents) d) e)"
+    "words AS (SELECT doc_id, text, idx, CAST(ending - length(w) AS BIGINT) AS t_start, CAST(ending AS BIGINT) AS t_end "
+    "FROM (SELECT *, sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS ending FROM "
+    "(SELECT doc_id, text, unnest(ws) AS w, unnest(range(0, len(ws))) AS idx FROM "
+    "(SELECT doc_id, text, string_split(text, ' ') AS ws FROM documents) d) e) f)"
 )
 
 

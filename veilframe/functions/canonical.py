@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe import fixed_values as fixed
+from veilframe.functions.hashing import sql_string
 
 
 def json_string(text: Column) -> Column:
@@ -15,56 +16,71 @@ def json_string(text: Column) -> Column:
     return F.substr(wrapped, F.lit(6), F.length(wrapped) - 6)
 
 
-def json_float(value: Column) -> Column:
-    """Plain notation between 1e-4 and 1e16, else ``1.5e+20`` form."""
-    text = value.cast("string")
-    sign = F.when(value < 0, "-").otherwise("")
-    mantissa = F.regexp_extract(text, r"^-?([0-9.]+)E", 1)
-    power = F.regexp_extract(text, r"E(-?[0-9]+)$", 1).cast("int")
-    digits = F.regexp_replace(F.regexp_replace(mantissa, r"\.0$", ""), r"\.", "")
-    whole = F.rpad(digits, power + 1, "0")
-    fraction = F.when(F.length(digits) > power + 1, F.substr(digits, power + 2)).otherwise("0")
-    short = F.regexp_replace(mantissa, r"\.0$", "")
-    exponent = F.concat(F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+# The per-column texts are SQL: one expression string per row is much cheaper to build
+# than a column object per key and separator.
+
+
+def _string_sql(value: str) -> str:
+    wrapped = f"to_json(named_struct('v', {value}))"
+    return f"substr({wrapped}, 6, length({wrapped}) - 6)"
+
+
+def _float_sql(value: str) -> str:
+    """Plain notation between 1e-4 and 1e16, else the form ``1.5e+20``."""
+    shown = f"cast({value} as string)"
+    power = f"cast(regexp_extract({shown}, 'E(-?[0-9]+)$', 1) as int)"
+    mantissa = f"regexp_replace(regexp_extract({shown}, '^-?([0-9.]+)E', 1), '[.]0$', '')"
+    digits = f"replace({mantissa}, '.', '')"
+    sign = f"if({value} < 0, '-', '')"
+    whole = f"substr(rpad({digits}, {power} + 1, '0'), 1, {power} + 1)"
+    fraction = f"if(length({digits}) > {power} + 1, substr({digits}, {power} + 2), '0')"
+    exponent = f"if({power} < 0, 'e-', 'e+') || lpad(cast(abs({power}) as string), greatest(2, length(cast(abs({power}) as string))), '0')"
     return (
-        F.when(~F.contains(text, F.lit("E")), text)
-        .when((power >= 0) & (power < 16), F.concat(sign, F.substr(whole, F.lit(1), power + 1), F.lit("."), fraction))
-        .when(power == -4, F.concat(sign, F.lit("0.000"), digits))
-        .otherwise(F.concat(sign, short, F.when(power > 99, F.concat(F.lit("e+"), power.cast("string"))).otherwise(exponent)))
+        f"case when not contains({shown}, 'E') then {shown} "
+        f"when {power} between 0 and 15 then {sign} || {whole} || '.' || {fraction} "
+        f"when {power} = -4 then {sign} || '0.000' || {digits} "
+        f"else {sign} || {mantissa} || {exponent} end"
     )
 
 
-def json_value(value: Column, dtype: T.DataType) -> Column:
+def value_sql(value: str, dtype: T.DataType, depth: int = 0) -> str:
+    """SQL text of the JSON form of the SQL expression ``value``."""
     if isinstance(dtype, T.StructType):
-        body = json_object({f.name: (value[f.name], f.dataType) for f in dtype.fields})
+        body = object_sql({f.name: (f"{value}.`{f.name}`", f.dataType) for f in dtype.fields}, depth)
     elif isinstance(dtype, T.ArrayType):
-        items = F.array_join(F.transform(value, lambda x: json_value(x, dtype.elementType)), ", ")
-        body = F.concat(F.lit("["), items, F.lit("]"))
+        item = f"x{depth}"
+        body = f"'[' || array_join(transform({value}, {item} -> {value_sql(item, dtype.elementType, depth + 1)}), ', ') || ']'"
     elif isinstance(dtype, (T.BooleanType, T.IntegralType)):
-        body = value.cast("string")
+        body = f"cast({value} as string)"
     elif isinstance(dtype, (T.DoubleType, T.FloatType)):
-        body = json_float(value)
+        body = _float_sql(value)
     elif isinstance(dtype, T.BinaryType):
-        body = json_string(F.decode(value, "UTF-8"))
+        body = _string_sql(f"decode({value}, 'UTF-8')")
     elif isinstance(dtype, T.MapType):
-        body = F.to_json(value)
+        body = f"to_json({value})"
+    elif isinstance(dtype, T.NullType):
+        return "'null'"
     else:
-        body = json_string(value.cast("string"))
-    return F.coalesce(body, F.lit("null"))
+        body = _string_sql(f"cast({value} as string)")
+    return f"if({value} is null, 'null', {body})"
 
 
-def json_object(fields: dict[str, tuple[Column, T.DataType]]) -> Column:
-    parts: list[Column] = []
+def object_sql(fields: dict[str, tuple[str, T.DataType]], depth: int = 0) -> str:
+    parts = []
     for i, name in enumerate(sorted(fields)):
         value, dtype = fields[name]
         key = name.replace("\\", "\\\\").replace('"', '\\"')
-        parts += [F.lit(f'{", " if i else ""}"{key}": '), json_value(value, dtype)]
-    return F.concat(F.lit("{"), *parts, F.lit("}"))
+        parts += [sql_string(f'{", " if i else "{"}"{key}": '), value_sql(value, dtype, depth)]
+    return "concat(" + ", ".join(parts or ["'{'"]) + ", '}')"
 
 
-def row_json(schema: T.StructType, drop: tuple[str, ...] = ()) -> Column:
-    """Canonical JSON object of the top-level columns of a frame."""
-    return json_object({f.name: (F.col(f"`{f.name}`"), f.dataType) for f in schema.fields if f.name not in drop})
+def row_json(schema: T.StructType, drop: tuple[str, ...] = (), source: dict[str, str] | None = None) -> Column:
+    """Canonical JSON object of the top-level columns of a frame. ``source`` names the
+    columns that hold a field under another name."""
+    source = source or {}
+    return F.expr(
+        object_sql({f.name: (f"`{source.get(f.name, f.name)}`", f.dataType) for f in schema.fields if f.name not in drop})
+    )
 
 
 def error_json(message: Column) -> Column:

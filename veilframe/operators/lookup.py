@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.functions.arrays import bind, explode_rows
-from veilframe.functions.canonical import error_json, json_object, row_json, truncate
+from veilframe.functions.canonical import error_json, row_json, truncate
 from veilframe.operators.access import AccessRules
 
 SEARCH_LIMIT = 100
@@ -108,17 +108,10 @@ def lookup_outputs(
         ]
     )
     record = customers.withColumnRenamed("id", "customer_id")
-    named = {f.name: f.dataType for f in customers.schema.fields}
-
-    def record_json(hidden: tuple[str, ...]) -> Column:
-        return json_object(
-            {n: (F.col("customer_id" if n == "id" else n), t) for n, t in named.items() if n not in hidden}
-        )
-
     def output(hidden: tuple[str, ...]) -> Column:
         column = next(f"_a_{n}" for n, h in roles.items() if tuple(h) == hidden)
         listed = F.coalesce(F.array_join(F.transform(column, lambda a: a["j"]), ", "), F.lit(""))
-        return F.concat(F.lit('{"accounts": ['), listed, F.lit('], "customer": '), record_json(hidden), F.lit("}"))
+        return F.concat(F.lit('{"accounts": ['), listed, F.lit('], "customer": '), row_json(customers.schema, hidden, {"id": "customer_id"}), F.lit("}"))
 
     present = F.col("_found").isNotNull()
     joined = wanted.join(record.withColumn("_found", F.lit(True)), "customer_id", "left").join(texts, "customer_id", "left")

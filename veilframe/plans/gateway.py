@@ -129,7 +129,11 @@ def registry(tables: Tables, context: Context = Context()) -> dict[str, Callable
 
 
 def execute(admitted: DataFrame, tables: Tables, context: Context = Context()) -> DataFrame:
-    """Stage 4 for the distinct calls of admitted requests, with stage 5 on each result."""
+    """Stage 4 for the distinct calls of admitted requests, with stage 5 on each result.
+
+    The results are written before they are scanned: the scan expression would
+    otherwise be planned once per query of the union.
+    """
     spark = admitted.sparkSession
     runnable = admitted.filter(F.col("gate") == "run")
     outputs = spark.createDataFrame([], f"call_kind string, {OUTPUT_SCHEMA}")
@@ -137,7 +141,7 @@ def execute(admitted: DataFrame, tables: Tables, context: Context = Context()) -
         calls = runnable.filter(F.col("call_kind") == kind).select("role", "call_key", "name", "email", "limit")
         outputs = outputs.unionByName(run(calls).withColumn("call_kind", F.lit(kind)))
     spans = above_threshold(context.detector(F.col("output")), context.threshold)
-    return outputs.withColumn("outbound_detections", spans)
+    return durable(outputs, "outputs").withColumn("outbound_detections", spans)
 
 
 def finish(admitted: DataFrame, outputs: DataFrame, context: Context = Context()) -> DataFrame:
@@ -351,7 +355,7 @@ def masked_rows(admitted: DataFrame, tables: Tables, context: Context = Context(
     """Result rows of the distinct admitted queries, each scanned and masked."""
     calls = admitted.filter((F.col("gate") == "run") & (F.col("call_kind") == "sql")).select("role", "call_key")
     return (
-        query_rows(calls, tables, context.rules)
+        durable(query_rows(calls, tables, context.rules), "result-rows")
         .withColumn("detections", above_threshold(context.detector(F.col("row_json")), context.threshold))
         .withColumn(
             "sanitized",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from veilframe import schemas
 
@@ -13,7 +14,8 @@ def read_log(spark: SparkSession, path: str, schema: str = schemas.AUDIT) -> Dat
     """All records of a JSON-lines log. A missing log is empty, blank lines are skipped,
     a malformed line fails the read."""
     try:
-        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+        stored = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+        return stored.select(*StructType.fromDDL(schema).names)  # without partition columns
     except AnalysisException as problem:
         if problem.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], schema)

@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.errors import AnalysisException, ParseException
@@ -116,7 +117,9 @@ def test_nested_lookup_pages_a_large_customer(spark):
     ]
 
 
-def test_lookup_outputs(spark, bank):
+@pytest.mark.parametrize("rows", [20_000, 0])
+def test_lookup_outputs(spark, bank, monkeypatch, rows):
+    monkeypatch.setattr(lookup, "_BROADCAST_ROWS", rows)
     people, held = bank["customers"](spark), bank["accounts"](spark)
     calls = spark.createDataFrame([("analyst", "7"), ("compliance_officer", "7"), ("analyst", "999"), ("analyst", None)], "role string, call_key string")
     rows = {(r.role, r.call_key): r for r in lookup.lookup_outputs(calls, people, held, 4096).collect()}
@@ -129,7 +132,9 @@ def test_lookup_outputs(spark, bank):
     assert rows["analyst", None].error == "ValueError: customer_id is required for customer_lookup"
 
 
-def test_search_equals_scan(spark):
+@pytest.mark.parametrize("rows", [20_000, 0])
+def test_search_equals_scan(spark, monkeypatch, rows):
+    monkeypatch.setattr(lookup, "_BROADCAST_ROWS", rows)
     people = [(i, f"Name{i % 7}", f"Last_{i % 5}%", f"U{i}@Mail.org") for i in range(400)] + [(900, None, "Ünal", None), (901, "É", "x", "q@q.q")]
     customers = spark.createDataFrame(people, "id long, first_name string, last_name string, email string")
     asked = [
@@ -158,3 +163,22 @@ def test_drop_restricted(spark):
     df = spark.createDataFrame([(1, "s", [(1, "n")])], "id int, ssn string, accounts array<struct<id:int,account_number:string>>")
     out = lookup.drop_restricted(df, ("ssn", "account_number"), "accounts")
     assert out.columns == ["id", "accounts"] and out.first().accounts[0].asDict() == {"id": 1}
+
+
+def test_large_customer_does_not_meet_in_one_task(spark, monkeypatch):
+    """The ranking filter runs ahead of the shuffle of accounts, on both paths."""
+    customers = spark.range(5).selectExpr("id", "'e' as email")
+    accounts = spark.range(2000).selectExpr("id", "if(id % 3 = 0, 1, id % 5) as customer_id", "id / 2 as balance")
+    calls = spark.createDataFrame([("analyst", "1"), ("analyst", "4")], "role string, call_key string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for rows in (20_000, 0):
+            monkeypatch.setattr(lookup, "_BROADCAST_ROWS", rows)
+            out = lookup.lookup_outputs(calls, customers, accounts, 4096)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "row_number(), " in plan and "Partial" in plan.split("WindowGroupLimit", 2)[2].split("\n")[0]
+            expected = [r.id for r in accounts.filter("customer_id = 1").orderBy("id").limit(5).collect()]
+            text = next(r.output for r in out.collect() if r.call_key == "1")
+            assert text.endswith("[truncated]") and [int(x) for x in re.findall(r'"id": (\d+)', text)][:5] == expected
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

@@ -11,7 +11,7 @@ from veilframe.functions.arrays import explode_rows
 from veilframe.functions.spans import detect, detect_category, safe_spans
 from veilframe.operators import tokens
 from veilframe.plans import corpus
-from veilframe.sources.storage import spread
+from veilframe.sources.storage import durable, spread
 
 QUERIES, ORACLES = {}, {}
 
@@ -219,7 +219,8 @@ ORACLES["bioes_labels"] = (
 
 
 def bioes_spans(spark: SparkSession, sf: str) -> DataFrame:
-    spans = tokens.decode_bioes(token_table(spark, sf), "doc_id", "idx", "label", "tok_start", "tok_end", "prob")
+    stored = durable(token_table(spark, sf).drop("text"), "tokens")
+    spans = tokens.decode_bioes(stored, "doc_id", "idx", "label", "tok_start", "tok_end", "prob")
     docs = fixtures.source(spark, sf, "documents").select("doc_id", "text")
     return tokens.with_span_text(spans, docs, "doc_id", "text").select(
         "doc_id", "category", F.col("start").alias("span_start"), F.col("end").alias("span_end"),

@@ -12,6 +12,7 @@ from veilframe.functions.canonical import row_json, truncate
 from veilframe.operators import governed, lookup
 from veilframe.operators.access import AccessRules
 from veilframe.plans import evaluation, gateway
+from veilframe.sources.storage import spread
 
 
 QUERIES, ORACLES = {}, {}
@@ -184,7 +185,7 @@ def customer_search(spark: SparkSession, sf: str) -> DataFrame:
     searches = r.select(
         F.to_json(F.struct("name", "email", "limit")).alias("search_key"), "name", "email", "limit"
     ).distinct()
-    customers = fixtures.bank(sf)["customers"](spark)
+    customers = spread(fixtures.bank(sf)["customers"](spark))
     found = lookup.search_customers(searches, customers)
     asked = searches.withColumnRenamed("email", "asked")
     return found.select("search_key", "position", "id").join(asked, "search_key").select(

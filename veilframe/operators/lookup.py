@@ -12,6 +12,7 @@ from veilframe.operators.access import AccessRules
 
 SEARCH_LIMIT = 100
 _SALTS = 16
+_BROADCAST_ROWS = 20_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,16 +39,20 @@ def nested_lookup(
     ever holds all accounts of a customer with very many of them.
     """
     wanted = ids.select(F.col("customer_id")).distinct()
-    owned = accounts.join(wanted, "customer_id", "left_semi")
-    sizes = owned.groupBy("customer_id").agg(F.ceil(F.count("*") / page_size).cast("int").alias("pages"))
+    # counted before any join, so that counts are reduced before they are shuffled
+    sizes = (
+        accounts.groupBy("customer_id").agg(F.ceil(F.count("*") / page_size).cast("int").alias("pages"))
+        .join(wanted, "customer_id")
+    )
+    by_id = lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)
+    # the explicit repartition lets adaptive execution split a large customer in the join
     paged = (
-        owned.select("customer_id", F.struct(*[F.col(c) for c in accounts.columns]).alias("account"))
-        .join(sizes.filter("pages > 1"), "customer_id", "left")
-        .withColumn(
-            "page", F.coalesce(F.pmod(F.xxhash64("account.id"), F.col("pages")).cast("int"), F.lit(0))
-        )
+        accounts.select("customer_id", F.struct(*[F.col(c) for c in accounts.columns]).alias("account"))
+        .join(sizes, "customer_id")
+        .withColumn("page", F.pmod(F.xxhash64("account.id"), F.col("pages")).cast("int"))
+        .repartition("customer_id", "page")
         .groupBy("customer_id", "page")
-        .agg(F.array_sort(F.collect_list("account"), lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)).alias("accounts"))
+        .agg(F.array_sort(F.collect_list("account"), by_id).alias("accounts"))
     )
     record = customers.select(
         F.col("id").alias("customer_id"), F.struct(*[F.col(c) for c in customers.columns]).alias("customer")
@@ -63,6 +68,11 @@ def nested_lookup(
     )
 
 
+def _at_most(df: DataFrame, rows: int) -> bool:
+    """Whether a frame has at most ``rows`` rows; reads no more than needed to tell."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def _not_found(customer_id: Column) -> Column:
     return F.concat(
         F.lit('API error: 404 - {"detail":"Customer '), customer_id.cast("string"), F.lit(' not found"}')
@@ -95,11 +105,15 @@ def lookup_outputs(
     shortest = len(", ".join(f'"{c}": 0' for c in accounts.columns if c not in {f for r in rules.api_restricted.values() for f in r})) + 4
     keep = min(max_chars // shortest + 2, 1000)
     wanted = calls.select("role", "call_key", F.col("call_key").try_cast("long").alias("customer_id")).distinct()
-    first = (
-        accounts.join(wanted.select("customer_id").distinct(), "customer_id", "left_semi")
-        .withColumn("_n", F.row_number().over(Window.partitionBy("customer_id").orderBy("id")))
-        .filter(F.col("_n") <= keep)
-    )
+    ids = wanted.select("customer_id").filter("customer_id is not null").distinct()
+    few = _at_most(ids, _BROADCAST_ROWS)
+    # few ids: keep their accounts first, by a broadcast of checked size. Many ids: rank
+    # first. Either way the ranking filter runs ahead of the only shuffle of accounts.
+    held = accounts.join(F.broadcast(ids), "customer_id", "left_semi") if few else accounts
+    first = held.withColumn(
+        "_n", F.row_number().over(Window.partitionBy("customer_id").orderBy("id"))
+    ).filter(F.col("_n") <= keep)
+    first = first if few else first.join(ids.hint("merge"), "customer_id")
     roles = {"": (), **rules.api_restricted}
     texts = first.groupBy("customer_id").agg(
         *[
@@ -114,7 +128,9 @@ def lookup_outputs(
         return F.concat(F.lit('{"accounts": ['), listed, F.lit('], "customer": '), row_json(customers.schema, hidden, {"id": "customer_id"}), F.lit("}"))
 
     present = F.col("_found").isNotNull()
-    joined = wanted.join(record.withColumn("_found", F.lit(True)), "customer_id", "left").join(texts, "customer_id", "left")
+    joined = wanted.join(record.withColumn("_found", F.lit(True)), "customer_id", "left")
+    # result texts are wider than any estimate of them: never broadcast
+    joined = joined.join(texts.hint("merge"), "customer_id", "left")
     return joined.select(
         "role",
         "call_key",
@@ -153,8 +169,9 @@ def search_customers(
 
     A containment match becomes an equi-join: each search probes with its rarest
     substring of up to three characters, and only customers holding that substring are
-    compared. Probes are salted, since a common substring can occur in any share of
-    the customers. Returns ``(search_key, position, <customer columns>)``.
+    compared. A set of searches of checked size is broadcast; a larger one is joined by
+    shuffle with salted probes, since a substring can occur in any share of the
+    customers. Returns ``(search_key, position, <customer columns>)``.
     """
     asked = searches.select(
         "search_key",
@@ -166,48 +183,59 @@ def search_customers(
     kind = F.when(F.col("_name").isNotNull(), "n").otherwise("e")
     probes = explode_rows(
         asked.filter(term.isNotNull()).select(
-            "*", kind.alias("_kind"), bind(term, lambda t: _grams(t, F.least(F.length(t), F.lit(3)))).alias("_all")
+            "*", bind(term, lambda t: _grams(t, F.least(F.length(t), F.lit(3)))).alias("_all"), kind.alias("_kind")
         ),
-        F.col("_all"), "_gram",
-    ).drop("_all")
+        F.col("_all"), "_g",
+    ).withColumn("_gram", F.concat("_kind", "_g")).drop("_all", "_kind", "_g")
 
+    names = [f"_n{i}" for i in range(len(name_columns))]
     people = customers.select(
         "id",
-        *[ascii_lower(F.col(c)).alias(f"_n{i}") for i, c in enumerate(name_columns)],
+        *[ascii_lower(F.col(c)).alias(n) for c, n in zip(name_columns, names)],
         ascii_lower(F.col(email_column)).alias("_mail"),
     )
 
-    def tagged(text: Column, tag: str) -> Column:
-        sized = F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: _grams(text, n)))
-        return F.transform(sized, lambda g: F.struct(F.lit(tag).alias("kind"), g.alias("gram")))
+    def tagged(text: Column, tag: str) -> list[Column]:
+        return [
+            F.transform(_grams(F.coalesce(text, F.lit("")), F.lit(n)), lambda g: F.concat(F.lit(tag), g))
+            for n in (1, 2, 3)
+        ]
 
     every = F.array_distinct(
-        F.concat(*[tagged(F.coalesce(F.col(f"_n{i}"), F.lit("")), "n") for i in range(len(name_columns))],
-                 tagged(F.coalesce(F.col("_mail"), F.lit("")), "e"))
+        F.concat(*[c for n in names for c in tagged(F.col(n), "n")], *tagged(F.col("_mail"), "e"))
     )
-    grams = explode_rows(people, every, "_g").select(
-        "id", *[f"_n{i}" for i in range(len(name_columns))], "_mail",
-        F.col("_g.kind").alias("_kind"), F.col("_g.gram").alias("_gram"),
-        F.pmod(F.xxhash64("id"), F.lit(_SALTS)).cast("int").alias("_salt"),
+
+    def grams_of(some: DataFrame) -> DataFrame:
+        return explode_rows(some.withColumn("_all", every), F.col("_all"), "_gram").drop("_all")
+
+    salt = F.pmod(F.xxhash64("id"), F.lit(_SALTS)).cast("int")
+    few = _at_most(asked, _BROADCAST_ROWS)
+    # how common a substring is only steers the choice of the probe, so a slice will do
+    used = probes.select("_gram").distinct()
+    counts = (
+        grams_of(people.filter(salt == 0)).select("_gram")
+        .join(F.broadcast(used) if few else used.hint("merge"), "_gram", "left_semi")
+        .groupBy("_gram").count()
     )
-    used = probes.select("_kind", "_gram").distinct()
-    counts = grams.select("_kind", "_gram").join(used, ["_kind", "_gram"], "left_semi").groupBy("_kind", "_gram").count()
     rarest = (
-        probes.join(counts, ["_kind", "_gram"], "left")
-        .groupBy("search_key", "_name", "_email", "_limit", "_kind")
+        probes.join(counts, "_gram", "left")
+        .groupBy("search_key", "_name", "_email", "_limit")
         .agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("c"), F.col("_gram").alias("g"))).alias("_best"))
-        .select("search_key", "_name", "_email", "_limit", "_kind", F.col("_best.g").alias("_gram"))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        .select("search_key", "_name", "_email", "_limit", F.col("_best.g").alias("_gram"))
     )
+    if few:
+        candidates = grams_of(people).join(F.broadcast(rarest), "_gram")
+    else:
+        salted = rarest.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        candidates = grams_of(people).withColumn("_salt", salt).join(salted.hint("merge"), ["_gram", "_salt"])
     named = F.lit(False)
-    for i in range(len(name_columns)):
-        named = named | F.contains(F.col(f"_n{i}"), F.col("_name"))
+    for n in names:
+        named = named | F.coalesce(F.contains(F.col(n), F.col("_name")), F.lit(False))
     matches = F.coalesce(F.col("_name").isNull() | named, F.lit(False)) & F.coalesce(
         F.col("_email").isNull() | F.contains(F.col("_mail"), F.col("_email")), F.lit(False)
     )
     ranked = (
-        grams.join(rarest, ["_kind", "_gram", "_salt"])
-        .filter(matches)
+        candidates.filter(matches)
         .select("search_key", "id", "_limit")
         .withColumn("position", F.row_number().over(Window.partitionBy("search_key").orderBy("id")))
         .filter(F.col("position") <= SEARCH_LIMIT)
@@ -241,7 +269,7 @@ def search_outputs(
 
     missing = F.coalesce(F.col("name"), F.lit("")).eqNullSafe("") & F.coalesce(F.col("email"), F.lit("")).eqNullSafe("")
     refused = F.lit('API error: 400 - {"detail":"At least one search parameter (name or email) is required"}')
-    return asked.join(texts, "search_key", "left").select(
+    return asked.join(texts.hint("merge"), "search_key", "left").select(
         "role", "call_key",
         truncate(F.when(missing, error_json(refused)).otherwise(_by_role(rules, F.col("role"), output)), max_chars).alias("output"),
         F.lit(None).cast("string").alias("error"),

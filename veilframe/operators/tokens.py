@@ -14,15 +14,18 @@ _WORD = "array<struct<word:string,t_start:int,t_end:int>>"
 
 def parse_label(label: Column) -> Column:
     """``struct<prefix,category>``; anything malformed or unknown is ``(O, null)``."""
-    prefix = F.substring_index(label, "-", 1)
-    category = F.substr(label, F.length(prefix) + 2)
-    valid = (
-        F.contains(label, F.lit("-")) & prefix.isin(*fixed.BIOES_PREFIXES) & category.isin(*fixed.CATEGORIES)
-    )
-    valid = F.coalesce(valid, F.lit(False))
-    return F.struct(
-        F.when(valid, prefix).otherwise("O").alias("prefix"), F.when(valid, category).alias("category")
-    )
+
+    def parse(text: Column) -> Column:
+        prefix, category = F.substring(text, 1, 1), F.substr(text, F.lit(3))
+        valid = (
+            (F.substring(text, 2, 1) == "-") & prefix.isin(*fixed.BIOES_PREFIXES) & category.isin(*fixed.CATEGORIES)
+        )
+        valid = F.coalesce(valid, F.lit(False))
+        return F.struct(
+            F.when(valid, prefix).otherwise("O").alias("prefix"), F.when(valid, category).alias("category")
+        )
+
+    return bind(label, parse)
 
 
 def score_tokens(df: DataFrame, logits: str, labels: tuple[str, ...] = BIOES_LABELS) -> DataFrame:
@@ -66,35 +69,43 @@ def decode_bioes(
     skipped. A span is dropped if its first or last token has no offsets or if its
     first token has the offsets (0, 0) of a special token. Confidence is the mean.
 
-    Islands over one ordering per document: one shuffle and one sort serve the window
-    and the grouping. A document is one model input and so has a bounded token count
-    (the model reads up to 128 000), whatever the number of documents.
+    ``idx`` counts the tokens of a document without gaps. Only labelled tokens are
+    shuffled: a jump in ``idx`` stands for the unlabelled ones between them. One shuffle
+    and one sort serve the window and the grouping. A document is one model input and
+    so has a bounded token count (the model reads up to 128 000).
     """
     order = Window.partitionBy(doc).orderBy(idx)
-    tagged = tokens.select(
-        doc, idx, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(prob).alias("_p"),
-        parse_label(F.col(label)).alias("_l"),
+    labelled = bind(
+        parse_label(F.col(label)), lambda l: F.when(l["category"].isNotNull() & (l["prefix"] != "O"), l)
+    )
+    tagged = (
+        tokens.select(
+            doc, idx, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(prob).alias("_p"), labelled.alias("_l")
+        )
+        .filter(F.col("_l").isNotNull())
+        .select("*", F.col("_l.prefix").alias("_prefix"), F.col("_l.category").alias("_category"))
+        .drop("_l")
     )
-    before, here = F.lag("_l").over(order), F.col("_l")
+    before = {c: F.lag(c).over(order) for c in (idx, "_prefix", "_category")}
     opens = (
-        here["prefix"].isin("S", "B", "O")
-        | before.isNull()
-        | before["prefix"].isin("S", "E", "O")
-        | ~here["category"].eqNullSafe(before["category"])
+        F.col("_prefix").isin("S", "B")
+        | before[idx].isNull()
+        | (before[idx] != F.col(idx) - 1)
+        | before["_prefix"].isin("S", "E")
+        | (before["_category"] != F.col("_category"))
     )
     islands = tagged.withColumn("_open", F.when(opens, 1).otherwise(0)).withColumn(
         "_island", F.sum("_open").over(order.rowsBetween(Window.unboundedPreceding, 0))
     )
-    first = F.min_by(F.struct("_l", "_s", "_e"), idx)
+    first = F.min_by(F.struct("_prefix", "_category", "_s", "_e"), idx)
     return (
-        islands.filter(here["category"].isNotNull())
-        .groupBy(doc, "_island")
+        islands.groupBy(doc, "_island")
         .agg(first.alias("_first"), F.max_by(F.struct("_e"), idx).alias("_last"), F.avg("_p").alias("confidence"))
-        .filter(F.col("_first._l.prefix").isin("S", "B"))
+        .filter(F.col("_first._prefix").isin("S", "B"))
         .filter(F.col("_first._s").isNotNull() & F.col("_first._e").isNotNull() & F.col("_last._e").isNotNull())
         .filter(~((F.col("_first._s") == 0) & (F.col("_first._e") == 0)))
         .select(
-            doc, F.col("_first._l.category").alias("category"), F.col("_first._s").alias("start"),
+            doc, F.col("_first._category").alias("category"), F.col("_first._s").alias("start"),
             F.col("_last._e").alias("end"), "confidence",
         )
     )

@@ -134,4 +134,5 @@ def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     for name, df in tables.items():
         one = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows")
         counts = one if counts is None else counts.unionByName(one)
-    return counts.unionByName(counts.agg(F.sum("rows").alias("rows")).select(F.lit("total").alias("name"), "rows"))
+    totals = counts.rollup("name").agg(F.sum("rows").alias("rows"))
+    return totals.select(F.coalesce("name", F.lit("total")).alias("name"), "rows")

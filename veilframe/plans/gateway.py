@@ -24,7 +24,7 @@ from veilframe.functions.spans import SPAN_TYPE, above_threshold, detect, safe_s
 from veilframe.operators.access import AccessRules, denial_text, rbac_reason
 from veilframe.operators.governed import OUTPUT_SCHEMA, Tables, query_outputs, query_rows
 from veilframe.operators.lookup import lookup_outputs, search_outputs
-from veilframe.sources.storage import durable
+from veilframe.sources.storage import durable, spread
 
 INBOUND_REFUSED = "Inbound policy denied or blocked the request"
 REVIEW_NEEDED = "Human review required (async backend cannot wait)"
@@ -123,7 +123,7 @@ def registry(tables: Tables, context: Context = Context()) -> dict[str, Callable
             calls, table(calls, "customers"), table(calls, "accounts"), context.max_output_chars, context.rules
         ),
         "search": lambda calls: search_outputs(
-            calls, table(calls, "customers"), context.max_output_chars, context.rules
+            calls, spread(table(calls, "customers")), context.max_output_chars, context.rules
         ),
     }
 

@@ -115,6 +115,25 @@ def test_inbound_review_stops_and_vault_is_deterministic(spark, bank):
     assert runs[0] == runs[1]
 
 
+def test_reviewed_requests_resume(spark, bank):
+    rules = {("inbound", "private_email"): ("review", "r")}
+    context = gateway.Context(policies={n: Policy(n, f"{n}_x", rules) for n in BUNDLED})
+    query = "SELECT id FROM customers WHERE id = 1 OR email = 'a@b.com'"
+    admitted = gateway.admit(frame(spark, [request(i, "analyst", "sql_query", query) for i in range(5)]), context)
+    outcomes = spark.createDataFrame(
+        [("0", "reviewed", "allow", "fine"), ("1", "reviewed", "block", "no"), ("2", "timeout", "error", "t"), ("3", "cancelled", "error", "t")],
+        "request_id string, outcome string, action string, reason string",
+    )
+    resumed = gateway.resume(admitted, outcomes)
+    log = gateway.finish(resumed, gateway.execute(resumed, bank, context), context)
+    got = {r.request_id: r for r in log.collect()}
+    assert {k: r.status for k, r in got.items()} == {"0": "success", "1": "blocked", "2": "error", "3": "error"}
+    assert got["0"].response == '[{"id": 1}]' and [d.action for d in got["0"].decisions] == ["human_review", "allow", "allow"]
+    assert got["1"].final_action == "block" and json.loads(got["1"].response) == {"error": gateway.INBOUND_REFUSED}
+    assert got["2"].error == gateway.REVIEW_ENDED
+    assert gateway.audit_rows(log, F.col("ts")).count() == 4
+
+
 def test_golden_evaluation(spark, bank):
     cases = frame(spark, [request(i, role, "sql_query", q) for i, (role, q, *_) in enumerate(GOLDEN)]).withColumn("case_id", F.col("request_id"))
     expected = spark.createDataFrame(

@@ -13,7 +13,7 @@ from veilframe.functions.hashing import sql_string
 
 def json_string(text: Column) -> Column:
     wrapped = F.to_json(F.struct(text.alias("v")))
-    return F.substr(wrapped, F.lit(6), F.length(wrapped) - 6)
+    return F.when(text.isNotNull(), F.substr(wrapped, F.lit(6), F.length(wrapped) - 6))
 
 
 # The per-column texts are SQL: one expression string per row is much cheaper to build

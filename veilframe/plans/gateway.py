@@ -28,6 +28,11 @@ from veilframe.sources.storage import durable, spread
 
 INBOUND_REFUSED = "Inbound policy denied or blocked the request"
 REVIEW_NEEDED = "Human review required (async backend cannot wait)"
+REVIEW_ENDED = "Request cancelled or human review timeout"
+_DECISION = (
+    "struct<action:string,reason:string,triggered_rules:array<string>,sanitized_text:string,"
+    "has_review_flag:boolean,review_queue_id:string,categories:array<string>>"
+)
 
 
 @dataclass(frozen=True)
@@ -94,6 +99,7 @@ def admit(requests: DataFrame, context: Context = Context(), policy: Column | No
             ),
         )
         .withColumn("inbound_decision", F.when(granted, pipeline_decision(F.col("inbound"), "inbound")))
+        .withColumn("review_decision", F.lit(None).cast(_DECISION))
         .withColumn(
             "gate",
             F.when(~granted, "rbac_denied")
@@ -111,6 +117,34 @@ def admit(requests: DataFrame, context: Context = Context(), policy: Column | No
     )
 
 
+def resume(admitted: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Held requests with what became of their review: ``(request_id, outcome, action,
+    reason)``. The reviewer's decision takes the place of the inbound one: unless it
+    denies, the request runs as it was asked. A cancel or timeout ends it in an error.
+    """
+    held = admitted.filter(F.col("gate") == "review_queued")
+    joined = held.drop("review_decision").join(
+        outcomes.select("request_id", "outcome", F.col("action").alias("_action"), F.col("reason").alias("_reason")),
+        "request_id",
+    )
+    reviewed = F.col("outcome") == "reviewed"
+    decision = F.struct(
+        F.col("_action").alias("action"), F.col("_reason").alias("reason"),
+        F.array(F.lit("human_review")).alias("triggered_rules"), F.lit(None).cast("string").alias("sanitized_text"),
+        F.lit(False).alias("has_review_flag"), F.lit(None).cast("string").alias("review_queue_id"),
+        empty("array<string>").alias("categories"),
+    )
+    return (
+        joined.withColumn("review_decision", F.when(reviewed, decision))
+        .withColumn(
+            "gate",
+            F.when(~reviewed, "error").when(F.col("_action").isin("block", "deny"), "blocked").otherwise("run"),
+        )
+        .withColumn("call_key", F.when(F.col("call_kind") == "sql", F.col("query")).otherwise(F.col("call_key")))
+        .drop("outcome", "_action", "_reason")
+    )
+
+
 def registry(tables: Tables, context: Context = Context()) -> dict[str, Callable[[DataFrame], DataFrame]]:
     """Call kind -> function from distinct calls to ``(role, call_key, output, error)``."""
 
@@ -172,6 +206,7 @@ def finish(admitted: DataFrame, outputs: DataFrame, context: Context = Context()
         F.when(F.col("gate") == "rbac_denied", denial)
         .when(F.col("gate") == "blocked", INBOUND_REFUSED)
         .when(F.col("gate") == "review_queued", REVIEW_NEEDED)
+        .when(F.col("gate") == "error", REVIEW_ENDED)
         .when(~ran, F.coalesce(F.col("run_error"), F.concat(F.lit("ValueError: Unknown tool: "), F.col("tool_name"))))
     )
     denied_decision = F.struct(
@@ -184,7 +219,7 @@ def finish(admitted: DataFrame, outputs: DataFrame, context: Context = Context()
         empty("array<string>").alias("categories"),
     )
     decisions = F.when(F.col("gate") == "rbac_denied", F.array(denied_decision)).otherwise(
-        F.filter(F.array("inbound_decision", "outbound_decision"), lambda d: d.isNotNull())
+        F.filter(F.array("inbound_decision", "review_decision", "outbound_decision"), lambda d: d.isNotNull())
     )
     return (
         joined.withColumnRenamed("error", "run_error")
@@ -211,7 +246,10 @@ def _response() -> Column:
     last = F.element_at(F.col("decisions"), -1)["sanitized_text"]
     violation = F.coalesce(F.col("outbound.violation"), F.col("inbound.violation"))
     return (
-        F.when(F.col("status") == "blocked", error_json(violation_text(violation)))
+        F.when(
+            F.col("status") == "blocked",
+            F.coalesce(error_json(violation_text(violation)), error_json(F.col("error"))),
+        )
         .when(last.isNotNull() & (last != ""), last)
         .when(F.col("error").isNotNull(), error_json(F.col("error")))
         .otherwise(F.coalesce(last, F.lit("")))

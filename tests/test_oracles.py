@@ -21,7 +21,7 @@ def test_every_query_has_a_twin():
 def test_query(spark, sf, duck, name):
     problem, rows = compare.differences(spark, sf, name, QUERIES[name], ORACLES[name], duck)
     assert problem is None
-    assert rows > 0 or name == "detect_conversations"
+    assert rows > 0
 
 
 def test_entry(spark):

@@ -51,9 +51,9 @@ ORACLES["detect_documents"] = (
 )
 
 
-def _detect_raw(table: str, keys: tuple[str, ...], text: str):
+def _detect_in(table, keys: tuple[str, ...], text: str):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        rows = corpus.detect_corpus(spread(fixtures.source(spark, sf, table)), text)
+        rows = corpus.detect_corpus(table(spark, sf), text)
         return corpus.span_rows(rows, *keys).select(
             *keys, "category", F.col("start").alias("span_start"), F.col("end").alias("span_end"),
             F.sha2("text", 256).alias("span_hash"),
@@ -62,14 +62,14 @@ def _detect_raw(table: str, keys: tuple[str, ...], text: str):
     return run
 
 
-QUERIES["detect_pages"] = _detect_raw("pages", ("page_id",), "html")
+QUERIES["detect_pages"] = _detect_in(fixtures.pages, ("page_id",), "html")
 ORACLES["detect_pages"] = (
-    f"WITH RECURSIVE src AS (SELECT page_id AS k, html AS text FROM pages), {S.spans('src')} SELECT k AS page_id, "
+    f"WITH RECURSIVE src AS (SELECT page_id AS k, html AS text FROM ({fixtures.PAGES}) p), {S.spans('src')} SELECT k AS page_id, "
     "category, s AS span_start, e AS span_end, sha256(span_text) AS span_hash FROM spans"
 )
-QUERIES["detect_conversations"] = _detect_raw("conversations", ("conv_id", "turn"), "text")
+QUERIES["detect_conversations"] = _detect_in(fixtures.conversations, ("conv_id", "turn"), "text")
 ORACLES["detect_conversations"] = (
-    f"WITH RECURSIVE src AS (SELECT conv_id * 100000 + turn AS k, text FROM conversations), {S.spans('src')} "
+    f"WITH RECURSIVE src AS (SELECT conv_id * 100000 + turn AS k, text FROM ({fixtures.CONVERSATIONS}) c), {S.spans('src')} "
     "SELECT k // 100000 AS conv_id, k % 100000 AS turn, category, s AS span_start, e AS span_end, "
     "sha256(span_text) AS span_hash FROM spans"
 )

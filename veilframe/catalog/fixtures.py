@@ -31,6 +31,9 @@ SUFFIX = """CASE doc_id % 7 WHEN 0 THEN ' SSN 123-45-6789' WHEN 1 THEN ' Please
 
 DOCUMENTS = f"SELECT doc_id, lang, source, text || {SUFFIX} AS text FROM documents"
 
+CONVERSATIONS = f"SELECT conv_id, turn, text || {SUFFIX.replace('doc_id', '(conv_id + turn)')} AS text FROM conversations"
+PAGES = f"SELECT page_id, html || {SUFFIX.replace('doc_id', 'page_id')} AS html FROM pages"
+
 CUSTOMERS = f"""SELECT id, first_name, last_name,
  lower(first_name) || '.' || lower(last_name) || CAST(id AS STRING) || '@example.com' AS email,
  '555-' || {_pad('100 + id % 900', 3)} || '-' || {_pad('id % 10000', 4)} AS phone,
@@ -129,6 +132,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derive(spark, sf_dir, DOCUMENTS, "documents", even=True)
 
 
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derive(spark, sf_dir, CONVERSATIONS, "conversations", even=True)
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derive(spark, sf_dir, PAGES, "pages", even=True)
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derive(spark, sf_dir, REQUESTS, "events", even=True)
 

@@ -215,16 +215,17 @@ ORACLES["pseudonym_groups"] = (
 
 
 def pseudonym_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Accounts that share a number, found through its pseudonym alone."""
-    accounts = fixtures.bank(sf)["accounts"](spark)
-    masked = accounts.select("id", hashing.sha256_short(F.col("account_number")).alias("token"))
+    """Customers who share a name, found through its pseudonym alone."""
+    customers = fixtures.bank(sf)["customers"](spark)
+    name = F.concat_ws(" ", "first_name", "last_name")
+    masked = customers.select("id", hashing.sha256_short(name).alias("token"))
     shared = masked.groupBy("token").agg(F.count("*").alias("holders")).filter("holders > 1")
     return masked.join(shared, "token").select("id", "token", "holders")
 
 
 QUERIES["pseudonym_join"] = pseudonym_join
 ORACLES["pseudonym_join"] = (
-    f"WITH accounts AS ({fixtures.ACCOUNTS}), masked AS (SELECT id, substr(sha256(account_number), 1, 8) AS token FROM accounts), "
+    f"WITH customers AS ({fixtures.CUSTOMERS}), masked AS (SELECT id, substr(sha256(first_name || ' ' || last_name), 1, 8) AS token FROM customers), "
     "shared AS (SELECT token, count(*) AS holders FROM masked GROUP BY 1 HAVING count(*) > 1) "
     "SELECT id, token, holders FROM masked JOIN shared USING (token)"
 )

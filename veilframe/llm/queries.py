@@ -27,6 +27,18 @@ def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_documents(spark, sf_dir))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilframe.llm.substring_dedup import repeated_passages
+
+    return repeated_passages(_documents(spark, sf_dir)).drop("text_hash", "spans")
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilframe.llm.jaccard_join import similar_sets
+
+    return similar_sets(_documents(spark, sf_dir))
+
+
 def op8_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilframe.llm.wavelet import store_and_read
 
@@ -39,5 +51,8 @@ def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {q.__name__: q for q in (op2_token_counts, op3_language_model, op8_wavelet_shards, op10_mixture_packing)}
+_FUNCTIONS = (
+    op2_token_counts, op3_language_model, op6_substring_dedup, op8_wavelet_shards, op9_jaccard_join, op10_mixture_packing,
+)
+QUERIES = {q.__name__: q for q in _FUNCTIONS}
 ORACLES: dict[str, str] = {}

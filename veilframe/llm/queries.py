@@ -15,6 +15,16 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilframe.llm.embedding_dedup import near_vectors
+
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilframe.llm.token_counts import token_counts
 
@@ -27,6 +37,18 @@ def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_documents(spark, sf_dir))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilframe.llm.toxicity import score_toxicity
+
+    return score_toxicity(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilframe.llm.quality import score_quality
+
+    return score_quality(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilframe.llm.substring_dedup import repeated_passages
 
@@ -52,7 +74,7 @@ def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FUNCTIONS = (
-    op2_token_counts, op3_language_model, op6_substring_dedup, op8_wavelet_shards, op9_jaccard_join, op10_mixture_packing,
+    op1_embedding_dedup, op2_token_counts, op3_language_model, op4_toxicity, op6_substring_dedup, op7_quality, op8_wavelet_shards, op9_jaccard_join, op10_mixture_packing,
 )
 QUERIES = {q.__name__: q for q in _FUNCTIONS}
 ORACLES: dict[str, str] = {}

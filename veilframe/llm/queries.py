@@ -43,6 +43,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilframe.llm.decontamination import benchmark_matches
+
+    return benchmark_matches(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilframe.llm.quality import score_quality
 
@@ -74,7 +80,7 @@ def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FUNCTIONS = (
-    op1_embedding_dedup, op2_token_counts, op3_language_model, op4_toxicity, op6_substring_dedup, op7_quality, op8_wavelet_shards, op9_jaccard_join, op10_mixture_packing,
+    op1_embedding_dedup, op2_token_counts, op3_language_model, op4_toxicity, op5_benchmark_decontamination, op6_substring_dedup, op7_quality, op8_wavelet_shards, op9_jaccard_join, op10_mixture_packing,
 )
 QUERIES = {q.__name__: q for q in _FUNCTIONS}
 ORACLES: dict[str, str] = {}

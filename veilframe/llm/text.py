@@ -112,10 +112,10 @@ class Texts:
         after[self.offsets[1:][filled] - 1] = True
         return before, after
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start and end byte of each maximal run without blanks, and the index of each text's
-        first word (with the number of all words behind the last)."""
-        solid = ~SPACE[self.data]
+    def words(self, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and end byte of each maximal run without blanks (or other breaking bytes), and
+        the index of each text's first word (with the number of all words behind the last)."""
+        solid = ~breaks[self.data]
         before, after = self.marks(solid)
         starts, ends = np.flatnonzero(solid & before), np.flatnonzero(solid & after) + 1
         return starts, ends, np.searchsorted(starts, self.offsets)

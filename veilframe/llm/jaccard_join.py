@@ -166,8 +166,9 @@ def _list_pairs(percent: int):
 
 
 def similar_sets(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, common: int = COMMON, list_rows: int = LIST_ROWS) -> DataFrame:
-    """(id, n_shingles, component_id) per row: distinct shingles of `size` words, and the smallest
-    id that links lead to. Sets link when 100 * intersection >= percent * union.
+    """(id, text_hash, n_shingles, component_id, kept) per row: distinct shingles of `size` words, and
+    the smallest id that links lead to. Sets link when 100 * intersection >= percent * union. kept:
+    whether the row has the smallest (id, text_hash) of its component; rows without words are kept.
 
     Words are lower-cased (A-Z) runs without blanks; a text of fewer than `size` words is one
     shingle; a null or empty one has none, links with nothing and is a component of its own. Rows
@@ -182,7 +183,7 @@ def similar_sets(docs: DataFrame, id: str = "doc_id", text: str = "text", size:
             values, offsets = shingle_sets(texts, size)
             one, two, keys = _summary(values, offsets)
             flat = np.stack([k.view(np.int64) for k in keys], 1).ravel()
-            yield pa.record_batch({"id": batch.column(0), "n": pa.array(np.diff(offsets), pa.int64()), "s1": pa.array(one.view(np.int64)), "s2": pa.array(two.view(np.int64)),
+            yield pa.record_batch({"id": batch.column(0), "h": batch.column(2), "n": pa.array(np.diff(offsets), pa.int64()), "s1": pa.array(one.view(np.int64)), "s2": pa.array(two.view(np.int64)),
                                    "keys": lists(np.arange(0, len(flat) + 1, KEYS), pa.array(flat))})
 
     def count_common(batches):
@@ -192,7 +193,7 @@ def similar_sets(docs: DataFrame, id: str = "doc_id", text: str = "text", size:
             yield pa.record_batch({"token": pa.array(token[n > 1].view(np.int64)), "n": pa.array(n[n > 1], pa.int64())})
 
     with Workspace(spark, "jaccard") as work:
-        rows = work.table(docs.mapInArrow(summarise, "id long, n long, s1 long, s2 long, keys array<long>"), "sets")
+        rows = work.table(docs.withColumn("h", F.xxhash64("text")).mapInArrow(summarise, "id long, h long, n long, s1 long, s2 long, keys array<long>"), "sets")
         classes = work.table(rows.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("c"), F.first("keys").alias("keys")).filter("c is not null"), "classes")
         # One text for each class, kept in buckets of its number: the joins below don't move texts.
         name = f"texts_{work.root.rsplit('-', 1)[1]}"
@@ -247,10 +248,28 @@ def similar_sets(docs: DataFrame, id: str = "doc_id", text: str = "text", size:
             far = work.table(_verified(work.table(pairs, "pairs"), texts, size, percent), "far")
             whole = components(near.unionByName(far), work).select(F.col("id").alias("c"), "component")
             named = classes.select("s1", "s2", "n", "c").join(whole, "c", "left").select("s1", "s2", "n", F.coalesce("component", "c").alias("component_id"))
-            out = rows.drop("keys").join(named, ["s1", "s2", "n"], "left").select(
-                F.col("id").alias(id), F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("n") == 0, F.col("id"))).alias("component_id"))
+            placed = work.table(rows.drop("keys").join(named, ["s1", "s2", "n"], "left"), "placed")
+            # A set that only rows with a null id have is named by its sums.
+            group = [F.col("component_id"), *[F.when(F.col("component_id").isNull(), F.col(c)).alias(f"g{c}") for c in ("s1", "s2", "n")]]
+            least = placed.filter("n > 0").groupBy(*group).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("k")).select("k.id", "k.h", F.lit(True).alias("kept")).distinct()
+            out = placed.join(least, placed["id"].eqNullSafe(least["id"]) & placed["h"].eqNullSafe(least["h"]), "left").select(
+                placed["id"].alias(id), placed["h"].alias("text_hash"), F.col("n").alias("n_shingles"),
+                F.coalesce("component_id", F.when(F.col("n") == 0, placed["id"])).alias("component_id"), (F.coalesce("kept", F.lit(False)) | (F.col("n") == 0)).alias("kept"))
             result = work.keep(out)
             often.unpersist()
             return result
         finally:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Rows, with all their columns, without near copies: of each component one row stays."""
+    stay = similar_sets(docs, id, text, size, percent).filter("kept").groupBy(F.col(id).alias("_id"), F.col("text_hash").alias("_h")).agg(
+        F.count("*").alias("_n"), F.max("n_shingles").alias("_words"))
+    match = docs[id].cast("long").eqNullSafe(stay["_id"]) & F.xxhash64(docs[text]).eqNullSafe(stay["_h"])
+    kept = docs.join(stay, match)
+    repeated = (F.col("_n") > 1) & (F.col("_words") > 0)
+    if stay.filter(repeated).isEmpty():
+        return kept.drop("_id", "_h", "_n", "_words")
+    once = kept.filter(repeated).dropDuplicates(["_id", "_h"])
+    return kept.filter(~repeated).unionByName(once).drop("_id", "_h", "_n", "_words")

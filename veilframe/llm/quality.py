@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilframe.llm.text import Texts, blocks
 from veilframe.llm.toxicity import drawn_labels
@@ -133,20 +134,31 @@ def learn(docs: DataFrame, drawn: DataFrame) -> ByteNetwork:
     return network
 
 
+def with_score(docs: DataFrame, network: ByteNetwork, text: str, score: str) -> DataFrame:
+    """The same rows and columns, and the network's score of the text."""
+    shared = docs.sparkSession.sparkContext.broadcast(network)
+
+    def run(batches):
+        for batch, texts in blocks(batches, text):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(texts), pa.float64())], [*batch.schema.names, score])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())]))
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", fold: int = 3, held: int = 1, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """(id, held_out, score, predicted) per row: how likely label 1 is, from the whole text alone.
 
     Learns from labelled rows whose crc32(id as text) mod `fold` is not `held`, at most `sample` of
     them; a null id counts as the text ''. A null text is empty and is scored as such. Rows that
     share an id are scored each. Null labels teach nothing. Other columns are not read."""
-    remainder = F.crc32(F.coalesce(F.col(id).cast("string"), F.lit("")).cast("binary")) % fold
-    docs = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), (remainder == held).alias("held_out"))
-    network = docs.sparkSession.sparkContext.broadcast(learn(docs.select("id", "text"), drawn_labels(labels, id, label, fold, held, sample)))
-    kind = docs.schema["id"].dataType.simpleString()
+    docs = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    remainder = F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")) % fold
+    scored = with_score(docs, learn(docs, drawn_labels(labels, id, label, fold, held, sample)), "text", "score")
+    return scored.select(F.col("id").alias(id), (remainder == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
-    def score(batches):
-        for batch, texts in blocks(batches, "text"):
-            s = network.value.score(texts)
-            yield pa.record_batch({"id": batch.column(0), "held_out": batch.column(2), "score": pa.array(s), "predicted": pa.array(s >= threshold).cast(pa.int32())})
 
-    return docs.mapInArrow(score, f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id)
+def good_texts(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", fold: int = 3, held: int = 1, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
+    """Rows, with all their columns, whose quality reaches the threshold."""
+    drawn = drawn_labels(labels, id, label, fold, held, sample)
+    network = learn(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), drawn)
+    return with_score(docs, network, text, "_quality").filter(F.col("_quality") >= threshold).drop("_quality")

@@ -9,7 +9,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -28,7 +28,7 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilframe.llm.token_counts import token_counts
 
-    return token_counts(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
+    return token_counts(_documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,19 +64,19 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilframe.llm.jaccard_join import similar_sets
 
-    return similar_sets(_documents(spark, sf_dir))
+    return similar_sets(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 def op8_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilframe.llm.wavelet import store_and_read
 
-    return store_and_read(_documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
+    return store_and_read(_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
 def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilframe.llm.packing import pack
 
-    return pack(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
+    return pack(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
 _FUNCTIONS = (

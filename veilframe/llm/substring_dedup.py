@@ -293,9 +293,10 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", w
         return work.keep(clean.unionByName(changed).withColumnsRenamed({"id": id, "h": "text_hash"}))
 
 
-def without_passages(docs: DataFrame, passages: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def without_passages(docs: DataFrame, passages: DataFrame, id: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
     """The same rows and columns, texts without the removed words. Texts that lose nothing stay
-    as they are, blanks included; from the others all that is left is joined by one blank."""
+    as they are, blanks included; from the others all that is left is joined by one blank, and
+    the column `length`, where there is one, is the new text's number of characters."""
     cuts = passages.filter(F.col("n_removed") > 0).select(F.col(id).alias("_id"), F.col("text_hash").alias("_h"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_h"])
     names = docs.columns
 
@@ -314,6 +315,9 @@ def without_passages(docs: DataFrame, passages: DataFrame, id: str = "doc_id", t
                 data, _ = take_slices(texts.data, starts[at], ends[at], gap=0x20)
                 new.append(data.tobytes()[:-1].decode("utf-8"))
             column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)} | {text: pa.array(new, pa.string())}
+            if length in names:
+                cut_here = pc.not_equal(pc.fill_null(column[text], ""), pc.fill_null(pa.array(old, pa.string()), ""))
+                column[length] = pc.if_else(cut_here, pc.utf8_length(column[text]).cast(column[length].type), column[length])
             yield pa.record_batch({n: column[n] for n in names})
 
     joined = docs.join(cuts, docs[id].eqNullSafe(cuts["_id"]) & F.xxhash64(docs[text]).eqNullSafe(cuts["_h"]), "left").drop("_id", "_h")

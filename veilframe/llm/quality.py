@@ -129,7 +129,9 @@ def learn(docs: DataFrame, drawn: DataFrame) -> ByteNetwork:
     """Fit on the texts of the drawn labels (id, y), whose number is bounded."""
     got = docs.join(F.broadcast(drawn), "id").select("id", F.coalesce("text", F.lit("")).alias("text"), "y").orderBy(F.xxhash64("id", "text"), "y").select("text", "y").toArrow()
     network = ByteNetwork()
-    if got.num_rows:
+    if not got.num_rows:
+        network.out[:] = 0
+    else:
         network.fit(pa.concat_arrays(got.column("text").chunks).cast(pa.large_string()), got.column("y").to_numpy())
     return network
 
@@ -150,7 +152,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text:
 
     Learns from labelled rows whose crc32(id as text) mod `fold` is not `held`, at most `sample` of
     them; a null id counts as the text ''. A null text is empty and is scored as such. Rows that
-    share an id are scored each. Null labels teach nothing. Other columns are not read."""
+    share an id are scored each. Null labels teach nothing; without any all scores are 0.5. Other columns are not read."""
     docs = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     remainder = F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")) % fold
     scored = with_score(docs, learn(docs, drawn_labels(labels, id, label, fold, held, sample)), "text", "score")

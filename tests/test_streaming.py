@@ -32,9 +32,10 @@ def test_review_over_batches(spark, tmp_path):
         [("a", 4, "decision", "block"), ("d", 5, "request", None)],
         [("e", 30, "request", None)],
         [("b", 29, "decision", "allow"), ("d", 31, "decision", "allow"), ("e", 33, "decision", "block"), ("z", 80, "request", None)],
-        [("z", 81, "decision", "allow")],
+        [("z", 81, "decision", "allow"), ("early", 83, "decision", "allow"), ("early", 79, "decision", "block")],
+        [("early", 82, "request", None)],
     ]
-    expected = {("a", "reviewed", "allow"), ("b", "timeout", "error"), ("c", "cancelled", "error"), ("d", "timeout", "error"), ("e", "reviewed", "block"), ("z", "reviewed", "allow")}
+    expected = {("early", "reviewed", "allow"), ("a", "reviewed", "allow"), ("b", "timeout", "error"), ("c", "cancelled", "error"), ("d", "timeout", "error"), ("e", "reviewed", "block"), ("z", "reviewed", "allow")}
     for name, parts in (("many", batches), ("one", [[r for b in batches for r in b]])):
         folder = tmp_path / name
         for i, rows in enumerate(parts):

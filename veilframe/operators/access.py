@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -29,12 +29,11 @@ class AccessRules:
     def allowed(self, role: str, table: str) -> tuple[str, ...]:
         return tuple(self.columns.get(role, {}).get(table, ()))
 
-    def hidden(self, role: str, table: str) -> tuple[str, ...]:
-        """Restricted columns of a table that the role may not see."""
+    def hidden(self, role: str, table: str, columns: Iterable[str]) -> tuple[str, ...]:
+        """Columns of a table that the role may not see: all that its list, if it has one, does
+        not name."""
         allowed = self.allowed(role, table)
-        if not allowed:
-            return ()
-        return tuple(c for c in self.restricted.get(table, ()) if c not in allowed)
+        return tuple(c for c in columns if allowed and c not in allowed)
 
 
 def _map_of(values: Mapping[str, tuple[str, ...]]) -> Column:

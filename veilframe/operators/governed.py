@@ -1,21 +1,25 @@
 """SQL under a role: views with the permitted tables and columns in a session of its own.
 
-Catalyst analyses the query. A restricted column stays nameable in the role's view but
-is a typed NULL there and is dropped from results, so no expression over it can leak.
+Catalyst parses and analyses the query, and both plans are judged: a role calls functions of
+the permitted groups only and reads its own views only. A column outside a role's list stays
+nameable in its view but is a typed NULL there and is dropped from results, so no expression
+over it can leak. Building results runs jobs: one for each distinct text.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from itertools import islice
 
-from pyspark.errors import AnalysisException, ParseException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.functions.canonical import row_json, truncate
-from veilframe.functions.references import NOISE
 from veilframe.operators.access import AccessRules
 from veilframe.sources.storage import new_path
 
@@ -23,14 +27,18 @@ Tables = Mapping[str, Callable[[SparkSession], DataFrame]]
 OUTPUT_SCHEMA = "role string, call_key string, output string, error string"
 ROWS_SCHEMA = "role string, call_key string, row_json string, error string"
 
-# functions and clauses that reach beyond the views: JVM calls, scripts, files, paths
-_UNSAFE = re.compile(
-    r"\b(reflect|try_reflect|java_method)\s*\(|\btransform\b.*\busing\b|\bmap\b.*\busing\b"
-    r"|\b(?:from|join)\s+[\w`\"]+\s*[.]|\bglobal_temp\b|,\s*[a-z_]\w*\s*[.]\s*`"
-    r"|\b(?:from|join)\s+[a-z_]\w*\s*\((?!\s*select\b)",
-    re.IGNORECASE | re.DOTALL,
+# what roles may call, by Spark's own grouping of its functions; calls into the JVM, files, session
+# values, generators and user functions are in none of these groups
+_FUNCTION_GROUPS = frozenset(
+    f"{kind}_funcs" for kind in (
+        "agg", "array", "bitwise", "collection", "conditional", "conversion", "datetime", "hash", "json", "lambda",
+        "map", "math", "predicate", "string", "struct", "window",
+    )
 )
-_DISTINCT_QUERIES_PER_PLAN = 200
+_LEAVES = frozenset(("OneRowRelation", "LocalRelation", "CTERelationRef"))
+_REFUSED_NODES = frozenset(("Generate", "ScriptTransformation"))
+_REFUSED = "The query uses a function or source that is not available to roles"
+_WORKERS = 8
 
 
 def role_session(
@@ -45,7 +53,7 @@ def role_session(
         if name not in tables:
             continue
         df = tables[name](session)
-        hidden = rules.hidden(role, name)
+        hidden = rules.hidden(role, name, df.columns)
         df.select(
             *[
                 F.lit(None).cast(f.dataType).alias(f.name) if f.name in hidden else F.col(f"`{f.name}`")
@@ -55,47 +63,112 @@ def role_session(
     return session
 
 
-def _hidden_names(rules: AccessRules, role: str) -> set[str]:
-    tables = rules.tables.get(role, ())
-    hidden = {c for t in tables for c in rules.hidden(role, t)}
-    return hidden - {c for t in tables for c in rules.allowed(role, t)}
-
-
-def governed_query(session: SparkSession, query: str, role: str, rules: AccessRules = AccessRules()) -> DataFrame:
-    """Run one SELECT in a role session; restricted columns are dropped from the result."""
+def _hidden_names(session: SparkSession, rules: AccessRules, role: str) -> set[str]:
+    """Columns hidden in one of the role's views and shown in none."""
+    views = {t: session.table(t).columns for t in rules.tables.get(role, ()) if session.catalog.tableExists(t)}
+    hidden = {c for t, columns in views.items() for c in rules.hidden(role, t, columns)}
+    shown = {c for t, columns in views.items() for c in columns if c not in rules.hidden(role, t, columns)}
+    return {c.lower() for c in hidden - shown}
+
+
+def _nodes(tree) -> Iterator[dict]:
+    """All nodes of a plan given as JSON, in order, subqueries included."""
+    if isinstance(tree, list):
+        for part in tree:
+            yield from _nodes(part)
+    elif isinstance(tree, dict):
+        yield tree
+        for part in tree.values():
+            yield from _nodes(part)
+
+
+def _kind(node: dict) -> str:
+    return str(node.get("class", "")).rsplit(".", 1)[-1]
+
+
+def _outside_views(nodes: list) -> Iterator[dict]:
+    """Plan nodes without what stands below a view: that is the role's own and trusted."""
+    at = 0
+
+    def skip(i: int) -> int:
+        end = i + 1
+        for _ in range(nodes[i]["num-children"]):
+            end = skip(end)
+        return end
+
+    while at < len(nodes):
+        yield nodes[at]
+        for value in nodes[at].values():
+            for inner in _plans_in(value):
+                yield from _outside_views(inner)
+        at = skip(at) if _kind(nodes[at]) == "View" else at + 1
+
+
+def _plans_in(value) -> Iterator[list]:
+    """Trees of nodes inside the fields of a node: its expressions and the plans of subqueries."""
+    if isinstance(value, list):
+        if value and isinstance(value[0], dict) and "num-children" in value[0]:
+            yield value
+        else:
+            for part in value:
+                yield from _plans_in(part)
+
+
+def _check_text(session: SparkSession, query: str) -> None:
+    """Refuse functions outside the permitted groups, qualified relations and table functions,
+    as the parser sees them: quoting, comments and case make no difference."""
+    jvm = session._jvm
+    builtin = jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.builtin()
+    identifier = jvm.org.apache.spark.sql.catalyst.FunctionIdentifier
+    plan = json.loads(session._jsparkSession.sessionState().sqlParser().parsePlan(query).toJSON())
+    for node in _nodes(plan):
+        kind = _kind(node)
+        if kind == "UnresolvedFunction":
+            name = str(node.get("nameParts", "")).strip("[]")
+            info = builtin.lookupFunction(identifier(name))
+            if not info.isDefined() or info.get().getGroup() not in _FUNCTION_GROUPS:
+                raise ValueError(_REFUSED)
+        elif kind == "UnresolvedRelation" and "," in str(node.get("multipartIdentifier", "")):
+            raise ValueError(_REFUSED)
+        elif kind == "UnresolvedTableValuedFunction":
+            raise ValueError(_REFUSED)
+
+
+def _check_plan(df: DataFrame) -> None:
+    """Refuse analysed plans that read anything but the role's views."""
+    for node in _outside_views(json.loads(df._jdf.queryExecution().analyzed().toJSON())):
+        kind = _kind(node)
+        plan_node = ".expressions." not in str(node.get("class", ""))
+        if kind in _REFUSED_NODES or (plan_node and node.get("num-children") == 0 and kind not in _LEAVES | {"View"}):
+            raise ValueError(_REFUSED)
+
+
+def governed_query(session: SparkSession, query: str, role: str, rules: AccessRules = AccessRules(), hidden: set[str] | None = None) -> DataFrame:
+    """Run one SELECT in a role session; columns the role may not see are dropped from the result."""
     if not query.strip().upper().startswith("SELECT"):
         raise ValueError("Only SELECT queries are allowed. Got: " + query[:50])
-    if _UNSAFE.search(re.sub(NOISE, " ", query)):
-        raise ValueError("The query uses a function or source that is not available to roles")
+    _check_text(session, query)
     df = session.sql(query)
-    hidden = _hidden_names(rules, role)
+    _check_plan(df)
+    hidden = _hidden_names(session, rules, role) if hidden is None else hidden
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in hidden]) if hidden else df
 
 
 def table_schema(spark: SparkSession, tables: Tables, role: str, rules: AccessRules = AccessRules()) -> DataFrame:
     """``(table, position, column, type)`` of the views of a role, without hidden columns."""
-    rows = [
-        (name, i, f.name, f.dataType.simpleString())
-        for name in sorted(rules.tables.get(role, ()))
-        if name in tables
-        for i, f in enumerate(tables[name](spark).schema.fields)
-        if f.name not in rules.hidden(role, name)
-    ]
+    rows = []
+    for name in sorted(t for t in rules.tables.get(role, ()) if t in tables):
+        df = tables[name](spark)
+        hidden = rules.hidden(role, name, df.columns)
+        rows += [(name, i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields) if f.name not in hidden]
     return spark.createDataFrame(rows, "table string, position int, column string, type string")
 
 
-def _tagged(spark: SparkSession, role: str, query: str, schema: str, error: str | None) -> DataFrame:
-    return spark.createDataFrame([(role, query, None, error)], schema)
-
-
-def _one_output(spark, session, role, query, rules, max_chars) -> DataFrame:
-    """One row with the result as JSON text. A result row takes at least four
-    characters of the text, so rows past ``max_chars / 4`` cannot show before the cut
-    and are not read; at most that many rows meet in one task."""
-    try:
-        df = governed_query(session, query, role, rules)
-    except (ValueError, AnalysisException, ParseException) as problem:
-        return _tagged(spark, role, query, OUTPUT_SCHEMA, _describe(problem))
+def _one_output(df: DataFrame, role: str, query: str, max_chars: int) -> DataFrame:
+    """One row with the result as JSON text, cut at ``max_chars``. A result row takes at least
+    four characters of the text, so rows past ``max_chars / 4`` cannot show before the cut and
+    are not read for it; at most that many rows meet in one task. Whole results are judged by
+    ``query_rows``."""
     rows = df.limit(max_chars // 4 + 2).select(F.substring(row_json(df.schema), 1, max_chars + 1).alias("row_json"))
     text = F.concat(F.lit("["), F.array_join(F.collect_list("row_json"), ", "), F.lit("]"))
     return rows.agg(truncate(text, max_chars).alias("output")).select(
@@ -103,11 +176,7 @@ def _one_output(spark, session, role, query, rules, max_chars) -> DataFrame:
     )
 
 
-def _all_rows(spark, session, role, query, rules) -> DataFrame:
-    try:
-        df = governed_query(session, query, role, rules)
-    except (ValueError, AnalysisException, ParseException) as problem:
-        return _tagged(spark, role, query, ROWS_SCHEMA, _describe(problem))
+def _all_rows(df: DataFrame, role: str, query: str) -> DataFrame:
     return df.select(
         F.lit(role).alias("role"), F.lit(query).alias("call_key"),
         row_json(df.schema).alias("row_json"), F.lit(None).cast("string").alias("error"),
@@ -117,37 +186,44 @@ def _all_rows(spark, session, role, query, rules) -> DataFrame:
 def _describe(problem: Exception) -> str:
     if isinstance(problem, ValueError):
         return f"ValueError: {problem}"
-    return f"{type(problem).__name__}: {problem.getCondition()}"
-
-
-def _batches(items: Iterator, size: int) -> Iterator[list]:
-    while batch := list(islice(items, size)):
-        yield batch
+    condition = problem.getCondition() if isinstance(problem, PySparkException) else None
+    if condition is None:  # a failed task: the condition stands in the message
+        found = re.search(r"\[([A-Z][A-Z0-9_]*(?:\.[A-Z0-9_]+)*)\]", str(problem))
+        condition = found.group(1) if found else "INTERNAL_ERROR"
+    return f"{type(problem).__name__}: {condition}"
 
 
 def _per_query(
     calls: DataFrame, tables: Tables, rules: AccessRules, schema: str, build: Callable[..., DataFrame]
 ) -> DataFrame:
-    """Plan every distinct (role, text) once. Only texts reach the driver, streamed, as
-    planning needs them; beyond one batch each batch is appended to a shared table, so
-    neither their number nor the size of their results is limited."""
+    """Run every distinct (role, text) once and write its result on its own, a bounded number at
+    a time. A text that fails, when it is planned or when it runs, becomes one error row and
+    costs no other its result. Only texts reach the driver, streamed; results are written by
+    tasks, so neither their number nor their size is limited."""
     spark = calls.sparkSession
-    sessions: dict[str, SparkSession] = {}
-    path, result = None, spark.createDataFrame([], schema)
+    sessions: dict[str, tuple[SparkSession, set[str]]] = {}
+    path, failed, done = new_path(spark, "query-results"), [], 0
+
+    def run(number: int, role: str, query: str) -> str | None:
+        session, hidden = sessions[role]
+        try:
+            df = governed_query(session, query, role, rules, hidden)
+            build(df, role, query).write.parquet(f"{path}/query={number}")
+        except (ValueError, PySparkException, Py4JJavaError) as problem:
+            return _describe(problem)
+        return None
+
     texts = calls.select("role", "call_key").distinct().toLocalIterator()
-    for number, batch in enumerate(_batches(texts, _DISTINCT_QUERIES_PER_PLAN)):
-        plan = None
-        for role, query in batch:
-            if role not in sessions:
-                sessions[role] = role_session(spark, tables, role, rules)
-            one = build(spark, sessions[role], role, query, rules)
-            plan = one if plan is None else plan.union(one)
-        if number == 0 and len(batch) < _DISTINCT_QUERIES_PER_PLAN:
-            return plan
-        path = path or new_path(spark, "query-results")
-        plan.write.mode("append").parquet(path)
-        result = spark.read.schema(schema).parquet(path)
-    return result
+    with ThreadPoolExecutor(_WORKERS) as pool:
+        while batch := list(islice(texts, 64 * _WORKERS)):
+            for role in {r.role for r in batch} - set(sessions):
+                session = role_session(spark, tables, role, rules)
+                sessions[role] = (session, _hidden_names(session, rules, role))
+            jobs = [(r, pool.submit(run, done + i, r.role, r.call_key)) for i, r in enumerate(batch)]
+            failed += [(r.role, r.call_key, None, error) for r, job in jobs if (error := job.result()) is not None]
+            done += len(batch)
+    errors = spark.createDataFrame(failed, schema)
+    return spark.read.schema(schema).parquet(path).select(*errors.columns).unionByName(errors) if done > len(failed) else errors
 
 
 def query_outputs(
@@ -156,7 +232,7 @@ def query_outputs(
     """``(role, call_key, output, error)``: one text per distinct (role, query)."""
     return _per_query(
         calls, tables, rules, OUTPUT_SCHEMA,
-        lambda spark, session, role, query, r: _one_output(spark, session, role, query, r, max_chars),
+        lambda df, role, query: _one_output(df, role, query, max_chars),
     )
 
 

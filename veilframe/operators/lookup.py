@@ -11,6 +11,8 @@ from veilframe.functions.canonical import error_json, row_json, truncate
 from veilframe.operators.access import AccessRules
 
 SEARCH_LIMIT = 100
+SEARCH_DEFAULT = 10
+# switches the plan only: a frame of so many ids or searches is broadcast, a larger one joined
 _SALTS = 16
 _BROADCAST_ROWS = 20_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -79,6 +81,17 @@ def _not_found(customer_id: Column) -> Column:
     )
 
 
+def _wrong_limit(limit: Column) -> Column:
+    """The refusal of a search limit below 1 or above 100."""
+    low = limit < 1
+    return F.concat(
+        F.lit('API error: 422 - {"detail":[{"type":"'), F.when(low, "greater_than_equal").otherwise("less_than_equal"),
+        F.lit('","loc":["query","limit"],"msg":"Input should be '), F.when(low, "greater").otherwise("less"),
+        F.lit(" than or equal to "), F.when(low, "1").otherwise(str(SEARCH_LIMIT)), F.lit('","input":"'), limit.cast("string"),
+        F.lit('","ctx":{"'), F.when(low, 'ge":1').otherwise(f'le":{SEARCH_LIMIT}'), F.lit("}}]}"),
+    )
+
+
 def _by_role(rules: AccessRules, role: Column, build) -> Column:
     """``build(restricted)`` under the fields restricted for the role of the row."""
     out = None
@@ -98,12 +111,12 @@ def lookup_outputs(
 ) -> DataFrame:
     """``(role, call_key, output, error)`` per distinct (role, customer id in ``call_key``).
 
-    Accounts come in id order. Those that cannot show before the cut are dropped by a
-    ranking filter that Spark applies before the shuffle, so a customer with a large
-    share of all accounts does not meet in one task.
+    Accounts come in id order. Those that cannot show before the cut at ``max_chars`` are
+    dropped by a ranking filter that Spark applies before the shuffle, so a customer with a
+    large share of all accounts does not meet in one task. Counts ids first, which runs a job.
     """
     shortest = len(", ".join(f'"{c}": 0' for c in accounts.columns if c not in {f for r in rules.api_restricted.values() for f in r})) + 4
-    keep = min(max_chars // shortest + 2, 1000)
+    keep = max_chars // shortest + 2
     wanted = calls.select("role", "call_key", F.col("call_key").try_cast("long").alias("customer_id")).distinct()
     ids = wanted.select("customer_id").filter("customer_id is not null").distinct()
     few = _at_most(ids, _BROADCAST_ROWS)
@@ -165,7 +178,8 @@ def search_customers(
 
     ``searches(search_key, name, email, limit)``: a customer matches if one of the name
     columns contains ``name`` and the e-mail contains ``email`` (absent criteria hold;
-    ASCII case is ignored, no wildcards). The limit is clamped to 1..100.
+    ASCII case is ignored, no wildcards). A limit outside 1..100 finds nothing here;
+    ``search_outputs`` refuses it.
 
     A containment match becomes an equi-join: each search probes with its rarest
     substring of up to three characters, and only customers holding that substring are
@@ -177,8 +191,8 @@ def search_customers(
         "search_key",
         F.nullif(ascii_lower(F.col("name")), F.lit("")).alias("_name"),
         F.nullif(ascii_lower(F.col("email")), F.lit("")).alias("_email"),
-        F.least(F.greatest(F.coalesce(F.col("limit"), F.lit(10)), F.lit(1)), F.lit(SEARCH_LIMIT)).alias("_limit"),
-    ).distinct()
+        F.coalesce(F.col("limit"), F.lit(SEARCH_DEFAULT)).alias("_limit"),
+    ).filter(F.col("_limit").between(1, SEARCH_LIMIT)).distinct()
     term = F.coalesce(F.col("_name"), F.col("_email"))
     kind = F.when(F.col("_name").isNotNull(), "n").otherwise("e")
     probes = explode_rows(
@@ -269,8 +283,9 @@ def search_outputs(
 
     missing = F.coalesce(F.col("name"), F.lit("")).eqNullSafe("") & F.coalesce(F.col("email"), F.lit("")).eqNullSafe("")
     refused = F.lit('API error: 400 - {"detail":"At least one search parameter (name or email) is required"}')
+    wrong = ~F.coalesce(F.col("limit"), F.lit(SEARCH_DEFAULT)).between(1, SEARCH_LIMIT)
     return asked.join(texts.hint("merge"), "search_key", "left").select(
         "role", "call_key",
-        truncate(F.when(missing, error_json(refused)).otherwise(_by_role(rules, F.col("role"), output)), max_chars).alias("output"),
+        truncate(F.when(wrong, error_json(_wrong_limit(F.col("limit")))).when(missing, error_json(refused)).otherwise(_by_role(rules, F.col("role"), output)), max_chars).alias("output"),
         F.lit(None).cast("string").alias("error"),
     )

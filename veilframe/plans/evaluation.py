@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -59,7 +60,7 @@ def evaluate_cases(cases: DataFrame, tables: Tables, context: Context = Context(
     against tables and columns, as a case may be any text.
     """
     requests = cases.withColumn("request_id", F.col("case_id"))
-    records = audit_rows_by_row(run_requests_by_row(requests, tables, context))
+    records = audit_rows_by_row(run_requests_by_row(requests, tables, replace(context, select_only=True)))
     return judge_cases(cases, records)
 
 

@@ -8,14 +8,14 @@ scanned once, before it is joined back to the requests.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe import fixed_values as fixed
 from veilframe.functions import hashing
-from veilframe.functions.arrays import empty
+from veilframe.functions.arrays import bind, empty
 from veilframe.functions.canonical import error_json
 from veilframe.functions.masking import (
     BUNDLED, Policy, apply_policy, final_action, pipeline_decision, policy_version,
@@ -29,6 +29,8 @@ from veilframe.sources.storage import durable, spread
 INBOUND_REFUSED = "Inbound policy denied or blocked the request"
 REVIEW_NEEDED = "Human review required (async backend cannot wait)"
 REVIEW_ENDED = "Request cancelled or human review timeout"
+_WHOLE = "map<string,struct<violation:struct<category:string,direction:string,reason:string>,review:boolean>>"
+ROW_OUTPUT_CHARS = 10_000_000
 _DECISION = (
     "struct<action:string,reason:string,triggered_rules:array<string>,sanitized_text:string,"
     "has_review_flag:boolean,review_queue_id:string,categories:array<string>>"
@@ -44,6 +46,10 @@ class Context:
     # a permission for customer_api covers customer_api_lookup and customer_api_search
     tool_family: bool = True
     detector: Callable[[Column], Column] = detect
+    # judge results that the cut at max_output_chars has shortened by all of their rows
+    judge_whole: bool = True
+    # for golden cases: a text that is no SELECT is not checked against tables and columns
+    select_only: bool = False
 
 
 def scan_text(tool: Column, query: Column, customer_id: Column, name: Column, email: Column) -> Column:
@@ -76,15 +82,18 @@ def _call_kind(tool: Column) -> Column:
 
 
 def admit(requests: DataFrame, context: Context = Context(), policy: Column | None = None) -> DataFrame:
-    """Stages 1-3: access, inbound scan, inbound policy. Row-local, so it also runs on a stream."""
+    """Stages 1-3: access, inbound scan, inbound policy. Row-local, so it also runs on a stream.
+    The scanned text of a SQL request is always its query, so no text runs unchecked."""
     role, tool = F.col("role"), F.col("tool_name")
+    requests = requests.withColumn("scan_text", F.when(tool == "sql_query", F.col("query")).otherwise(F.col("scan_text")))
+    checked = F.when(F.upper(F.trim("query")).startswith("SELECT"), F.col("query")) if context.select_only else F.col("query")
     policy = hashing.policy_for_mode(hashing.policy_mode(role)) if policy is None else policy
     granted = F.col("rbac_reason").isNull()
     no_spans = empty(SPAN_TYPE)
     scanned = F.when(granted, above_threshold(context.detector(F.col("scan_text")), context.threshold))
     return (
         requests.withColumn(
-            "rbac_reason", rbac_reason(role, tool, F.col("query"), F.col("fields"), context.rules, context.tool_family)
+            "rbac_reason", rbac_reason(role, tool, checked, F.col("fields"), context.rules, context.tool_family)
         )
         .withColumn("policy", policy)
         .withColumn("inbound_detections", scanned.otherwise(no_spans))
@@ -175,7 +184,36 @@ def execute(admitted: DataFrame, tables: Tables, context: Context = Context()) -
         calls = runnable.filter(F.col("call_kind") == kind).select("role", "call_key", "name", "email", "limit")
         outputs = outputs.unionByName(run(calls).withColumn("call_kind", F.lit(kind)))
     spans = above_threshold(context.detector(F.col("output")), context.threshold)
-    return durable(outputs, "outputs").withColumn("outbound_detections", spans)
+    written = durable(outputs, "outputs")
+    return _with_whole(written, tables, context).withColumn("outbound_detections", spans)
+
+
+def _with_whole(outputs: DataFrame, tables: Tables, context: Context) -> DataFrame:
+    """Outputs with the verdict over all rows of those that were cut: ``whole`` maps a policy to
+    its first violation and review flag, ``whole_detections`` counts spans. Null for the others,
+    whose text is the whole result."""
+    schema = f"role string, call_key string, whole {_WHOLE}, whole_detections long"
+    cut = outputs.filter((F.col("call_kind") == "sql") & F.col("output").endswith(fixed.TRUNCATED)).select("role", "call_key").distinct()
+    if not context.judge_whole or cut.isEmpty():
+        verdicts = outputs.sparkSession.createDataFrame([], schema)
+    else:
+        rows = durable(query_rows(cut, tables, context.rules), "whole-rows").withColumn(
+            "spans", above_threshold(context.detector(F.col("row_json")), context.threshold)
+        )
+        judged = {
+            name: apply_policy(F.col("row_json"), F.col("spans"), F.lit(name), "outbound", F.sha2("call_key", 256), context.policies)
+            for name in context.policies
+        }
+        by_policy = [
+            F.struct(F.min(F.when(j["blocked"], j["violation"])).alias("violation"), F.bool_or(j["has_review_flag"]).alias("review"))
+            for j in (F.col(f"_p{i}") for i in range(len(judged)))
+        ]
+        pairs = [x for name, verdict in zip(judged, by_policy) for x in (F.lit(name), verdict)]
+        verdicts = (
+            rows.withColumns({f"_p{i}": j for i, j in enumerate(judged.values())})
+            .groupBy("role", "call_key").agg(F.create_map(*pairs).alias("whole"), F.sum(F.size("spans")).alias("whole_detections"))
+        )
+    return outputs.join(verdicts.hint("merge"), ["role", "call_key"], "left")
 
 
 def finish(admitted: DataFrame, outputs: DataFrame, context: Context = Context()) -> DataFrame:
@@ -191,10 +229,20 @@ def finish(admitted: DataFrame, outputs: DataFrame, context: Context = Context()
         "left",
     ).drop("_kind", "_key", "_role")
     ran = F.col("output").isNotNull()
-    outbound = apply_policy(
+    shown = apply_policy(
         F.col("output"), F.col("outbound_detections"), F.col("policy"), "outbound", F.col("request_id"),
         context.policies,
     )
+    # a block anywhere in the result blocks it, also behind the cut
+    outbound = bind(
+        shown,
+        lambda s: bind(
+            F.try_element_at(F.col("whole"), F.col("policy"))["violation"],
+            lambda v: F.when(v.isNull(), s).otherwise(
+                s.withField("blocked", F.lit(True)).withField("violation", F.coalesce(s["violation"], v))
+            ),
+        ),
+    )
     denial = denial_text(F.col("role"), F.col("tool_name"), F.col("rbac_reason"))
     status = (
         F.when(F.col("gate") != "run", F.col("gate"))
@@ -352,14 +400,15 @@ def review_entries(log: DataFrame, timestamp: Column | None = None) -> DataFrame
 
 
 def run_requests_by_row(requests: DataFrame, tables: Tables, context: Context = Context()) -> DataFrame:
-    """The variant without threshold and output cut, for SQL requests.
+    """The variant without threshold and output cut.
 
     The policy follows the role, REVIEW does not stop a request, outbound REVIEW queues
     it. A result has no size limit here, so it is scanned row by row and the verdicts
     are rolled up per distinct query; ``tool_output_raw_hash`` is a digest over the row
-    hashes that does not depend on their order. The masked rows are ``masked_rows``.
+    hashes that does not depend on their order. The masked rows are ``masked_rows``; a lookup
+    or a search is one row. A request that nothing can run ends in an error.
     """
-    everything = Context(0.0, context.max_output_chars, context.policies, context.rules, context.tool_family, context.detector)
+    everything = replace(context, threshold=0.0)
     admitted = durable(
         admit(requests, everything, hashing.policy_for_role(F.col("role"))).withColumn(
             "gate", F.when(F.col("gate") == "review_queued", "run").otherwise(F.col("gate"))
@@ -368,15 +417,18 @@ def run_requests_by_row(requests: DataFrame, tables: Tables, context: Context =
     )
     verdicts = _row_verdicts(masked_rows(admitted, tables, everything))
     joined = admitted.join(
-        verdicts.withColumnRenamed("call_key", "_key").withColumnRenamed("role", "_role"),
-        (F.col("gate") == "run") & (F.col("call_key") == F.col("_key")) & (F.col("role") == F.col("_role")),
+        verdicts.withColumnsRenamed({"call_key": "_key", "role": "_role", "call_kind": "_kind"}),
+        (F.col("gate") == "run") & (F.col("call_kind") == F.col("_kind"))
+        & F.col("call_key").eqNullSafe(F.col("_key")) & (F.col("role") == F.col("_role")),
         "left",
-    ).drop("_key", "_role")
+    ).drop("_key", "_role", "_kind")
+    # a query without rows has no verdict
+    ran = F.col("out_rows").isNotNull() | (F.col("call_kind") == "sql")
     inbound_review = F.coalesce(F.col("inbound.has_review_flag"), F.lit(False))
     return joined.withColumn(
         "status",
         F.when(F.col("gate") != "run", F.col("gate"))
-        .when(F.col("run_error").isNotNull(), "error")
+        .when(F.col("run_error").isNotNull() | ~ran, "error")
         .when(F.coalesce(F.col("out_blocked"), F.lit(False)), "blocked")
         .when(inbound_review | F.coalesce(F.col("out_review"), F.lit(False)), "review_queued")
         .otherwise("success"),
@@ -390,10 +442,17 @@ def run_requests_by_row(requests: DataFrame, tables: Tables, context: Context =
 
 
 def masked_rows(admitted: DataFrame, tables: Tables, context: Context = Context()) -> DataFrame:
-    """Result rows of the distinct admitted queries, each scanned and masked."""
-    calls = admitted.filter((F.col("gate") == "run") & (F.col("call_kind") == "sql")).select("role", "call_key")
+    """Result rows of the distinct admitted calls, each scanned and masked. Lookups and searches
+    give one row each, of at most ``ROW_OUTPUT_CHARS`` characters."""
+    runnable = admitted.filter(F.col("gate") == "run")
+    calls = runnable.filter(F.col("call_kind") == "sql").select("role", "call_key")
+    rows = query_rows(calls, tables, context.rules).withColumn("call_kind", F.lit("sql"))
+    for kind, run in registry(tables, replace(context, max_output_chars=ROW_OUTPUT_CHARS)).items():
+        if kind != "sql":
+            calls = runnable.filter(F.col("call_kind") == kind).select("role", "call_key", "name", "email", "limit")
+            rows = rows.unionByName(run(calls).withColumnRenamed("output", "row_json").withColumn("call_kind", F.lit(kind)))
     return (
-        durable(query_rows(calls, tables, context.rules), "result-rows")
+        durable(rows, "result-rows")
         .withColumn("detections", above_threshold(context.detector(F.col("row_json")), context.threshold))
         .withColumn(
             "sanitized",
@@ -407,7 +466,7 @@ def masked_rows(admitted: DataFrame, tables: Tables, context: Context = Context(
 
 def _row_verdicts(rows: DataFrame) -> DataFrame:
     row_hash = F.conv(F.substring(F.sha2("row_json", 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    return rows.groupBy("role", "call_key").agg(
+    return rows.groupBy("role", "call_kind", "call_key").agg(
         F.bool_or(F.coalesce("sanitized.blocked", F.lit(False))).alias("out_blocked"),
         F.bool_or(F.coalesce("sanitized.has_review_flag", F.lit(False))).alias("out_review"),
         F.count("row_json").alias("out_rows"),

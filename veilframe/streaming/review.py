@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 REVIEW_HOURS = 24
 OUTCOME = "request_id string, outcome string, action string, reason string, requested_at timestamp, resolved_at timestamp"
 _STATE = "requested_ms long, deadline_ms long, closed boolean"
+_EARLY = "at_ms long, kind string, action string, reason string"
 TIMEOUT_REASON = "Request cancelled or human review timeout"
 
 
@@ -22,10 +23,11 @@ def _ms(value) -> int:
 class ReviewGate(StatefulProcessor):
     """State per request: when it was asked, its deadline, and whether it is settled.
 
-    Rows of one batch are read in event-time order, so the outcome does not depend on
-    how the stream was cut into batches. The first decision wins; what comes after the
-    request is settled, or for a request that does not wait, is ignored. The state of a
-    settled request stays until its deadline, to know late decisions as such.
+    Rows of one batch are read in event-time order. A decision that is read before its request
+    is kept for the time of a review and applied once the request is there, so the outcome
+    does not depend on how the stream was cut into batches. The first decision after the request
+    wins; what comes after the request is settled is ignored. The state of a settled request
+    stays until its deadline, to know late decisions as such.
     """
 
     def __init__(self, hours: float = REVIEW_HOURS):
@@ -34,6 +36,7 @@ class ReviewGate(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.pending = handle.getValueState("pending", _STATE)
+        self.early = handle.getListState("early", _EARLY)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values(["ts", "kind"], ascending=[True, False], kind="stable")
@@ -45,22 +48,36 @@ class ReviewGate(StatefulProcessor):
                 if state is None:
                     state = (now, now + self.wait_ms, False)
                     self.handle.registerTimer(state[1])
-                continue
-            if state is None or state[2]:
-                continue
-            if now > state[1]:
-                out.append(_timeout(key[0], state))
-            elif event.kind == "cancel":
-                out.append((key[0], "cancelled", "error", TIMEOUT_REASON, state[0], now))
-            else:
-                out.append((key[0], "reviewed", event.action, event.reason, state[0], now))
-            state = (state[0], state[1], True)
+                    waiting = sorted(self.early.get()) if self.early.exists() else []
+                    self.early.clear()
+                    for at, kind, action, reason in waiting:
+                        if at >= now and not state[2]:
+                            state = self._settle(out, key[0], state, at, kind, action or None, reason or None)
+            elif state is None:
+                self.early.appendValue((now, event.kind, event.action or "", event.reason or ""))
+                self.handle.registerTimer(now + self.wait_ms)
+            elif not state[2]:
+                state = self._settle(out, key[0], state, now, event.kind, event.action, event.reason)
         if state is not None:
             self.pending.update(state)
         yield _frame(out)
 
+    def _settle(self, out: list, request_id: str, state, now: int, kind: str, action, reason):
+        if now > state[1]:
+            out.append(_timeout(request_id, state))
+        elif kind == "cancel":
+            out.append((request_id, "cancelled", "error", TIMEOUT_REASON, state[0], now))
+        else:
+            out.append((request_id, "reviewed", action, reason, state[0], now))
+        return (state[0], state[1], True)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         state = self.pending.get() if self.pending.exists() else None
+        if state is None:
+            self.early.clear()
+        elif state[1] > expiredTimerInfo.getExpiryTimeInMs():
+            yield _frame([])  # the timer of a decision that came before its request
+            return
         self.pending.clear()
         yield _frame([] if state is None or state[2] else [_timeout(key[0], state)])
 

@@ -83,4 +83,33 @@ _FUNCTIONS = (
     op1_embedding_dedup, op2_token_counts, op3_language_model, op4_toxicity, op5_benchmark_decontamination, op6_substring_dedup, op7_quality, op8_wavelet_shards, op9_jaccard_join, op10_mixture_packing,
 )
 QUERIES = {q.__name__: q for q in _FUNCTIONS}
-ORACLES: dict[str, str] = {}
+_WORD = "[^\\x20\\x09-\\x0D]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_COMPONENTS = """walk(id, other) AS (SELECT id, id FROM nodes UNION SELECT w.id, l.b FROM walk w JOIN links l ON l.a = w.other),
+ component AS (SELECT id, min(other) AS component_id FROM walk GROUP BY id)"""
+
+ORACLES: dict[str, str] = {
+    "op1_embedding_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+ nodes AS (SELECT id FROM v),
+ good AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM v WHERE label IS NOT NULL AND v IS NOT NULL AND len(v) > 0
+  AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+ links AS (SELECT x.id AS a, y.id AS b FROM good x JOIN good y ON x.label = y.label AND x.id <> y.id AND len(x.v) = len(y.v)
+  WHERE list_dot_product(x.v, y.v) / (x.n * y.n) >= 0.93), {_COMPONENTS}
+ SELECT id AS vec_id, (SELECT count(*) FROM links WHERE a = id) AS n_links, component_id, id = component_id AS kept FROM component""",
+    "op6_substring_dedup": f"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words FROM documents),
+ starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM w WHERE len(words) >= 35),
+ windows AS (SELECT doc_id, i, array_to_string(words[i:i + 34], ' ') AS win FROM starts),
+ again AS (SELECT doc_id, i FROM windows JOIN (SELECT win FROM windows GROUP BY win HAVING count(*) > 1) r USING (win)),
+ gone AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 35)))) AS places FROM again GROUP BY doc_id)
+ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed,
+ sha256(array_to_string(list_transform(list_filter(range(1, len(words) + 1), lambda p: places IS NULL OR NOT list_contains(places, p)), lambda p: words[p]), ' ')) AS kept_sha256
+ FROM w LEFT JOIN gone USING (doc_id)""",
+    "op9_jaccard_join": f"""WITH RECURSIVE w AS (SELECT doc_id AS id, regexp_extract_all({_LOWER}, '{_WORD}') AS words FROM documents),
+ nodes AS (SELECT id FROM w),
+ shingles AS (SELECT DISTINCT id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+  ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS s FROM w),
+ sizes AS (SELECT id, count(*) AS n FROM shingles GROUP BY id),
+ shared AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM shingles x JOIN shingles y ON x.s = y.s AND x.id <> y.id GROUP BY 1, 2),
+ links AS (SELECT a, b FROM shared JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b WHERE 100 * k >= 80 * (x.n + y.n - k)), {_COMPONENTS}
+ SELECT id AS doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM component LEFT JOIN sizes USING (id)""",
+}

@@ -152,3 +152,69 @@ def test_missing_record_is_reported(spark):
     judged = evaluation.judge_cases(cases, none)
     assert judged.first().problem == "No audit record produced"
     assert evaluation.metrics(judged).first().overall == 0
+
+
+def test_text_that_runs_is_the_text_that_was_checked(spark):
+    rows = [request(1, "analyst", "sql_query", "SELECT id FROM customers", text="SELECT ssn FROM customers")]
+    (row,) = gateway.admit(frame(spark, rows)).select("scan_text", "call_key").collect()
+    assert row.scan_text == row.call_key == "SELECT id FROM customers"
+
+
+def test_failing_request_costs_only_itself(spark, bank):
+    rows = [
+        request(1, "analyst", "sql_query", "SELECT CAST(first_name AS INT) AS n FROM customers"),
+        request(2, "analyst", "sql_query", "SELECT id FROM customers WHERE id = 1"),
+        request(3, "analyst", "sql_query", "SELECT `reflect`('java.lang.System', 'getProperty', 'user.dir') AS n FROM customers LIMIT 1"),
+    ]
+    log = gateway.run_requests(frame(spark, rows), bank)
+    got = {r.request_id: (r.status, r.error) for r in log.collect()}
+    assert got["2"] == ("success", None)
+    assert got["1"][0] == got["3"][0] == "error" and "CAST_INVALID_INPUT" in got["1"][1] and "not available" in got["3"][1]
+    assert {r.request_id: r.status for r in gateway.audit_rows(log).collect()} == {"1": "error", "2": "success", "3": "error"}
+
+
+def test_secret_behind_the_cut_blocks(spark, bank):
+    def many(session):
+        long = session.range(1, 3000).select("id", F.when(F.col("id") == 2000, "SSN 123-45-6789").otherwise("nothing here").alias("first_name"))
+        return long.withColumns({c: F.lit("x") for c in ("last_name", "email", "phone", "address", "ssn", "date_of_birth")})
+
+    rows = [request(1, "compliance_officer", "sql_query", "SELECT id, first_name FROM customers ORDER BY id"),
+            request(2, "compliance_officer", "sql_query", "SELECT id, first_name FROM customers WHERE id < 1500 ORDER BY id")]
+    got = {r.request_id: r for r in gateway.run_requests(frame(spark, rows), {**bank, "customers": many}).collect()}
+    assert (got["1"].status, got["2"].status) == ("blocked", "success")
+    assert json.loads(got["1"].response)["error"].startswith("Policy violation: secret in outbound")
+    assert got["2"].response.endswith("[truncated]")
+    whole = gateway.run_requests(frame(spark, rows), {**bank, "customers": many}, gateway.Context(judge_whole=False))
+    assert {r.status for r in whole.collect()} == {"success"}
+
+
+def test_rows_variant_runs_every_tool(spark, bank):
+    rows = [
+        request(1, "analyst", "customer_api_lookup", customer_id=3),
+        request(2, "analyst", "customer_api_search", name="a", limit=2),
+        request(3, "analyst", "customer_api_search", name="a", limit=500),
+        request(4, "analyst", "sql_query", "SELECT id FROM customers WHERE id < 0"),
+        request(5, "compliance_officer", "customer_api_lookup", customer_id=3),
+    ]
+    got = {r.request_id: r for r in gateway.run_requests_by_row(frame(spark, rows), bank).collect()}
+    assert {i: r.status for i, r in got.items()} == {"1": "review_queued", "2": "review_queued", "3": "success", "4": "success", "5": "blocked"}
+    assert [got[i].out_rows for i in "1235"] == [1, 1, 1, 1] and got["4"].out_rows is None
+    refused = gateway.run_requests(frame(spark, rows), bank).filter("request_id = '3'").first().response
+    assert json.loads(refused)["error"].startswith('API error: 422 - {"detail":[{"type":"less_than_equal"')
+
+
+def test_golden_case_that_is_no_select(spark, bank):
+    cases = frame(spark, [request(1, "analyst", "sql_query", "DELETE FROM admin_logs")]).withColumn("case_id", F.col("request_id"))
+    cases = cases.withColumns({"expected_status": F.lit("error"), "expected_rbac": F.lit("allow"), "expected_inbound_categories": F.array().cast("array<string>")})
+    (judged,) = evaluation.evaluate_cases(cases, bank).collect()
+    assert judged.status == "error" and judged.rbac_ok and judged.status_ok
+
+
+def test_every_account_comes_back(spark):
+    from veilframe.operators import lookup
+
+    customers = spark.createDataFrame([(1, "a")], "id long, email string")
+    accounts = spark.range(1500).select("id", F.lit(1).cast("long").alias("customer_id"), F.lit(2.5).alias("balance"))
+    calls = spark.createDataFrame([("compliance_officer", "1")], "role string, call_key string")
+    (row,) = lookup.lookup_outputs(calls, customers, accounts, 10**6).collect()
+    assert [a["id"] for a in json.loads(row.output)["accounts"]] == list(range(1500))

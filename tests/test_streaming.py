@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tests.test_requests import frame, request
 from veilframe import schemas
 from veilframe.plans import gateway
-from veilframe.sources import logs
+from veilframe.sources import logs, storage
 from veilframe.streaming import requests as streams
 from veilframe.streaming import review
 
@@ -62,7 +62,10 @@ def test_gateway_stream_equals_batch(spark, bank, tmp_path):
     reviews = logs.read_log(spark, paths["review"], schemas.REVIEW).count()
     assert reviews == gateway.review_entries(gateway.run_requests(df, bank), F.col("ts")).count() > 0
     replay = {n: str(tmp_path / f"replay-{n}") for n in paths}
+    folder = storage.shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
     for _ in range(2):
         streams.process_batch(df, 7, bank, replay)
     assert logs.read_log(spark, replay["review"], schemas.REVIEW).count() == reviews
     assert logs.read_log(spark, replay["audit"]).count() == len(rows)
+    assert {n for n in os.listdir(folder) if n.startswith("steps-")} <= before  # only the sinks stay

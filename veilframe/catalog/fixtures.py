@@ -96,14 +96,14 @@ QUERIES = (
 
 REQUESTS = f"""SELECT CAST(event_id AS STRING) AS request_id, ts, role, CAST(user_id AS STRING) AS user_id, tool_name,
  CASE WHEN tool_name = 'sql_query' THEN sql_text END AS query,
- CASE WHEN tool_name IN ('customer_api', 'customer_api_lookup') THEN CAST(event_id % 1600 AS BIGINT) END AS customer_id,
+ CASE WHEN tool_name IN ('customer_api', 'customer_api_lookup') THEN CAST(user_id * 10 + event_id % 12 AS BIGINT) END AS customer_id,
  CASE WHEN tool_name = 'customer_api_search' THEN search_name END AS name,
  CASE WHEN tool_name = 'customer_api_search' THEN search_email END AS email,
  CASE WHEN tool_name = 'customer_api_search' THEN CAST(1 + event_id % 4 AS INT) END AS "limit",
  CASE WHEN tool_name = 'customer_api' THEN fields END AS fields,
  CASE WHEN tool_name = 'sql_query' THEN sql_text
   WHEN tool_name = 'customer_api_search' THEN 'Search customers: name=' || coalesce(search_name, 'None') || ', email=' || coalesce(search_email, 'None')
-  ELSE 'Look up customer ' || CAST(event_id % 1600 AS STRING) END AS scan_text
+  ELSE 'Look up customer ' || CAST(user_id * 10 + event_id % 12 AS STRING) END AS scan_text
 FROM (SELECT event_id, ts, user_id,
   CASE user_id % 7 WHEN 0 THEN 'intern' WHEN 1 THEN 'analyst' WHEN 2 THEN 'analyst' WHEN 3 THEN 'analyst'
    WHEN 4 THEN 'guest' ELSE 'compliance_officer' END AS role,
@@ -111,7 +111,7 @@ FROM (SELECT event_id, ts, user_id,
    WHEN 'purchase' THEN 'customer_api_search' ELSE CASE WHEN event_id % 9 = 0 THEN 'shell' ELSE 'customer_api' END END AS tool_name,
   {_case(f'event_id % {len(QUERIES)}', [q for q, _, _ in QUERIES])} AS sql_text,
   CASE event_id % 5 WHEN 0 THEN 'ali' WHEN 1 THEN 'SMITH' WHEN 2 THEN 'o' WHEN 3 THEN 'Garc' END AS search_name,
-  CASE event_id % 3 WHEN 0 THEN 'alice.' WHEN 1 THEN '1@EXAMPLE' END AS search_email,
+  CASE event_id % 3 WHEN 0 THEN 'alice.' WHEN 1 THEN CAST(user_id AS STRING) || '@EXAMPLE' END AS search_email,
   CASE event_id % 4 WHEN 0 THEN 'name, ssn,email' WHEN 1 THEN 'first_name,Account_Number' WHEN 2 THEN 'id,email' END AS fields
  FROM events) e"""
 

@@ -13,6 +13,7 @@ from veilframe.operators.governed import Tables
 from veilframe.plans import gateway
 from veilframe.plans.gateway import Context
 from veilframe.sources.logs import write_batch
+from veilframe.sources.storage import temporary
 
 
 def deduplicate(requests: DataFrame, horizon: str, time: str = "ts") -> DataFrame:
@@ -31,8 +32,14 @@ def process_batch(
     context: Context = Context(), latency_ms: Column | None = None,
 ) -> None:
     """Run one micro-batch and write ``audit``, ``review`` and ``vault`` from the same
-    result. Ids are hashes and each batch has its own key, so a replay changes nothing."""
-    log = gateway.run_requests(requests, tables, context).persist(StorageLevel.MEMORY_AND_DISK)
+    result. Ids are hashes and each batch has its own key, so a replay changes nothing.
+    Intermediate tables are deleted once the sinks are written."""
+    with temporary(requests.sparkSession):
+        write_sinks(gateway.run_requests(requests, tables, context), batch_id, paths, latency_ms)
+
+
+def write_sinks(log: DataFrame, batch_id: int, paths: Mapping[str, str], latency_ms: Column | None = None) -> None:
+    log = log.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         time = F.col("ts")
         write_batch(gateway.audit_rows(log, time, latency_ms), paths["audit"], batch_id)

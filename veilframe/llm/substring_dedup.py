@@ -237,7 +237,7 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", w
             bounds = places[first].tolist()
             sha = [hashlib.sha256(raw[a:max(a, z - 1)]).hexdigest() if alone else None for a, z, alone in zip(bounds, bounds[1:], clean)]
             yield pa.record_batch({"id": batch.column("id"), "h": batch.column("h"), "n_words": pa.array(np.diff(first), pa.int64()), "kept_sha256": pa.array(sha, pa.string()),
-                                   "text": pc.if_else(found.is_null(), None, batch.column("text")), "found": found})
+                                   "text": batch.column("text").take(pa.array(np.arange(len(clean)), mask=np.array(clean, dtype=bool))), "found": found})
 
     def send(batches):
         for batch, texts in blocks(batches, "text"):

@@ -41,8 +41,9 @@ def _model(path: str):
 def pretokens(column: pa.Array) -> tuple[Texts, np.ndarray, np.ndarray, np.ndarray]:
     """The texts as the model sees them, start and end byte of each pre-token, each text's first."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
-    filled = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), column, pa.scalar("", pa.large_string()))
-    texts = Texts(pc.replace_substring(pc.if_else(pc.equal(column, ""), column, filled), _MARK, " "))
+    lead = np.where(pc.binary_length(column).to_numpy(zero_copy_only=False) > 0, " ", "")
+    filled = pc.binary_join_element_wise(pa.array(lead, pa.large_string()), column, pa.scalar("", pa.large_string()))
+    texts = Texts(pc.replace_substring(filled, _MARK, " "))
     blank, feed = texts.data == 0x20, texts.data == 0x0A
     before, _ = texts.marks(blank)
     start = feed | (blank & before)

@@ -147,7 +147,7 @@ class Vocabulary:
         odd = {int(i): self.whole.encode(column[int(i)].as_py(), add_special_tokens=False).ids for i in np.flatnonzero(special)}
         plain = self._plain(column)
         if odd:
-            plain = pc.if_else(pa.array(special), "", plain)
+            plain = pc.fill_null(plain.take(pa.array(np.arange(len(special)), mask=special)), "")
         texts = Texts(plain)
         starts, ends, first = self._pretokens(texts)
         key = slice_hashes(texts.data, starts, ends)

@@ -7,7 +7,7 @@ from veilframe.catalog import fixtures
 
 _NAMES = "|".join(h.replace(".", r"\.") for h in fixed.HONORIFICS) + "|" + "|".join(fixed.FIRST_NAMES)
 
-# the eight detectors for RE2, in tie-break order
+# --- fixed values: the eight detectors for RE2, in tie-break order
 RE2 = (
     ("private_email", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"),
     ("private_phone", r"(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}"),

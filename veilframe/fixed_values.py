@@ -24,20 +24,19 @@ BIOES_PREFIXES = ("B", "I", "O", "E", "S")
 
 # --- fixed values: honorifics and first names that start a person span -------
 HONORIFICS = ("Mr.", "Mrs.", "Ms.", "Dr.", "Prof.")
-FIRST_NAMES = tuple(
-    """
-    John Jane Alice Bob Sarah Michael Emma David William James Mary Patricia
-    Jennifer Linda Elizabeth Barbara Susan Jessica Karen Nancy Lisa Betty
-    Margaret Sandra Ashley Kimberly Emily Donna Michelle Dorothy Carol Amanda
-    Melissa Deborah Stephanie Rebecca Sharon Laura Cynthia Kathleen Amy Shirley
-    Angela Helen Anna Brenda Pamela Nicole Samantha Katherine Christine Debra
-    Rachel Catherine Carolyn Janet Ruth Maria Heather Diane Virginia Julie Joyce
-    Victoria Olivia Kelly Christina Lauren Joan Evelyn Judith Megan Cheryl Andrea
-    Hannah Martha Jacqueline Frances Gloria Ann Teresa Kathryn Sara Janice Jean
-    Madison Doris Abigail Julia Judy Grace Denise Amber Marilyn Beverly Danielle
-    Theresa Sophia Marie Diana Brittany Natalie Isabella Charlotte Rose Alexis
-    Kayla
-    """.split()
+FIRST_NAMES = (
+    "John", "Jane", "Alice", "Bob", "Sarah", "Michael", "Emma", "David", "William", "James", "Mary",
+    "Patricia", "Jennifer", "Linda", "Elizabeth", "Barbara", "Susan", "Jessica", "Karen", "Nancy",
+    "Lisa", "Betty", "Margaret", "Sandra", "Ashley", "Kimberly", "Emily", "Donna", "Michelle",
+    "Dorothy", "Carol", "Amanda", "Melissa", "Deborah", "Stephanie", "Rebecca", "Sharon", "Laura",
+    "Cynthia", "Kathleen", "Amy", "Shirley", "Angela", "Helen", "Anna", "Brenda", "Pamela",
+    "Nicole", "Samantha", "Katherine", "Christine", "Debra", "Rachel", "Catherine", "Carolyn",
+    "Janet", "Ruth", "Maria", "Heather", "Diane", "Virginia", "Julie", "Joyce", "Victoria",
+    "Olivia", "Kelly", "Christina", "Lauren", "Joan", "Evelyn", "Judith", "Megan", "Cheryl",
+    "Andrea", "Hannah", "Martha", "Jacqueline", "Frances", "Gloria", "Ann", "Teresa", "Kathryn",
+    "Sara", "Janice", "Jean", "Madison", "Doris", "Abigail", "Julia", "Judy", "Grace", "Denise",
+    "Amber", "Marilyn", "Beverly", "Danielle", "Theresa", "Sophia", "Marie", "Diana", "Brittany",
+    "Natalie", "Isabella", "Charlotte", "Rose", "Alexis", "Kayla",
 )
 STREET_TYPES = ("St", "Ave", "Blvd", "Dr", "Ln", "Rd", "Way", "Ct", "Pl", "Circle", "Pkwy")
 

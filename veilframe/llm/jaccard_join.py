@@ -3,7 +3,8 @@
 Between indexes and sets: shingles have one fixed order, rare ones first; two sets that reach
 the threshold share one of their first few (the prefix). An index list of a shingle holds sets
 sorted by size and position; from the size and the position of both sides follows how much they
-can still share, so whole blocks of a list are skipped.
+can share, so whole blocks of a list are skipped; and pairs are dropped whose prefixes share too few
+shingles for what is left behind the prefix that ends first.
 
 Between sets: equal sets are one class with one answer. Sets that share a few smallest hashes are
 compared with the smallest member of that bucket first; where they reach the threshold they get
@@ -111,7 +112,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
 
 def _block_pairs(size: np.ndarray, pos: np.ndarray, label: np.ndarray, percent: int):
-    """Pairs (i, j), i < j, of one index list that may reach the threshold; sizes ascend."""
+    """Pairs (i, j), i < j, of one index list that this shingle leaves open; sizes ascend. Before
+    it they share at most as many shingles as the earlier position, after it as many as the
+    shorter rest."""
     n = len(size)
     for at in range(0, n, BLOCK):
         end = min(n, at + BLOCK)
@@ -123,15 +126,20 @@ def _block_pairs(size: np.ndarray, pos: np.ndarray, label: np.ndarray, percent:
             if low == high and low == label[to:stop].min() == label[to:stop].max():
                 continue  # one label on both sides: their answers are known
             x, y = size[at:end, None], size[None, to:stop]
-            most = np.minimum(x - pos[at:end, None], y - pos[None, to:stop])
+            i, j = pos[at:end, None], pos[None, to:stop]
+            most = np.minimum(i, j) + np.minimum(x - i, y - j)
             good = (most >= _needed(x, y, percent)) & (y * percent <= x * 100) & (label[at:end, None] != label[None, to:stop])
             i, j = np.nonzero(good)
             i, j = i + at, j + to
             yield i[i < j], j[i < j]
 
 
+_MATCHES = "a long, b long, n long, pos_a int, pos_b int, size_a int, size_b int, end_a int, end_b int"
+
+
 def _list_pairs(percent: int):
-    """Rows sorted by (token, part, size, pos) in; candidate pairs of different labels out."""
+    """Rows sorted by (token, part, size, pos) in; for pairs of different labels how many shingles
+    of their prefixes they share, and the last positions of these, out."""
 
     def settle(table: pa.Table) -> pa.RecordBatch | None:
         column = {c: table.column(c).to_numpy() for c in table.column_names}
@@ -139,14 +147,26 @@ def _list_pairs(percent: int):
         cuts = np.concatenate([[0], np.flatnonzero(change) + 1, [len(change) + 1]])
         label = column["label"]
         low, high = np.minimum.reduceat(label, cuts[:-1]), np.maximum.reduceat(label, cuts[:-1])
-        found = [np.zeros((0, 2), np.int64)]
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k in np.flatnonzero(low != high).tolist():
             s = slice(cuts[k], cuts[k + 1])
-            c = column["c"][s]
             for i, j in _block_pairs(column["size"][s].astype(np.int64), column["pos"][s].astype(np.int64), label[s], percent):
-                found.append(np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j])], 1))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.record_batch({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])}) if len(pairs) else None
+                left.append(i + cuts[k])
+                right.append(j + cuts[k])
+        left, right = np.concatenate(left), np.concatenate(right)
+        if not len(left):
+            return None
+        c = column["c"]
+        left, right = np.where(c[left] < c[right], left, right), np.where(c[left] < c[right], right, left)
+        order = np.lexsort((c[right], c[left]))
+        left, right = left[order], right[order]
+        a, b = c[left], c[right]
+        begin = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        return pa.record_batch({
+            "a": a[begin], "b": b[begin], "n": np.diff(np.append(begin, len(a))),
+            "pos_a": np.maximum.reduceat(column["pos"][left], begin), "pos_b": np.maximum.reduceat(column["pos"][right], begin),
+            "size_a": column["size"][left][begin], "size_b": column["size"][right][begin],
+            "end_a": column["end"][left][begin], "end_b": column["end"][right][begin]})
 
     def run(batches):
         held = None  # the rows of the last list so far
@@ -212,22 +232,30 @@ def similar_sets(docs: DataFrame, id: str = "doc_id", text: str = "text", size:
                    .filter(F.col("n") >= OFTEN).orderBy(F.desc("n"), "token").limit(common).toArrow())
             token = top.column("token").to_numpy().view(np.uint64)
             order = np.argsort(token)
-            often = spark.sparkContext.broadcast((token[order], top.column("n").to_numpy()[order]))
+            counts = top.column("n").to_numpy()
+            place = np.empty(len(token), dtype=np.uint64)  # by count, then hash
+            place[np.lexsort((token, counts))] = np.arange(len(token), dtype=np.uint64)
+            often = spark.sparkContext.broadcast((token[order], counts[order], place[order]))
 
             def index(batches):
-                known, counts = often.value
+                known, counts, place = often.value
                 for batch, block in blocks(batches, "text"):
                     values, offsets = shingle_sets(block, size)
                     doc = run_ids(offsets)
                     n = np.diff(offsets)[doc]
-                    times = np.zeros(len(values), np.int64)
+                    # The order of shingles: rare ones by hash, then common ones by count.
+                    times, rank = np.zeros(len(values), np.int64), values >> np.uint64(1)
                     if len(known):
                         at = np.minimum(np.searchsorted(known, values), len(known) - 1)
-                        times = np.where(known[at] == values, counts[at], 0)
-                    order = np.lexsort((values, times, doc))
-                    values, times = values[order], times[order]
+                        here = known[at] == values
+                        times = np.where(here, counts[at], 0)
+                        rank = np.where(here, np.uint64(1 << 63) | place[at], rank)
+                    order = np.lexsort((values, rank, doc))
+                    values, times, rank = values[order], times[order], rank[order]
                     pos = np.arange(len(values)) - offsets[:-1][doc]
-                    keep = np.flatnonzero(pos < n - _ceil(n * percent, 100) + 1)
+                    prefix = n - _ceil(n * percent, 100) + 1
+                    end = (rank[offsets[:-1][doc] + prefix - 1] >> np.uint64(33)).astype(np.int32)
+                    keep = np.flatnonzero(pos < prefix)
                     # A long list is dealt into parts; each pair of parts meets in one place.
                     split = times[keep] // list_rows + 1
                     again = np.repeat(keep, split)
@@ -237,14 +265,22 @@ def similar_sets(docs: DataFrame, id: str = "doc_id", text: str = "text", size:
                     row = pa.array(doc[again])
                     yield pa.record_batch({
                         "token": pa.array(values[again].view(np.int64)), "part": pa.array(np.minimum(own, other) * split + np.maximum(own, other), pa.int32()),
-                        "size": pa.array(n[again], pa.int32()), "pos": pa.array(pos[again], pa.int32()),
+                        "size": pa.array(n[again], pa.int32()), "pos": pa.array(pos[again], pa.int32()), "end": pa.array(end[again]),
                         "c": batch.column(0).take(row), "label": batch.column(2).take(row)})
 
             labelled = (texts.join(labels.withColumnRenamed("id", "c"), "c", "left")
                         .select("c", "text", F.coalesce("component", "c").alias("label")))
-            listed = labelled.mapInArrow(index, "token long, part int, size int, pos int, c long, label long")
-            pairs = (listed.repartition("token", "part").sortWithinPartitions("token", "part", "size", "pos")
-                     .mapInArrow(_list_pairs(percent), "a long, b long").distinct())
+            listed = labelled.mapInArrow(index, "token long, part int, size int, pos int, end int, c long, label long")
+            matches = (listed.repartition("token", "part").sortWithinPartitions("token", "part", "size", "pos")
+                       .mapInArrow(_list_pairs(percent), _MATCHES))
+            # Of two prefixes one ends first in the order; what the sets share up to there stands in
+            # both, so it has been counted, and the rest of that set is all that can be added.
+            least = F.ceil(percent * (F.col("size_a") + F.col("size_b")) / F.lit(100.0 + percent) - F.lit(1e-9))
+            rest_a, rest_b = [F.ceil(percent * F.col(c) / F.lit(100.0) - F.lit(1e-9)) - 1 for c in ("size_a", "size_b")]
+            rest = F.when(F.col("end_a") < F.col("end_b"), rest_a).when(F.col("end_a") > F.col("end_b"), rest_b).otherwise(F.greatest(rest_a, rest_b))
+            behind = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) - 1
+            pairs = (matches.groupBy("a", "b").agg(F.sum("n").alias("n"), *[F.max(c).alias(c) for c in ("pos_a", "pos_b", "size_a", "size_b", "end_a", "end_b")])
+                     .filter(F.col("n") + F.least(rest, behind) >= least).select("a", "b"))
             far = work.table(_verified(work.table(pairs, "pairs"), texts, size, percent), "far")
             whole = components(near.unionByName(far), work).select(F.col("id").alias("c"), "component")
             named = classes.select("s1", "s2", "n", "c").join(whole, "c", "left").select("s1", "s2", "n", F.coalesce("component", "c").alias("component_id"))

@@ -150,3 +150,21 @@ def test_benchmark_matches(spark, monkeypatch, item_bytes):
     assert all(r.score == 1 and (r.first_word, r.last_word) == (20, 19 + len(items[r.doc_id % 4])) for r in exact)
     assert decontamination.benchmark_matches(frame(spark, []), bench).collect() == []
     assert decontamination.benchmark_matches(frame(spark, docs), bench.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("copies", [17, 1000])
+def test_many_copies_of_an_edited_item(spark, copies):
+    from veilframe.llm.decontamination import benchmark_matches
+
+    rng = random.Random(5)
+    item = [f"w{k}" for k in range(30)]
+    edited = list(item)
+    for k in (2, 5, 8, 11, 14, 17, 20):  # six 3-grams in a row are left at the end, and none before
+        edited[k] = f"x{k}"
+    assert sum(edited[k:k + 3] == item[k:k + 3] for k in range(28)) < 14
+    docs = [(k, " ".join([f"n{rng.randrange(10**6)}", *edited, f"n{rng.randrange(10**6)}"])) for k in range(copies)]
+    docs.append((-5, "w27 w28 w29 alone says little"))
+    bench = spark.createDataFrame([(3, " ".join(item))], "item_id long, text string")
+    got = benchmark_matches(frame(spark, docs), bench).collect()
+    assert sorted(r.doc_id for r in got) == list(range(copies))
+    assert {(r.first_word, r.last_word, r.score) for r in got} == {(1, 30, (2 * 23 - 7) / 60)}

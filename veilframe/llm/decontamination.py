@@ -1,10 +1,11 @@
-"""Benchmark items in training texts, also edited ones: rare n-gram seeds, then Smith-Waterman.
+"""Benchmark items in training texts, also edited ones: n-gram seeds, then Smith-Waterman.
 
-Seeds are the items' word n-grams. One pass over the corpus counts them; a seed far commoner than
-the item's others is dropped. A second pass looks the remaining seeds up in every text. Where one
-stands, the words around it are aligned with the item's; the local alignment's score over the
-item's best possible one is the match's score. Items come in blocks of bounded size, each sent to
-all tasks, so texts are never shuffled and the benchmark may have any size."""
+Seeds are the items' word n-grams, all of them, however common: a seed is common also where the
+corpus holds many copies of an item. One pass looks them up in every text. Where seeds of an item
+stand, the words around them that the item has too are counted: an alignment cannot match more. Only
+if these could reach the threshold are the words aligned with the item's; the local alignment's score
+over the item's best possible one is the match's score. Items come in blocks of bounded size, each
+sent to all tasks, so texts are never shuffled and the benchmark may have any size."""
 
 from __future__ import annotations
 
@@ -17,15 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veilframe.llm.store import Workspace
-from veilframe.llm.text import Texts, blocks, gram_hashes, run_ids, slice_hashes
+from veilframe.llm.text import Texts, blocks, gram_hashes, mix, run_ids, slice_hashes
 
 GRAM = 3
 #: Share of an item's best score that makes a match.
 THRESHOLD = 0.5
-#: A seed is dropped if it stands in the corpus so many times as often as the item's median seed.
-COMMON = 16
 #: Bytes of item texts that are sent to tasks at once.
 ITEM_BYTES = 8 << 20
+#: Seeds, and words around them, that are looked at together (one text's seeds in any case).
+TOGETHER = 1 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Words are runs of letters, digits and bytes beyond ASCII.
 _BREAKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -77,21 +78,15 @@ class Items:
             seed.append(grams)
             item.append(np.full(len(grams), k))
             place.append(np.arange(len(grams)))
-        self._set(np.concatenate(seed or [np.zeros(0, np.uint64)]), np.concatenate(item or [np.zeros(0, int)]), np.concatenate(place or [np.zeros(0, int)]))
-
-    def _set(self, seed: np.ndarray, item: np.ndarray, place: np.ndarray) -> None:
-        order = np.argsort(seed, kind="stable")
-        self.seed, self.item, self.place = seed[order], item[order], place[order]
+        self.sizes = np.array([len(own) for own in self.words], dtype=np.int64)
+        seeds = np.concatenate(seed or [np.zeros(0, np.uint64)])
+        order = np.argsort(seeds, kind="stable")
+        self.seed, self.item, self.place = seeds[order], np.concatenate(item or [np.zeros(0, int)])[order], np.concatenate(place or [np.zeros(0, int)])[order]
+        every = np.concatenate(self.words or [np.zeros(0, np.uint64)])
+        self.pairs, self.times = np.unique(_in_item(np.repeat(np.arange(len(ids)), self.sizes), every), return_counts=True)
         self.marks = np.zeros(1 << 20, dtype=bool)  # by low bits, so most grams need no search
         self.marks[self.seed & np.uint64(0xFFFFF)] = True
 
-    def only_rare(self, counts: dict[int, int], common: int) -> None:
-        """Drop seeds that are much commoner in the corpus than their item's median seed."""
-        n = np.array([counts.get(int(s), 0) for s in self.seed.view(np.int64)], dtype=float)
-        median = np.array([np.median(n[self.item == k]) if (self.item == k).any() else 0 for k in range(len(self.ids))])
-        keep = n <= common * (median[self.item] + 1)
-        self._set(self.seed[keep], self.item[keep], self.place[keep])
-
     def find(self, grams: np.ndarray) -> np.ndarray:
         """Places of grams that are seeds."""
         at = np.flatnonzero(self.marks[grams & np.uint64(0xFFFFF)])
@@ -100,15 +95,61 @@ class Items:
         low = np.minimum(np.searchsorted(self.seed, grams[at]), len(self.seed) - 1)
         return at[self.seed[low] == grams[at]]
 
-    def regions(self, at: np.ndarray, grams: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, first, last) word of stretches of one text that may hold an item."""
+    def regions(self, at: np.ndarray, grams: np.ndarray, doc: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(text, item, first word, word behind the last) of stretches that may hold an item."""
         low, high = np.searchsorted(self.seed, grams[at]), np.searchsorted(self.seed, grams[at], side="right")
-        for k in np.unique(np.concatenate([self.item[a:b] for a, b in zip(low, high)])):
-            size = len(self.words[k])
-            begin = np.sort(np.concatenate([p - self.place[a:b][self.item[a:b] == k] for p, a, b in zip(at, low, high)]))
-            cuts = np.flatnonzero(np.diff(begin) > size) + 1
-            for part in np.split(begin, cuts):
-                yield int(k), int(part[0]) - size // 2, int(part[-1]) + size + size // 2
+        which, seed = _spread(low, high)
+        text, item, begin = doc[at[which]], self.item[seed], at[which] - self.place[seed]
+        order = np.lexsort((begin, item, text))
+        text, item, begin = text[order], item[order], begin[order]
+        new = np.ones(len(begin), dtype=bool)
+        new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (np.diff(begin) > self.sizes[item[1:]])
+        one = np.flatnonzero(new)
+        last = np.append(one[1:], len(begin))[:len(one)] - 1
+        text, item, size = text[one], item[one], self.sizes[item[one]]
+        return text, item, np.maximum(begin[one] - size // 2, first[text]), np.minimum(begin[last] + size + size // 2, first[text + 1])
+
+    def common_words(self, item: np.ndarray, low: np.ndarray, high: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """How many words each stretch has in common with its item; no alignment matches more."""
+        region, at = _spread(low, high)
+        pair = _in_item(item[region], words[at])
+        known = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        here = self.pairs[known] == pair
+        both, n = np.unique(region[here] * len(self.pairs) + known[here], return_counts=True)
+        return np.bincount(both // len(self.pairs), np.minimum(n, self.times[both % len(self.pairs)]), minlength=len(item))
+
+    def candidates(self, at: np.ndarray, words: np.ndarray, grams: np.ndarray, doc: np.ndarray, first: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, first word, word behind the last) of all stretches whose alignment could
+        reach the threshold; at: the places of all grams that are seeds."""
+        uses = np.searchsorted(self.seed, grams[at], side="right") - np.searchsorted(self.seed, grams[at])
+        for a, z in _parts(uses, doc[at]):
+            text, item, low, high = self.regions(at[a:z], grams, doc, first)
+            for b, y in _parts(high - low, np.arange(len(low))):
+                enough = self.common_words(item[b:y], low[b:y], high[b:y], words) / self.sizes[item[b:y]] >= threshold
+                for r in (b + np.flatnonzero(enough)).tolist():
+                    yield int(text[r]), int(item[r]), int(low[r]), int(high[r])
+
+
+def _in_item(item: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """A hash for each word of an item."""
+    return mix(words ^ (item + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers from each low to before its high, behind the index of that range."""
+    n = high - low
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + low[which]
+
+
+def _parts(size: np.ndarray, group: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about TOGETHER by size that cut no group; groups are in order."""
+    if not len(size):
+        return
+    begins = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    before = np.append(0, np.cumsum(size))[begins] // TOGETHER
+    cuts = [*begins[np.flatnonzero(np.append(True, before[1:] != before[:-1]))].tolist(), len(size)]
+    yield from zip(cuts, cuts[1:])
 
 
 def _texts_and_grams(batches, gram: int):
@@ -125,7 +166,7 @@ def _blocks_of(items: DataFrame) -> int:
     return -(-total // ITEM_BYTES) or 1
 
 
-def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, gram: int = GRAM, common: int = COMMON) -> DataFrame:
+def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, gram: int = GRAM) -> DataFrame:
     """(id, item, score, first_word, last_word): every item that a text holds, its best place
     there (word numbers; words are runs of letters and digits), and the alignment's score from
     `threshold` to 1.
@@ -147,42 +188,28 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id",
                 continue
             block = Items([i if i is not None else -1 for i in own.column("item").to_pylist()], own.column("text").combine_chunks(), gram)
             known = own.column("item").is_valid().to_pylist()
-            first_look = spark.sparkContext.broadcast(block)
-
-            def count(batches, seeds=first_look):
-                for _, _, _, grams, _, inside in _texts_and_grams(batches, gram):
-                    hits = grams[inside]
-                    seed, n = np.unique(hits[seeds.value.find(hits)], return_counts=True)
-                    yield pa.record_batch({"seed": pa.array(seed.view(np.int64)), "n": pa.array(n, pa.int64())})
-
-            counts = docs.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
-            block.only_rare(dict(zip(counts.column(0).to_pylist(), counts.column(1).to_pylist())), common)
-            second_look = spark.sparkContext.broadcast((block, known))
+            look = spark.sparkContext.broadcast((block, known))
 
-            def match(batches, seeds=second_look):
+            def match(batches, seeds=look):
                 some, known = seeds.value
                 for batch, words, first, grams, doc, inside in _texts_and_grams(batches, gram):
                     at = some.find(grams)
                     at = at[inside[at]]
                     rows: list[list] = [[], [], [], [], []]
-                    for d in np.unique(doc[at]).tolist():
-                        a, z = int(first[d]), int(first[d + 1])
-                        best: dict[int, tuple[float, int, int]] = {}
-                        for k, low, high in some.regions(at[doc[at] == d], grams):
-                            low, high = max(low, a), min(high, z)
-                            score, begin, end = align(some.words[k], words[low:high])
-                            share = score / (MATCH * len(some.words[k]))
-                            if share >= threshold and share > best.get(k, (0.0,))[0]:
-                                best[k] = (share, low - a + begin, low - a + end)
-                        for k, (share, begin, end) in best.items():
-                            for column, value in zip(rows, (d, int(some.ids[k]) if known[k] else None, share, begin, end)):
-                                column.append(value)
+                    best: dict[tuple[int, int], tuple[float, int, int]] = {}
+                    for d, k, low, high in some.candidates(at, words, grams, doc, first, threshold):
+                        score, begin, end = align(some.words[k], words[low:high])
+                        share, a = score / (MATCH * len(some.words[k])), int(first[d])
+                        if share >= threshold and share > best.get((d, k), (0.0,))[0]:
+                            best[d, k] = (share, low - a + begin, low - a + end)
+                    for (d, k), (share, begin, end) in best.items():
+                        for column, value in zip(rows, (d, int(some.ids[k]) if known[k] else None, share, begin, end)):
+                            column.append(value)
                     yield pa.record_batch({"id": batch.column(0).take(pa.array(rows[0], pa.int64())), "item": pa.array(rows[1], pa.int64()), "score": pa.array(rows[2], pa.float64()),
                                            "first_word": pa.array(rows[3], pa.int64()), "last_word": pa.array(rows[4], pa.int64())})
 
             found.append(work.table(docs.mapInArrow(match, schema), f"part-{part}"))
-            first_look.unpersist()
-            second_look.unpersist()
+            look.unpersist()
         every = spark.createDataFrame([], schema)
         for one in found:
             every = every.unionByName(one)

@@ -92,6 +92,20 @@ def test_language_model(spark, states, head):
         assert r.score == pytest.approx(expected[r.doc_id][3], rel=1e-9)
 
 
+@pytest.mark.parametrize("options", [{}, {"head": 100, "arcs_head": 50}])
+def test_language_model_has_a_state_for_every_word(spark, options):
+    from veilframe.llm.language_model import score_texts
+
+    rng = np.random.default_rng(3)  # 3 000 words, half of them always followed by the same one
+    data = [(k, " ".join(f"a{w} b{w}" for w in rng.integers(0, 1500, 60))) for k in range(150)]
+    _, expected, _ = _scores(data, 10**6, 2, 0.75)
+    got = score_texts(frame(spark, data), **options).collect()
+    assert len(got) == len(data)
+    for r in got:
+        assert r.base_score == pytest.approx(expected[r.doc_id][2], rel=1e-9)
+        assert r.score == pytest.approx(expected[r.doc_id][3], rel=1e-9)
+
+
 def test_language_model_of_little(spark):
     from veilframe.llm.language_model import score_texts
 

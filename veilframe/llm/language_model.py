@@ -1,13 +1,14 @@
 """A word n-gram model as a weighted backoff automaton, and its score of whole texts.
 
 States are histories. The root has an arc for every word: (c + 1) / (N + V + 1), with one share
-for all unknown words. A word that is frequent in training also has a state of its own, with an
-arc for each frequent word that followed it at least `least` times, weighted by the discounted
-count; its failure arc leads to the root and carries the rest of the probability, so that the
-weights of a state always sum to one. A text is read once from left to right: in each state the
-arc of the next token is taken, or the failure arc and then the root's, and the logarithms are
-added. The states' alphabet is bounded (`states`), so the arcs fit a broadcast of known size;
-the root's arcs are not, and rare words get theirs by a join."""
+for all unknown words. Every word of training also has a state of its own, with an arc for each
+word that followed it at least `least` times, weighted by the discounted count; its failure arc
+leads to the root and carries the rest of the probability, so that the weights of a state always
+sum to one. In each state the arc of the next token is taken, or the failure arc and then the
+root's, and the logarithms are added. So a text's score is the sum of its tokens' root arcs, of
+its histories' failure arcs, and for each arc that is taken of what it gains over these two.
+Frequent words and arcs are in broadcasts of bounded size; texts get all others by joins, so
+neither has a limit."""
 
 from __future__ import annotations
 
@@ -16,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.counting import HEAD, Head, piece_counts, rare_pieces
+from veilframe.llm.counting import HEAD, piece_counts, rare_pieces
 from veilframe.llm.store import Workspace
-from veilframe.llm.text import Texts, blocks, run_ids, slice_hashes
+from veilframe.llm.text import Texts, blocks, distinct_within, mix, run_ids, slice_hashes
 
-#: Histories with a state of their own, and words their arcs may have; arcs are at most the square.
-STATES = 2048
+#: Arcs in the broadcast lookup, 16 bytes each; texts get the others by a join.
+ARCS = 1 << 20
+#: The end of a text, among the words' hashes; it also stands before a text's first word.
+END = 0x2545F4914F6CDD1D
 DISCOUNT = 0.75
 
 
@@ -30,52 +33,62 @@ def _cut(column: pa.Array):
     return (texts, *texts.words())
 
 
-def _with_ends(state: np.ndarray, first: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words' states with the end after each text; which text each is of; whether it is a text's first token."""
+def _pairs(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each token's history and own hash, ends included, and which text it is of."""
     count = len(first) - 1
     doc = np.repeat(np.arange(count), np.diff(first) + 1)
-    out = np.full(len(state) + count, end, dtype=np.int64)
-    at = np.arange(len(state)) + run_ids(first)
-    out[at] = state
-    begins = np.zeros(len(out), dtype=bool)
-    begins[first[:-1] + np.arange(count)] = True
-    return out, doc, begins
-
-
-class Automaton:
-    """Arcs of all states with more than the root's, as sorted arrays. State `states` - 1 is the
-    end of a text, which is also what stands before a text's first token; -1 is the root."""
-
-    def __init__(self, pairs: np.ndarray, counts: np.ndarray, visits: np.ndarray, unigram: np.ndarray, discount: float):
-        size = len(visits)
-        order = np.argsort(pairs)
-        self.arcs, kept = pairs[order], np.maximum(counts[order] - discount, 0)
-        history, word = self.arcs // size, self.arcs % size
-        seen = np.maximum(visits, 1)
-        rest = np.clip(1 - np.bincount(history, kept, minlength=size) / seen, 1e-12, 1)
-        self.failure = np.log10(rest)
-        self.weight = np.log10(kept / seen[history] + rest[history] * unigram[word])
-
-    def read(self, state: np.ndarray, begins: np.ndarray, root: np.ndarray) -> np.ndarray:
-        """Log10 of each token's probability in its place; root: that of the root's arc, 0 where
-        it will be added later. A token's state is the history of the one after it."""
-        size = len(self.failure)
-        history = np.empty_like(state)
-        history[1:] = state[:-1]
-        history[begins] = size - 1
-        pair = np.where((history >= 0) & (state >= 0), history * size + state, -1)
-        at = np.minimum(np.searchsorted(self.arcs, pair), max(len(self.arcs) - 1, 0))
-        arc = (self.arcs[at] == pair) & (pair >= 0) if len(self.arcs) else np.zeros(len(pair), bool)
-        fail = np.where(history >= 0, self.failure[history], 0.0)
-        return np.where(arc, self.weight[at] if len(self.arcs) else 0.0, fail + root)
-
-
-def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", fold: int = 7, held: int = 2, states: int = STATES, least: int = 2, discount: float = DISCOUNT, head: int = HEAD) -> DataFrame:
+    word = np.full(len(hashes) + count, END, dtype=np.int64)
+    word[np.arange(len(hashes)) + run_ids(first)] = hashes.view(np.int64)
+    history = np.empty_like(word)
+    history[1:] = word[:-1]
+    history[first[:-1] + np.arange(count)] = END
+    return history, word, doc
+
+
+def _key(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """One hash for a pair."""
+    return mix(mix(history.view(np.uint64)) * np.uint64(0xD1342543DE82EF95) + word.view(np.uint64)).view(np.int64)
+
+
+class Known:
+    """Rows of numbers by key, sorted, to look up many at once."""
+
+    def __init__(self, table: pa.Table):
+        key, *values = (c.to_numpy() for c in table.columns)
+        order = np.argsort(key)
+        self.key, self.values = key[order], [v[order] for v in values]
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of these are here, and where (0 for the others)."""
+        if not len(self.key):
+            return np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
+        here = self.key[at] == keys
+        return here, np.where(here, at, 0)
+
+    def value(self, i: int, here: np.ndarray, at: np.ndarray, other: float) -> np.ndarray:
+        return np.where(here, self.values[i][at], other) if len(self.key) else np.full(len(here), other)
+
+
+def _most_frequent(arcs: DataFrame, most: int) -> DataFrame:
+    """At most so many arcs: all whose count is in the upper ones of logarithmic classes."""
+    size = F.floor(F.log2("n") * 8)
+    least, sum_ = None, 0
+    for r in arcs.groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect():  # at most 8 * 64 rows
+        sum_ += r["count"]
+        if sum_ > most:
+            break
+        least = r["size"]
+    return arcs.filter(size >= least) if least is not None else arcs.limit(0)
+
+
+def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", fold: int = 7, held: int = 2, states: int | None = None, least: int = 2, discount: float = DISCOUNT, head: int = HEAD, arcs_head: int = ARCS) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) per id.
 
     Tokens are lower-cased (A-Z) runs without blanks, then one end per text. Learns from texts
     whose crc32(id as text) mod `fold` is not `held`; scores all. base_score is the root's alone,
-    score the automaton's. A null or empty text is its end token. A null id counts as the text ''.
+    score the automaton's. With `states`, only the end and the states - 1 most frequent words have
+    states and arcs to them. A null or empty text is its end token. A null id counts as the text ''.
     Rows that share an id are separate texts of one document: their numbers add up. With nothing
     to learn from, each token's probability is that of the unknown. Other columns are not read."""
     spark = docs.sparkSession
@@ -84,74 +97,119 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", fold: i
     train = ~F.col("held_out")
     kind = docs.schema["id"].dataType.simpleString()
     with Workspace(spark, "language-model") as work:
-        unigrams = work.table(piece_counts(docs, "text", _cut, train), "words")
+        def named(batches):
+            for batch in batches:
+                texts = Texts(batch.column(0))
+                hashes = slice_hashes(texts.data, texts.offsets[:-1], texts.offsets[1:])
+                yield pa.record_batch({"piece": batch.column(0), "n": batch.column(1), "h": pa.array(hashes.view(np.int64))})
+
+        unigrams = work.table(piece_counts(docs, "text", _cut, train).mapInArrow(named, "piece string, n long, h long"), "unigrams")
         n_texts = docs.filter(train).count()
         n_words, distinct = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
         total, kinds = n_words + n_texts, distinct + (1 if n_texts else 0)
-        frequent = Head(unigrams, "n", head)
-        state_of = np.where(frequent.ranks < states - 1, frequent.ranks, -1)
-        visits = np.zeros(states, dtype=np.int64)
-        visits[state_of[state_of >= 0]] = frequent.values[state_of >= 0]
-        visits[-1] = n_texts
-        share = spark.sparkContext.broadcast((frequent, state_of))
-
-        def states_of(texts, starts, ends):
-            known, state = share.value
-            hashes = slice_hashes(texts.data, starts, ends)
-            here, at = known.find(hashes)
-            return hashes, here, at, np.where(here, state[at] if len(state) else -1, -1).astype(np.int64)
+        alphabet = None
+        if states is not None:
+            top = unigrams.orderBy(F.desc("n"), "piece").limit(states - 1).select("h").toArrow().column(0).to_numpy()
+            alphabet = spark.sparkContext.broadcast(np.append(top, END))
 
         def pairs(batches):
             for batch, _ in blocks(batches, "text"):
                 texts, starts, ends, first = _cut(batch.column(0))
-                state, _, begins = _with_ends(states_of(texts, starts, ends)[3], first, states - 1)
-                history = np.empty_like(state)
-                history[1:] = state[:-1]
-                history[begins] = states - 1
-                both = (history >= 0) & (state >= 0)
-                pair, n = np.unique(history[both] * states + state[both], return_counts=True)
-                yield pa.record_batch({"pair": pa.array(pair, pa.int64()), "n": pa.array(n, pa.int64())})
-
-        arcs = (docs.filter(train).select("text").mapInArrow(pairs, "pair long, n long")
-                .groupBy("pair").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow())
+                history, word, _ = _pairs(slice_hashes(texts.data, starts, ends), first)
+                if alphabet is not None:
+                    both = np.isin(history, alphabet.value) & np.isin(word, alphabet.value)
+                    history, word = history[both], word[both]
+                _, where, n = np.unique(_key(history, word), return_index=True, return_counts=True)
+                yield pa.record_batch({"a": pa.array(history[where]), "b": pa.array(word[where]), "n": pa.array(n, pa.int64())})
+
+        seen = work.table(docs.filter(train).select("text").mapInArrow(pairs, "a long, b long, n long")
+                          .groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "pairs")
+        # Words with what their failure arc carries: one row on either side of each join key.
+        kept = F.greatest(F.col("n") - discount, F.lit(0.0))
+        end_row = spark.createDataFrame([(None, n_texts, END)] if n_texts else [], "piece string, n long, h long")
+        given = seen.groupBy(F.col("a").alias("h")).agg(F.sum(kept).alias("given"))
+        rest = F.greatest(F.lit(1e-12), F.least(F.lit(1.0), 1 - F.coalesce("given", F.lit(0.0)) / F.col("n")))
+        words = work.table(unigrams.unionByName(end_row).join(given, "h", "left").select("piece", "h", "n", rest.alias("rest")), "words")
+        known = spark.sparkContext.broadcast(Known(words.orderBy(F.desc("n"), "h").limit(head).select("h", "n", "rest").toArrow()))
         log_unknown = -np.log10(total + kinds + 1)
-        unigram = (visits + 1.0) / (total + kinds + 1)
-        model = spark.sparkContext.broadcast(Automaton(arcs.column(0).to_numpy(), arcs.column(1).to_numpy(), visits, unigram, discount))
-        end_log, learnt = float(np.log10(unigram[-1])), n_texts > 0
+
+        def look_up(batches):
+            for batch in batches:
+                here, at = known.value.find(batch.column(0).to_numpy())
+                here_b, at_b = known.value.find(batch.column(1).to_numpy())
+                yield pa.record_batch({
+                    "a": batch.column(0), "b": batch.column(1), "n": batch.column(2),
+                    "visits": pa.array(known.value.value(0, here, at, 0).astype(np.int64), mask=~here), "rest": pa.array(known.value.value(1, here, at, 0.0), mask=~here),
+                    "c": pa.array(known.value.value(0, here_b, at_b, 0).astype(np.int64), mask=~here_b)})
+
+        # Only arcs of rare words are joined with them, and those of one rare word are few.
+        arcs = work.table(seen.mapInArrow(look_up, "a long, b long, n long, visits long, rest double, c long"), "looked-up")
+        arcs = arcs.filter("visits is not null").unionByName(
+            arcs.filter("visits is null").drop("visits", "rest").join(words.select(F.col("h").alias("a"), F.col("n").alias("visits"), "rest"), "a"))
+        arcs = arcs.filter("c is not null").unionByName(
+            arcs.filter("c is null").drop("c").join(words.select(F.col("h").alias("b"), F.col("n").alias("c")), "b"))
+        root = (F.col("c") + 1.0) / F.lit(float(total + kinds + 1))
+        gain = F.log10(kept / F.col("visits") + F.col("rest") * root) - F.log10("rest") - F.log10(root)
+
+        def keyed(batches):
+            for batch in batches:
+                yield pa.record_batch({"key": pa.array(_key(batch.column(0).to_numpy(), batch.column(1).to_numpy())), "n": batch.column(2), "gain": batch.column(3)})
+
+        arcs = work.table(arcs.select("a", "b", "n", gain.alias("gain")).mapInArrow(keyed, "key long, n long, gain double"), "arcs")
+        hot = spark.sparkContext.broadcast(Known(_most_frequent(arcs, arcs_head).select("key", "gain").toArrow()))
+        end = words.filter(F.col("h") == END).first()
+        end_log, end_fail = float(np.log10(n_texts + 1.0) + log_unknown), float(np.log10(end.rest)) if end else 0.0
+        learnt = n_texts > 0
 
         def score(batches):
-            known, automaton = share.value[0], model.value
             for batch, _ in blocks(batches, "text"):
                 texts, starts, ends, first = _cut(batch.column(1))
-                hashes, here, at, state = states_of(texts, starts, ends)
-                log = np.where(here, np.log10((known.values[at] if len(known.values) else 0) + 1.0) + log_unknown, 0.0)
+                hashes = slice_hashes(texts.data, starts, ends)
+                here, at = known.value.find(hashes.view(np.int64))
+                log = np.where(here, np.log10(known.value.value(0, here, at, 0) + 1.0) + log_unknown, 0.0)
+                fail = np.log10(known.value.value(1, here, at, 1.0))
                 doc = run_ids(first)
-                words = np.bincount(doc, here, minlength=texts.count).astype(np.int64)
+                n_known = np.bincount(doc, here, minlength=texts.count).astype(np.int64)
                 base = np.bincount(doc, log, minlength=texts.count) + end_log
-                state, which, begins = _with_ends(state, first, states - 1)
-                root = np.full(len(state), end_log)
-                root[np.arange(len(log)) + doc] = log
-                whole = np.bincount(which, automaton.read(state, begins, root), minlength=texts.count)
+                history, word, which = _pairs(hashes, first)
+                taken = hot.value.value(0, *hot.value.find(_key(history, word)), 0.0)
+                whole = base + end_fail + np.bincount(doc, fail, minlength=texts.count) + np.bincount(which, taken, minlength=texts.count)
                 yield pa.record_batch({
                     "id": batch.column(0), "held_out": batch.column(2),
-                    "n_tokens": pa.array(np.diff(first) + 1, pa.int64()), "n_known": pa.array(words + learnt, pa.int64()),
+                    "n_tokens": pa.array(np.diff(first) + 1, pa.int64()), "n_known": pa.array(n_known + learnt, pa.int64()),
                     "base_score": pa.array(base), "score": pa.array(whole),
                     "rare": rare_pieces(texts, starts, ends, hashes, doc, ~here),
                 })
 
+        def other_pairs(batches):
+            for batch, _ in blocks(batches, "text"):
+                texts, starts, ends, first = _cut(batch.column(1))
+                history, word, which = _pairs(slice_hashes(texts.data, starts, ends), first)
+                key = _key(history, word)
+                at = np.flatnonzero(~hot.value.find(key)[0])
+                one, n = distinct_within(which[at], key[at])
+                yield pa.record_batch({"id": batch.column(0).take(pa.array(which[at[one]])), "held_out": batch.column(2).take(pa.array(which[at[one]])),
+                                       "key": pa.array(key[at[one]]), "n": pa.array(n, pa.int32())})
+
         scored = work.table(docs.select("id", "text", "held_out").mapInArrow(
             score, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<piece: string, n: long>>"), "documents")
         log = F.col("n") * (F.log10(F.coalesce(F.col("c"), F.lit(0)) + 1.0) + F.lit(float(log_unknown)))
+        fail = F.col("n") * F.log10(F.coalesce(F.col("rest"), F.lit(1.0)))
         rare = (
             scored.select("id", "held_out", F.explode("rare").alias("r")).select("id", "held_out", "r.piece", "r.n")
-            .join(unigrams.select("piece", F.col("n").alias("c")), "piece", "left")
-            .groupBy("id", "held_out").agg(F.sum(log).alias("base_score"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_known"))
-            .select("id", "held_out", F.lit(0).cast("long").alias("n_tokens"), "n_known", "base_score", F.col("base_score").alias("score"))
+            .join(words.select("piece", F.col("n").alias("c"), "rest"), "piece", "left")
+            .groupBy("id", "held_out").agg(F.sum(log).alias("base_score"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_known"), F.sum(log + fail).alias("score"))
+            .select("id", "held_out", F.lit(0).cast("long").alias("n_tokens"), "n_known", "base_score", "score")
+        )
+        gained = (
+            docs.select("id", "text", "held_out").mapInArrow(other_pairs, f"id {kind}, held_out boolean, key long, n int")
+            .join(arcs.select("key", "gain"), "key").groupBy("id", "held_out").agg(F.sum(F.col("n") * F.col("gain")).alias("score"))
+            .select("id", "held_out", F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base_score"), "score")
         )
         columns = ("n_tokens", "n_known", "base_score", "score")
-        summed = scored.drop("rare").unionByName(rare).groupBy("id", "held_out").agg(*[F.sum(c).alias(c) for c in columns])
+        summed = scored.drop("rare").unionByName(rare).unionByName(gained).groupBy("id", "held_out").agg(*[F.sum(c).alias(c) for c in columns])
         result = work.keep(summed.select(
             F.col("id").alias(id), "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score"))
-        share.unpersist()
-        model.unpersist()
+        known.unpersist()
+        hot.unpersist()
         return result

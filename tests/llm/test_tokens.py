@@ -196,6 +196,23 @@ def test_mixture_holds_in_every_stretch():
     assert Mixture([], [], 16).places(np.zeros(0, int), np.zeros(0, int)).tolist() == []
 
 
+def test_every_source_of_many_has_its_share(spark):
+    from veilframe.llm.packing import pack
+
+    data = [(k, f"text {k} of source {k % 40} " * 20) for k in range(1200)]
+    docs = spark.createDataFrame([(i, t, f"s{i % 40:02}") for i, t in data], "doc_id long, text string, source string").repartition(3)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    options = {"targets": {f"s{k:02}": 8.0 if k == 7 else 1.0 for k in range(40)}, "quantum": 16, "length": 1024}
+    few, many = (pack(docs, path, queues=q, **options).toPandas() for q in (64, 4))
+    assert few.length.sum() == many.length.sum() and few.sequence_id.max() == many.sequence_id.max()
+    for got in (few, many):
+        early = got[got.sequence_id < 20]  # s07 has ended later than that
+        shares = early.groupby(early.doc_id % 40).length.sum() / early.length.sum()
+        assert len(shares) == 40 and abs(shares[7] - 8 / 47) < 0.01 and (shares.drop(7) - 1 / 47).abs().max() < 0.01
+    key = ["doc_id", "start"]
+    assert few.sort_values(key).reset_index(drop=True).equals(many.sort_values(key).reset_index(drop=True))
+
+
 def test_packing_of_nothing(spark):
     from veilframe.llm.packing import pack
 

@@ -6,7 +6,9 @@ when it has grown to half a quantum, one quantum of the queue's tokens is packed
 falls by a quantum. Queue s with weight w(s) thus packs its quantum k when the common clock shows
 (2k + 1) / w(s), and what any queue has packed by then follows in closed form: deficits carry over
 every window and partition boundary without a pass over what went before. A queue that has ended
-takes no more turns. Sequences are the packed stream cut at every `length` ids: each but the last
+takes no more turns. Every source is a queue of its own. Up to QUEUES of them are a table that every task
+holds; with more, the turns of all queues are sorted by the clock and summed up across ranges of it,
+and documents get the places of their turns by a join. Sequences are the packed stream cut at every `length` ids: each but the last
 is full."""
 
 from __future__ import annotations
@@ -26,8 +28,7 @@ from veilframe.llm.vocabulary import append_id, vocabulary
 
 LENGTH = 1024
 QUANTUM = 128
-#: The largest sources have a queue each; the others share queues by hash, so that the table of
-#: queues, which every task holds, stays below this.
+#: Sources up to which every task holds the table of all queues.
 QUEUES = 256
 #: Weights are whole numbers up to this, so the clock is exact in 64 bits for 2 ** 40 quanta a queue.
 WEIGHT = 1 << 20
@@ -54,17 +55,41 @@ class Mixture:
         return out
 
 
-def _queues(encoded: DataFrame, most: int) -> DataFrame:
-    """(source, part, queue, base): where the tokens of each source in each part begin in their queue."""
+#: Turns that one row is expanded into at once.
+_RUN = 4096
+
+
+def _queues(encoded: DataFrame) -> DataFrame:
+    """(source, part, base): where the tokens of each source in each part begin in their queue."""
     per_part = encoded.groupBy("source", "part").agg(F.sum("n").alias("n"))
-    sizes = per_part.groupBy("source").agg(F.sum("n").alias("total"))
-    own = sizes.orderBy(F.desc("total"), F.col("source")).limit(most // 2).select("source", F.lit(True).alias("own"))
-    name = F.when(F.col("own"), F.struct(F.lit(0).alias("pool"), F.col("source").alias("name"))).otherwise(
-        F.struct((1 + F.pmod(F.xxhash64("source"), F.lit(most - most // 2))).cast("int").alias("pool"), F.lit("").alias("name")))
-    named = per_part.join(own, "source", "left").withColumn("queue", name)
     # A queue's parts: sums per source and part only, a few numbers a task.
-    earlier = Window.partitionBy("queue").orderBy("source", "part").rowsBetween(Window.unboundedPreceding, -1)
-    return named.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0))).select("source", "part", "queue", "base", "n")
+    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return per_part.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+
+
+def _places(sizes: DataFrame, quantum: int, work: Workspace) -> DataFrame:
+    """(source, k, place): ids packed before quantum k of each source, from (source, total, weight)."""
+    turns = F.ceil(F.col("total") / quantum).cast("long")
+    runs = sizes.select("source", "total", "weight", F.explode(F.sequence(F.lit(0).cast("long"), (turns - 1).cast("long"), F.lit(_RUN).cast("long"))).alias("low"))
+    last = F.least(F.col("low") + _RUN, turns) - 1
+    # Runs are dealt anew, so that a large source is not expanded in one task.
+    quanta = runs.repartition(F.xxhash64("source", "low")).select("source", "total", "weight", F.explode(F.sequence("low", last)).alias("k"))
+    quanta = quanta.select("source", "k", ((2 * F.col("k") + 1) / F.col("weight")).alias("clock"), F.least(F.lit(quantum).cast("long"), F.col("total") - F.col("k") * quantum).alias("size"))
+
+    def add_up(batches):
+        part, before = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            size = batch.column(2).to_numpy()
+            sums = before + np.cumsum(size)
+            yield pa.record_batch({"source": batch.column(0), "k": batch.column(1), "range": pa.array([part] * len(size), pa.int32()), "before": pa.array(sums - size), "size": batch.column(2)})
+            before = int(sums[-1]) if len(sums) else before
+
+    ordered = quanta.repartitionByRange("clock", "source").sortWithinPartitions("clock", "source").select("source", "k", "size")
+    summed = work.table(ordered.mapInArrow(add_up, "source string, k long, range int, before long, size long"), "turns")
+    ranges = summed.groupBy("range").agg(F.sum("size").alias("n")).orderBy("range").collect()  # one row a task
+    begins = np.cumsum([0, *(r.n for r in ranges)]).tolist()
+    offsets = summed.sparkSession.createDataFrame([(r.range, b) for r, b in zip(ranges, begins)], "range int, offset long")
+    return summed.join(F.broadcast(offsets), "range").select("source", "k", (F.col("before") + F.col("offset")).alias("place"))
 
 
 def pack(docs: DataFrame, tokenizer: str, end: int = 0, id: str = "doc_id", text: str = "text", source: str = "source", targets: dict[str, float] | None = None, length: int = LENGTH, quantum: int = QUANTUM, queues: int = QUEUES) -> DataFrame:
@@ -97,30 +122,46 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 0, id: str = "doc_id", text
 
     with Workspace(spark, "packing") as work:
         encoded = work.table(docs.mapInArrow(encode, f"id {kind}, source string, part int, n long, first long, ids binary"), "ids")
-        bases = work.table(_queues(encoded, queues), "queues")
-        totals = bases.groupBy("queue").agg(F.sum("n").alias("total")).orderBy("queue").collect()  # at most `queues` rows
-        everything = sum(r.total for r in totals) or 1
-        goal = sum((targets or {}).values()) or 1
-        weights = [(targets or {}).get(r.queue.name, r.total / everything * goal) if not r.queue.pool else r.total / everything * goal for r in totals]
-        mixture = spark.sparkContext.broadcast(Mixture([r.total for r in totals], weights, quantum))
-        number = F.lit(-1)
-        for i, r in enumerate(totals):
-            number = F.when((F.col("queue.pool") == r.queue.pool) & (F.col("queue.name") == r.queue.name), i).otherwise(number)
-        numbered = bases.select("source", "part", number.alias("queue"), "base")
-        placed = encoded.join(F.broadcast(numbered) if bases.count() <= 200_000 else numbered, ["source", "part"])
+        bases = work.table(_queues(encoded), "queues")
+        sizes = work.table(bases.groupBy("source").agg(F.sum("n").alias("total")), "sizes")
+        sources, everything = sizes.agg(F.count("*"), F.sum("total")).first()
+        everything, goal = everything or 1, sum((targets or {}).values()) or 1
+        mixture, columns = None, ["id", "n", "begin", "ids"]
+        placed = encoded.join(F.broadcast(bases.drop("n")) if bases.count() <= 200_000 else bases.drop("n"), ["source", "part"]).withColumn("begin", F.col("base") + F.col("first"))
+        if sources <= queues:
+            totals = sizes.orderBy("source").collect()  # at most `queues` rows
+            weights = [(targets or {}).get(r.source, r.total / everything * goal) for r in totals]
+            mixture = spark.sparkContext.broadcast(Mixture([r.total for r in totals], weights, quantum))
+            number = F.lit(-1)
+            for i, r in enumerate(totals):
+                number = F.when(F.col("source") == r.source, i).otherwise(number)
+            placed = placed.withColumn("queue", number)
+            columns.append("queue")
+        else:
+            named = spark.createDataFrame(list((targets or {}).items()), "source string, target double")
+            share = F.coalesce("target", F.col("total") / everything * goal)
+            # A target of nothing comes last, as the least weight does.
+            weighted = sizes.join(F.broadcast(named), "source", "left").select("source", "total", F.greatest(share, F.lit(goal * 1e-12)).alias("weight"))
+            places = _places(weighted, quantum, work)
+            turns = placed.select("source", "begin", F.explode(F.sequence(F.floor(F.col("begin") / quantum), F.floor((F.col("begin") + F.col("n") - 1) / quantum))).alias("k"))
+            own = turns.join(places, ["source", "k"]).groupBy("source", "begin").agg(F.sort_array(F.collect_list(F.struct("k", "place"))).alias("places"))
+            placed = placed.join(own.select("source", "begin", F.col("places.place").alias("places")), ["source", "begin"])
+            columns.append("places")
 
         def cut(batches):
             for batch in batches:
                 names = batch.schema.names
                 column = {c: batch.column(i) for i, c in enumerate(names)}
                 n = column["n"].to_numpy()
-                queue = column["queue"].to_numpy().astype(np.int64)
-                begin = column["base"].to_numpy() + column["first"].to_numpy()
+                begin = column["begin"].to_numpy()
                 k = begin // quantum
                 turns = (begin + n - 1) // quantum - k + 1
                 row = np.repeat(np.arange(len(n)), turns)
                 turn = np.arange(len(row)) - np.repeat(np.cumsum(turns) - turns, turns) + k[row]
-                place = mixture.value.places(queue[row], turn)
+                if mixture is None:
+                    place = column["places"].flatten().to_numpy()
+                else:
+                    place = mixture.value.places(column["queue"].to_numpy().astype(np.int64)[row], turn)
                 a = np.maximum(turn * quantum, begin[row])
                 z = np.minimum((turn + 1) * quantum, (begin + n)[row])
                 place = place + a - turn * quantum
@@ -147,8 +188,8 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 0, id: str = "doc_id", text
                     "id": column["id"].take(pa.array(doc)), "start": pa.array(start), "length": pa.array(high - low), "ids_crc32": pa.array(crc),
                     "doc_tokens": pa.array(n[doc]), "sequence_id": pa.array(sequence), "offset": pa.array(low - sequence * length)})
 
-        columns = ("id", "n", "queue", "base", "first", "ids")
         pieces = placed.select(*columns).mapInArrow(cut, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
         result = work.keep(pieces.withColumnRenamed("id", id))
-        mixture.unpersist()
+        if mixture is not None:
+            mixture.unpersist()
         return result

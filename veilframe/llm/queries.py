@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,8 +80,28 @@ def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilframe.llm.filter_audit import filter_audit
+
+    return filter_audit(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilframe.llm.whitening import whiten
+
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilframe.llm.best_fit_packing import best_fit
+
+    packed = best_fit(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 _FUNCTIONS = (
     op1_embedding_dedup, op2_token_counts, op3_language_model, op4_toxicity, op5_benchmark_decontamination, op6_substring_dedup, op7_quality, op8_wavelet_shards, op9_jaccard_join, op10_mixture_packing,
+    op11_filter_audit, op12_embedding_whitening, op13_best_fit_packing,
 )
 QUERIES = {q.__name__: q for q in _FUNCTIONS}
 _WORD = "[^\\x20\\x09-\\x0D]+"
@@ -112,4 +133,26 @@ ORACLES: dict[str, str] = {
  shared AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM shingles x JOIN shingles y ON x.s = y.s AND x.id <> y.id GROUP BY 1, 2),
  links AS (SELECT a, b FROM shared JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b WHERE 100 * k >= 80 * (x.n + y.n - k)), {_COMPONENTS}
  SELECT id AS doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM component LEFT JOIN sizes USING (id)""",
+    "op11_filter_audit": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+ l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+ least AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+ m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END
+  || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > first THEN 'E' ELSE '' END AS fails
+  FROM d JOIN least USING (t) LEFT JOIN l USING (doc_id)),
+ cells AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY part, fails),
+ letter(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+ orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letter a, letter b, letter c, letter d, letter e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+ steps AS (SELECT o, s, o[s] AS own, o[1:s - 1] AS earlier FROM orders, (SELECT unnest(range(1, 6)) AS s)),
+ hit AS (SELECT part, o, s, own, n, good, toxic, contains(fails, own) AS fails_own, length(translate(fails, earlier, '')) < length(fails) AS gone, fails = own AS alone
+  FROM cells, steps),
+ sums AS (SELECT part, o, s, own, coalesce(sum(n) FILTER (NOT gone AND NOT fails_own), 0) AS kept, coalesce(sum(n) FILTER (NOT gone AND fails_own), 0) AS removed,
+  coalesce(sum(n) FILTER (gone AND fails_own), 0) AS redundant, coalesce(sum(n) FILTER (alone), 0) AS unique_fails,
+  coalesce(sum(good) FILTER (NOT gone AND fails_own), 0) AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND fails_own), 0) AS toxic_lost
+  FROM hit GROUP BY part, o, s, own)
+ SELECT part, o AS filter_order, CAST(s AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+ CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+ CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM sums""",
 }

@@ -2,8 +2,10 @@
 
 A text is cut into pre-tokens by array operations, each distinct pre-token is merged once per
 block (frequent ones once per worker), and ids are put together by indexing. Texts that name a
-special token of the file are handed to the tokenizers library as a whole. The ids are those
-that the library gives for the whole text with add_special_tokens=False; tests compare them."""
+special token of the file, or hold a code point outside `CHECKED`, are handed to the tokenizers
+library as a whole: Unicode tables differ in code points that are new or not assigned. The ids are
+those that the library gives for the whole text with add_special_tokens=False; tests compare them,
+on every code point of Unicode too."""
 
 from __future__ import annotations
 
@@ -19,6 +21,11 @@ import regex
 from veilframe.llm.text import Texts, run_ids, slice_hashes, take_slices
 
 _L, _N, _W, _O = 0, 1, 2, 3
+#: Code points whose classes and letter cases are the library's: Latin, Greek, Cyrillic, punctuation,
+#: kana and Han, Hangul, pictures.
+CHECKED = ((0x0000, 0x02FF), (0x0370, 0x0557), (0x2000, 0x206F), (0x3000, 0x9FFF), (0xAC00, 0xD7A3), (0x1F300, 0x1F64F))
+#: The first byte of any code point from the end of the first of these ranges on.
+_BEYOND = 0xCC
 #: Pre-tokens a worker remembers between blocks.
 CACHE = 1 << 18
 
@@ -33,6 +40,24 @@ def _classes() -> np.ndarray:
     return kinds
 
 
+@functools.cache
+def _checked() -> np.ndarray:
+    table = np.zeros(0x110000, dtype=bool)
+    for low, high in CHECKED:
+        table[low:high + 1] = True
+    return table
+
+
+def unchecked(texts: Texts) -> np.ndarray:
+    """For each text whether it holds a code point outside CHECKED."""
+    out = np.zeros(texts.count, dtype=bool)
+    if texts.data.max(initial=0) >= _BEYOND:
+        codes = np.frombuffer(texts.data.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
+        at = np.flatnonzero((texts.data & 0xC0) != 0x80)[~_checked()[codes]]
+        out[np.searchsorted(texts.offsets, at, side="right") - 1] = True
+    return out
+
+
 def _byte_letters() -> dict[str, int]:
     """The printable letter that byte-level tokenizer files write for each byte."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -141,7 +166,7 @@ class Vocabulary:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's ids begin. Null is empty."""
         column = pc.fill_null(column.cast(pa.large_string()), "")
-        special = np.zeros(len(column), dtype=bool)
+        special = unchecked(Texts(column))
         for token in self.special:
             special |= pc.match_substring(column, token).to_numpy(zero_copy_only=False)
         odd = {int(i): self.whole.encode(column[int(i)].as_py(), add_special_tokens=False).ids for i in np.flatnonzero(special)}

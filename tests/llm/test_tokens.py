@@ -26,6 +26,23 @@ def test_vocabulary_gives_the_library_s_ids():
         assert [ids[a:z].tolist() for a, z in zip(bounds, bounds[1:])] == expected
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_on_every_code_point(name):
+    """Alone, between letters and before 's: all checked code points, and a share of all others."""
+    from tokenizers import Tokenizer
+
+    from veilframe.llm.vocabulary import CHECKED, Vocabulary
+
+    codes = [c for low, high in CHECKED for c in range(low, high + 1)] + [*range(0x300, 0xD800, 11), *range(0xE000, 0x110000, 997), 0x558, 0x1C89, 0xA7CB, 0x10D50]
+    vocabulary, library = Vocabulary(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+    for context in ("{}", "a{}b", "{}'s", "é {}1{}"):
+        texts = [context.replace("{}", chr(c)) for c in codes]
+        ids, bounds = vocabulary.encode(pa.array(texts))
+        expected = library.encode_batch(texts, add_special_tokens=False)
+        wrong = [hex(c) for c, e, a, b in zip(codes, expected, bounds, bounds[1:]) if ids[a:b].tolist() != e.ids]
+        assert wrong == []
+
+
 @pytest.mark.parametrize("head", [1, 1 << 16])
 def test_token_counts_equal_encoding(spark, head):
     import sentencepiece

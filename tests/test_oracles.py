@@ -6,7 +6,10 @@ from veilframe import catalog
 
 QUERIES, ORACLES = catalog.queries(), catalog.oracles()
 # each of these runs the whole request log; one of them stands for all in the quick suite
-HEAVY = {"audit_records", "review_queue", "evaluation_cases", "evaluation_metrics", "stream_gateway", "stream_admission"}
+HEAVY = {
+    "audit_records", "review_queue", "evaluation_cases", "evaluation_metrics", "stream_gateway", "stream_admission", "stream_review_resumed",
+    "gateway_vault", "row_results",
+}
 
 
 @pytest.fixture(scope="module")

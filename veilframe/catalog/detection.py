@@ -9,7 +9,7 @@ from veilframe import fixed_values as fixed
 from veilframe.catalog import fixtures, sqlparts as S
 from veilframe.functions.arrays import explode_rows
 from veilframe.functions.spans import detect, detect_category, safe_spans
-from veilframe.operators import tokens
+from veilframe.operators import model, tokens
 from veilframe.plans import corpus
 from veilframe.sources.storage import durable, spread
 
@@ -262,3 +262,73 @@ ORACLES["token_scores"] = (
     f"SELECT vec_id, coalesce({_LABELS}[list_position(l, top)], 'O') AS label, "
     "round(1.0 / list_sum(list_transform(l, lambda x: exp(x - top))), 6) AS prob FROM m"
 )
+
+
+# --- a model instead of the rules: words with marks get high scores ----------------------
+# (label, pattern of the word): the first that matches counts
+_MODEL_RULES = (
+    ("S-private_email", r"^[^@ ]+@[^@ ]+$"), ("S-secret", r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), ("S-private_url", r"^https?://"),
+    ("B-private_person", r"^Alice$"), ("E-private_person", r"^Smith$"), ("S-private_date", r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$"),
+)
+
+
+def _load_model():
+    import re
+
+    rules = [(tokens.BIOES_LABELS.index(label), re.compile(pattern)) for label, pattern in _MODEL_RULES]
+    size = len(tokens.BIOES_LABELS)
+
+    def predict(texts):
+        out = []
+        for text in texts:
+            at, row = 0, []
+            for word in text.split(" "):
+                label = next((i for i, p in rules if p.search(word)), 0)
+                row.append((at, at + len(word), [8.0 if i == label else 0.0 for i in range(size)]))
+                at += len(word) + 1
+            out.append(row)
+        return out
+
+    return predict
+
+
+def _masked_by_model(df: DataFrame) -> DataFrame:
+    return df.select(
+        "doc_id", F.size("detections").alias("n_spans"), F.col("decision.action").alias("verdict"),
+        F.array_join("decision.categories", ",").alias("categories"), F.sha2("decision.sanitized_text", 256).alias("masked_text_hash"),
+    )
+
+
+def mask_by_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents masked by what a model finds in them, as a column of the plan."""
+    out = corpus.redact_corpus(
+        fixtures.documents(spark, sf), "strict_financial", "outbound", request_id=F.col("doc_id").cast("string"), threshold=fixed.PII_THRESHOLD,
+        detector=model.model_detector(_load_model),
+    )
+    return _masked_by_model(out)
+
+
+def mask_by_stored_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from a stored table of the model's spans, joined to the documents by id."""
+    docs = fixtures.documents(spark, sf)
+    spans = durable(model.detect_with_model(docs, "doc_id", "text", _load_model), "spans")
+    found = model.stored_detections(docs, "doc_id", "text", spans.filter(F.col("confidence") >= fixed.PII_THRESHOLD))
+    return _masked_by_model(corpus.mask_corpus(found, "strict_financial", "outbound", request_id=F.col("doc_id").cast("string")))
+
+
+QUERIES["mask_by_model"] = mask_by_model
+QUERIES["mask_by_stored_spans"] = mask_by_stored_spans
+_MODEL_LABEL = "CASE " + " ".join(f"WHEN regexp_matches(word, {S.text(p)}) THEN '{label}'" for label, p in _MODEL_RULES) + " ELSE 'O' END"
+ORACLES["mask_by_model"] = ORACLES["mask_by_stored_spans"] = (
+    f"WITH {S.documents_cte()}, {S.rules_cte()}, {_WORDS_SQL.replace('FROM documents', 'FROM docs')}, "
+    f"said AS (SELECT *, {_MODEL_LABEL} AS label FROM (SELECT *, substr(text, t_start + 1, t_end - t_start) AS word FROM words) w), "
+    "beside AS (SELECT *, lead(label) OVER w AS next_label, lead(t_end) OVER w AS next_end FROM said WINDOW w AS (PARTITION BY doc_id ORDER BY idx)), "
+    "spans AS (SELECT doc_id AS k, text, substr(label, 3) AS category, t_start AS s, e, substr(text, t_start + 1, e - t_start) AS span_text FROM "
+    "(SELECT *, CASE WHEN label = 'B-private_person' AND next_label = 'E-private_person' THEN next_end ELSE t_end END AS e FROM beside "
+    "WHERE label LIKE 'S-%' OR label LIKE 'B-%') b WHERE e > t_start AND NOT (t_start = 0 AND t_end = 0)), "
+    f"{S.judged('outbound', S.text('strict_financial'))} "
+    f"SELECT d.doc_id, coalesce(v.n_spans, 0) AS n_spans, {S.decision_action()} AS verdict, "
+    "CASE WHEN v.blocked THEN '' ELSE coalesce(v.categories, '') END AS categories, "
+    "CASE WHEN coalesce(v.blocked, false) THEN NULL ELSE sha256(coalesce(m.mutated, d.text)) END AS masked_text_hash "
+    "FROM docs d LEFT JOIN verdicts v ON v.k = d.doc_id LEFT JOIN spliced m ON m.k = d.doc_id"
+)

@@ -66,6 +66,21 @@ BANK = {
     "advisors": (ADVISORS, "supplier"),
 }
 
+# --- a bank in which a few customers hold a large share of all accounts. What decides the verdict on
+# them stands in late accounts only; their own record holds nothing personal
+HOT = {"secret": 52, "date": 63, "address": 12, "plain": 23}
+_HOT = ", ".join(map(str, HOT.values()))
+HOT_CUSTOMERS = f"""SELECT id, first_name, last_name, email, CASE WHEN id IN ({_HOT}) THEN '-' ELSE phone END AS phone,
+ CASE WHEN id IN ({_HOT}) THEN '-' ELSE address END AS address, CASE WHEN id IN ({_HOT}) THEN '-' ELSE ssn END AS ssn,
+ CASE WHEN id IN ({_HOT}) THEN '-' ELSE date_of_birth END AS date_of_birth FROM ({CUSTOMERS}) h"""
+HOT_ACCOUNTS = f"""SELECT id, customer_id, account_number,
+ CASE WHEN late AND customer_id = {HOT['secret']} THEN 'see 123-45-6789' WHEN late AND customer_id = {HOT['address']} THEN '742 Evergreen Terrace Ln'
+  ELSE account_type END AS account_type, balance,
+ CASE WHEN customer_id NOT IN ({_HOT}) OR (late AND customer_id = {HOT['date']}) THEN opened_date ELSE 'open' END AS opened_date
+FROM (SELECT id, CASE id % 16 WHEN 0 THEN {HOT['secret']} WHEN 1 THEN {HOT['date']} WHEN 2 THEN {HOT['address']} WHEN 3 THEN {HOT['plain']}
+  ELSE customer_id END AS customer_id, account_number, account_type, balance, opened_date, id > 800 AND (id - id % 16) / 16 % 20 = 0 AS late FROM ({ACCOUNTS}) a) b"""
+HOT_BANK = {**BANK, "customers": (HOT_CUSTOMERS, "customer"), "accounts": (HOT_ACCOUNTS, "orders")}
+
 # SQL texts of the request log, with what they should end in:
 # (text, status for the analyst, status for the compliance officer)
 QUERIES = (
@@ -144,9 +159,9 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derive(spark, sf_dir, REQUESTS, "events", even=True)
 
 
-def bank(sf_dir: str):
+def bank(sf_dir: str, tables=None):
     """name -> function from a session to the table, for role sessions."""
     return {
         name: (lambda s, sql=sql, table=table: _derive(s, sf_dir, sql, table))
-        for name, (sql, table) in BANK.items()
+        for name, (sql, table) in (BANK if tables is None else tables).items()
     }

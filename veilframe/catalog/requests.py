@@ -66,6 +66,46 @@ _register_sql(
 )
 
 
+# texts of an analyst with what becomes of them by lineage: columns shown, or None if refused
+_LINEAGE = (
+    ("SELECT id FROM accounts WHERE account_number LIKE '1%'", None),
+    ("SELECT x.account_number FROM (SELECT id AS account_number FROM accounts) x", "account_number"),
+    ("SELECT c.id, a.id FROM customers c JOIN accounts a ON c.id = a.customer_id", "id,id"),
+    ("SELECT c.*, a.account_number AS n FROM customers c JOIN accounts a ON c.id = a.customer_id AND a.balance > 1000",
+     "id,first_name,last_name,email,phone,address,date_of_birth,n"),
+    ("SELECT c.id FROM customers c JOIN customers d ON c.ssn = d.ssn", None),
+    ("SELECT last_name, COUNT(*) AS n FROM customers GROUP BY last_name HAVING MAX(ssn) > '5'", None),
+    ("SELECT id FROM customers c WHERE EXISTS (SELECT 1 FROM customers d WHERE d.ssn = '1' OR d.id = c.id)", None),
+    ("SELECT n FROM (SELECT ssn AS s, length(ssn) AS k, COUNT(*) AS n FROM customers GROUP BY ssn) x WHERE n > 1", "n"),
+    ("SELECT n FROM (SELECT length(ssn) AS n FROM customers) x WHERE n > 1", None),
+    ("SELECT id, account_number FROM accounts UNION ALL SELECT id, name FROM advisors", "id"),
+)
+
+
+def governed_lineage(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts judged by where their columns come from: refused where a condition reads a hidden one."""
+    session = governed.role_session(spark, fixtures.bank(sf), "analyst")
+    out = spark.createDataFrame([], "text_no int, refused boolean, columns string, rows long")
+    for number, (text, _) in enumerate(_LINEAGE):
+        try:
+            df = governed.governed_query(session, text, "analyst", refuse_conditions=True)
+        except ValueError:
+            one = spark.createDataFrame([(number, True, None, None)], out.schema)
+        else:
+            counted = df.toDF(*[f"_{i}" for i in range(len(df.columns))]).agg(F.count("*").alias("rows"))
+            one = counted.select(F.lit(number).alias("text_no"), F.lit(False).alias("refused"), F.lit(",".join(df.columns)).alias("columns"), "rows")
+        out = out.unionByName(one)
+    return out
+
+
+QUERIES["governed_lineage"] = governed_lineage
+ORACLES["governed_lineage"] = f"WITH {S.bank_cte()} " + " UNION ALL ".join(
+    f"SELECT {i} AS text_no, {columns is None} AS refused, {S.text(columns) if columns else 'CAST(NULL AS VARCHAR)'} AS columns, "
+    + ("CAST(NULL AS BIGINT)" if columns is None else "(SELECT CASE WHEN count(*) > 0 THEN 1 ELSE 0 END FROM customers)" if "COUNT(*) AS n FROM customers GROUP BY ssn" in text else f"(SELECT count(*) FROM ({text}) q)") + " AS rows"
+    for i, (text, columns) in enumerate(_LINEAGE)
+)
+
+
 def table_columns(spark: SparkSession, sf: str) -> DataFrame:
     """Schema of the role's views with the row counts behind them."""
     tables = fixtures.bank(sf)
@@ -169,13 +209,13 @@ def masked_records(spark: SparkSession, sf: str) -> DataFrame:
     return seen.select("id", row_json(seen.schema, ("page",)).alias("record"))
 
 
-_ACC = S.without(S.ACCOUNT_FIELDS, "account_number")
-_CUST = S.without(S.CUSTOMER_FIELDS, "ssn")
+ACC = S.without(S.ACCOUNT_FIELDS, "account_number")
+CUST = S.without(S.CUSTOMER_FIELDS, "ssn")
 QUERIES["restricted_records"] = masked_records
 ORACLES["restricted_records"] = (
     f"WITH {S.bank_cte()}, {S.requests_cte()}, ids AS (SELECT DISTINCT customer_id FROM requests WHERE customer_id IS NOT NULL), "
-    f"acc AS (SELECT customer_id, string_agg({S.json_row(_ACC)}, ', ' ORDER BY id) AS j FROM accounts GROUP BY 1) "
-    "SELECT c.id, '{\"accounts\": [' || coalesce(acc.j, '') || '], ' || substr(" + S.json_row(_CUST) + ", 2) AS record "
+    f"acc AS (SELECT customer_id, string_agg({S.json_row(ACC)}, ', ' ORDER BY id) AS j FROM accounts GROUP BY 1) "
+    "SELECT c.id, '{\"accounts\": [' || coalesce(acc.j, '') || '], ' || substr(" + S.json_row(CUST) + ", 2) AS record "
     "FROM ids i JOIN customers c ON c.id = i.customer_id LEFT JOIN acc ON acc.customer_id = c.id"
 )
 
@@ -248,7 +288,7 @@ def _results_cte() -> str:
         (13, both, {"id": n}, "id"),
         (14, strict, {"x": s}, "x"),
         (19, both, {"id": n, "date_of_birth": s}, "id"),
-        (20, ("analyst",), _CUST, "id"),
+        (20, ("analyst",), CUST, "id"),
         (20, strict, S.CUSTOMER_FIELDS, "id"),
         (21, strict, {"id": n, "ssn": s}, "id"),
     ]
@@ -258,7 +298,7 @@ def _results_cte() -> str:
             f"SELECT 'sql', '{role}', {S.text(q[16])}, NULL, 'ValueError: Only SELECT queries are allowed. Got: DELETE FROM customers'"
         )
         parts.append(f"SELECT 'sql', '{role}', {S.text(q[18])}, NULL, 'AnalysisException: AMBIGUOUS_REFERENCE'")
-    for role, cust, acc in (("analyst", _CUST, _ACC), ("compliance_officer", S.CUSTOMER_FIELDS, S.ACCOUNT_FIELDS)):
+    for role, cust, acc in (("analyst", CUST, ACC), ("compliance_officer", S.CUSTOMER_FIELDS, S.ACCOUNT_FIELDS)):
         missing = "'{\"error\": \"API error: 404 - {\\\"detail\\\":\\\"Customer ' || i.k || ' not found\\\"}\"}'"
         parts.append(
             f"SELECT 'lookup', '{role}', i.k, CASE WHEN c.id IS NULL THEN {missing} ELSE '{{\"accounts\": [' || coalesce(a.j, '') || '], \"customer\": ' "
@@ -384,7 +424,8 @@ ORACLES["review_queue"] = log_sql(
 
 
 def _cases(spark: SparkSession, sf: str) -> DataFrame:
-    """Golden cases, one per SQL request of a known role, with what they should end in."""
+    """Golden cases, one per SQL request of a known role, with what they should end in. Some expect
+    a category that is not there, some have no user: they fail."""
     r = fixtures.requests(spark, sf).filter((F.col("tool_name") == "sql_query") & (F.col("role") != "guest"))
     expected = F.lit(None).cast("string")
     for text, analyst, officer in fixtures.QUERIES:
@@ -392,14 +433,22 @@ def _cases(spark: SparkSession, sf: str) -> DataFrame:
             F.col("query") == text,
             F.when(F.col("role") == "intern", "rbac_denied").when(F.col("role") == "analyst", analyst).otherwise(officer),
         ).otherwise(expected)
-    found = (
-        F.when(F.col("query").contains("alice@example.com"), F.array(F.lit("private_email"), F.lit("private_phone")))
-        .when(F.col("query").contains("1234-5678"), F.array(F.lit("account_number")))
-        .otherwise(F.array().cast("array<string>"))
+    found = F.filter(
+        F.array(*[F.when(F.expr(condition), F.lit(category)) for category, condition in _EXPECTED_FOUND]), lambda c: c.isNotNull()
     )
-    return r.withColumn("case_id", F.col("request_id")).withColumn("expected_status", expected).withColumn(
-        "expected_rbac", F.when(F.col("expected_status") == "rbac_denied", "deny").otherwise("allow")
-    ).withColumn("expected_inbound_categories", F.when(F.col("role") == "intern", F.array().cast("array<string>")).otherwise(found))
+    return r.withColumns({
+        "case_id": F.col("request_id"), "user_id": F.expr(_CASE_USER), "expected_status": expected,
+        "expected_rbac": F.when(expected == "rbac_denied", "deny").otherwise("allow"),
+        "expected_inbound_categories": F.when(F.col("role") == "intern", F.array().cast("array<string>")).otherwise(found),
+    })
+
+
+# categories that a golden case expects in its text, with the cases that do
+_EXPECTED_FOUND = (
+    ("private_email", "query LIKE '%alice@example.com%'"), ("private_phone", "query LIKE '%alice@example.com%'"),
+    ("account_number", "query LIKE '%1234-5678%'"), ("private_url", "CAST(request_id AS BIGINT) % 19 = 4"),
+)
+_CASE_USER = "CASE WHEN CAST(request_id AS BIGINT) % 13 = 0 THEN '' ELSE user_id END"
 
 
 def evaluation_cases(spark: SparkSession, sf: str) -> DataFrame:
@@ -420,23 +469,42 @@ _EXPECTED = (
     )
     + " END END"
 )
+
+
+def judged_cases(cases: str) -> str:
+    """CTEs ``seen`` and ``checked`` over ``cases`` (case_id, ts, role, user_id, tool_name, status,
+    expected, wanted): each of the four scores from what the log holds."""
+    return (
+        "seen AS (SELECT k, list_distinct(list(category)) AS found FROM in_spans GROUP BY k), "
+        "checked AS (SELECT case_id, status, (status = 'rbac_denied') = (expected = 'rbac_denied') AS rbac_ok, "
+        "status = expected OR (expected = 'success' AND status = 'review_queued') AS status_ok, len(missing) = 0 AS inbound_ok, "
+        "coalesce(case_id <> '' AND ts IS NOT NULL AND user_id <> '' AND tool_name <> '' AND status <> '', false) AS audit_ok, "
+        "array_to_string(list_sort(missing), ',') AS missing_categories FROM "
+        f"(SELECT c.*, list_filter(wanted, lambda w: NOT list_contains(coalesce(found, CAST([] AS VARCHAR[])), w)) AS missing FROM {cases} c LEFT JOIN seen ON seen.k = c.case_id) m)"
+    )
+
+
+_WANTED = "list_filter([" + ", ".join(f"CASE WHEN {condition} THEN '{category}' END" for category, condition in _EXPECTED_FOUND) + "], lambda c: c IS NOT NULL)"
 _EVAL = (
-    f", judged_cases AS (SELECT request_id AS case_id, {_EVAL_STATUS} AS status, {_EXPECTED} AS expected FROM final WHERE tool_name = 'sql_query' AND role <> 'guest'), "
-    "checked AS (SELECT case_id, status, (status = 'rbac_denied') = (expected = 'rbac_denied') AS rbac_ok, "
-    "status = expected OR (expected = 'success' AND status = 'review_queued') AS status_ok, true AS inbound_ok, true AS audit_ok, '' AS missing_categories FROM judged_cases) "
+    f", cases AS (SELECT request_id AS case_id, ts, role, tool_name, {_CASE_USER} AS user_id, {_EVAL_STATUS} AS status, {_EXPECTED} AS expected, "
+    f"CASE WHEN role = 'intern' THEN CAST([] AS VARCHAR[]) ELSE {_WANTED} END AS wanted FROM final WHERE tool_name = 'sql_query' AND role <> 'guest'), {judged_cases('cases')} "
 )
 QUERIES["evaluation_cases"] = evaluation_cases
-ORACLES["evaluation_cases"] = log_sql(_EVAL + "SELECT * FROM checked").replace("FROM stated) , judged_cases", "FROM stated), judged_cases")
+ORACLES["evaluation_cases"] = log_sql(_EVAL + "SELECT * FROM checked").replace("FROM stated) , cases", "FROM stated), cases")
 
 
 def evaluation_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.metrics(evaluation.evaluate_cases(_cases(spark, sf), fixtures.bank(sf)))
 
 
+def _pct(name: str) -> str:
+    return f"CAST(round_even(100.0 * count(*) FILTER ({name}) / count(*), 0) AS BIGINT)"
+
+
 QUERIES["evaluation_metrics"] = evaluation_metrics
 ORACLES["evaluation_metrics"] = log_sql(
     _EVAL + "SELECT count(*) AS total, count(*) FILTER (rbac_ok) AS rbac_correct, count(*) FILTER (status_ok) AS status_correct, "
     "count(*) FILTER (inbound_ok) AS inbound_pii_correct, count(*) FILTER (audit_ok) AS audit_complete, "
-    "CAST(round(100.0 * count(*) FILTER (rbac_ok) / count(*)) AS BIGINT) AS rbac_pct, CAST(round(100.0 * count(*) FILTER (status_ok) / count(*)) AS BIGINT) AS status_pct, "
-    "100 AS inbound_pii_pct, 100 AS audit_pct, count(*) FILTER (rbac_ok) + count(*) FILTER (status_ok) + 2 * count(*) AS overall, 4 * count(*) AS max_score FROM checked"
-).replace("FROM stated) , judged_cases", "FROM stated), judged_cases")
+    f"{_pct('rbac_ok')} AS rbac_pct, {_pct('status_ok')} AS status_pct, {_pct('inbound_ok')} AS inbound_pii_pct, {_pct('audit_ok')} AS audit_pct, "
+    "count(*) FILTER (rbac_ok) + count(*) FILTER (status_ok) + count(*) FILTER (inbound_ok) + count(*) FILTER (audit_ok) AS overall, 4 * count(*) AS max_score FROM checked"
+).replace("FROM stated) , cases", "FROM stated), cases")

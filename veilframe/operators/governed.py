@@ -16,8 +16,9 @@ from itertools import islice
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilframe.functions.canonical import row_json, truncate
 from veilframe.operators.access import AccessRules
@@ -25,7 +26,7 @@ from veilframe.sources.storage import new_path
 
 Tables = Mapping[str, Callable[[SparkSession], DataFrame]]
 OUTPUT_SCHEMA = "role string, call_key string, output string, error string"
-ROWS_SCHEMA = "role string, call_key string, row_json string, error string"
+ROWS_SCHEMA = "role string, call_key string, position long, row_json string, error string"
 
 # what roles may call, by Spark's own grouping of its functions; calls into the JVM, files, session
 # values, generators and user functions are in none of these groups
@@ -38,6 +39,7 @@ _FUNCTION_GROUPS = frozenset(
 _LEAVES = frozenset(("OneRowRelation", "LocalRelation", "CTERelationRef"))
 _REFUSED_NODES = frozenset(("Generate", "ScriptTransformation"))
 _REFUSED = "The query uses a function or source that is not available to roles"
+_REFUSED_CONDITION = "The query filters or joins on a column that is not available to the role"
 _WORKERS = 8
 
 
@@ -63,12 +65,10 @@ def role_session(
     return session
 
 
-def _hidden_names(session: SparkSession, rules: AccessRules, role: str) -> set[str]:
-    """Columns hidden in one of the role's views and shown in none."""
+def _hidden_columns(session: SparkSession, rules: AccessRules, role: str) -> dict[str, set[str]]:
+    """Columns hidden in each of the role's views, in lower case."""
     views = {t: session.table(t).columns for t in rules.tables.get(role, ()) if session.catalog.tableExists(t)}
-    hidden = {c for t, columns in views.items() for c in rules.hidden(role, t, columns)}
-    shown = {c for t, columns in views.items() for c in columns if c not in rules.hidden(role, t, columns)}
-    return {c.lower() for c in hidden - shown}
+    return {t.lower(): {c.lower() for c in rules.hidden(role, t, columns)} for t, columns in views.items()}
 
 
 def _nodes(tree) -> Iterator[dict]:
@@ -143,15 +143,95 @@ def _check_plan(df: DataFrame) -> None:
             raise ValueError(_REFUSED)
 
 
-def governed_query(session: SparkSession, query: str, role: str, rules: AccessRules = AccessRules(), hidden: set[str] | None = None) -> DataFrame:
-    """Run one SELECT in a role session; columns the role may not see are dropped from the result."""
+def _ids(expression: list) -> set[int]:
+    """Ids of the attributes that a flat expression tree reads; plans of subqueries not included."""
+    return {n["exprId"]["id"] for n in expression if _kind(n) == "AttributeReference"}
+
+
+def _view_columns(nodes: list, hidden: Mapping[str, set[str]]) -> set[int]:
+    """Ids of the hidden columns that the role's views give out: by table, not by name alone."""
+    found = set()
+    for at, node in enumerate(nodes):
+        if _kind(node) == "View":
+            names = hidden.get(node["desc"]["identifier"]["table"].lower(), set())
+            child = nodes[at + 1]
+            for expression in child.get("projectList") or child.get("output") or []:
+                top = expression[0]
+                if top.get("name", "").lower() in names:
+                    found.add(top["exprId"]["id"])
+        for value in node.values():
+            for inner in _plans_in(value):
+                found |= _view_columns(inner, hidden)
+    return found
+
+
+class Lineage:
+    """Where the columns of an analysed query come from, by expression id.
+
+    ``bare``: ids that are a hidden column itself, under whatever alias; ``derived``: those and all
+    that is computed from one."""
+
+    def __init__(self, df: DataFrame, hidden: Mapping[str, set[str]]):
+        nodes = json.loads(df._jdf.queryExecution().analyzed().toJSON())
+        self.nodes = list(_outside_views(nodes))
+        self.bare = _view_columns(nodes, hidden)
+        self.derived = set(self.bare)
+        trees = [e for n in self.nodes for v in n.values() for e in _plans_in(v)]
+        known = -1
+        while known != len(self.bare) + len(self.derived):
+            known = len(self.bare) + len(self.derived)
+            for tree in trees:
+                if _kind(tree[0]) != "Alias":
+                    continue
+                own, used = tree[0]["exprId"]["id"], _ids(tree[1:])
+                if used & self.derived:
+                    self.derived.add(own)
+                if used & self.bare and len(tree) == 2:
+                    self.bare.add(own)
+
+    def conditions(self) -> set[int]:
+        """Ids from hidden columns that a filter or join condition reads."""
+        read = set()
+        for node in self.nodes:
+            if _kind(node) in ("Filter", "Join"):
+                for tree in _plans_in(node.get("condition") or []):
+                    read |= _ids(tree) & self.derived
+        return read
+
+
+def governed_query(
+    session: SparkSession, query: str, role: str, rules: AccessRules = AccessRules(),
+    hidden: Mapping[str, set[str]] | None = None, refuse_conditions: bool = False,
+) -> DataFrame:
+    """Run one SELECT in a role session; columns the role may not see are dropped from the result.
+
+    A result column goes if it is a hidden one by lineage and still has its name; an alias of it
+    stays, as NULL, and a column that only shares the name stays. ``refuse_conditions`` refuses
+    a query that filters or joins on something computed from a hidden column; without it such a
+    condition meets NULLs."""
     if not query.strip().upper().startswith("SELECT"):
         raise ValueError("Only SELECT queries are allowed. Got: " + query[:50])
     _check_text(session, query)
     df = session.sql(query)
     _check_plan(df)
-    hidden = _hidden_names(session, rules, role) if hidden is None else hidden
-    return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in hidden]) if hidden else df
+    hidden = _hidden_columns(session, rules, role) if hidden is None else hidden
+    if not any(hidden.values()):
+        return df
+    lineage = Lineage(df, hidden)
+    if refuse_conditions and lineage.conditions():
+        raise ValueError(_REFUSED_CONDITION)
+    names = set().union(*hidden.values())
+    output = df._jdf.queryExecution().analyzed().output()
+    ids = [output.apply(i).exprId().id() for i in range(output.size())]
+    shown = [i for i, c in enumerate(df.columns) if c.lower() not in names or ids[i] not in lineage.bare]
+    if len(shown) == len(df.columns):
+        return df
+    # by position: a result may hold a name twice
+    return _numbered(df).select(*[f"_{i}" for i in shown]).toDF(*[df.columns[i] for i in shown])
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))])
 
 
 def table_schema(spark: SparkSession, tables: Tables, role: str, rules: AccessRules = AccessRules()) -> DataFrame:
@@ -164,22 +244,41 @@ def table_schema(spark: SparkSession, tables: Tables, role: str, rules: AccessRu
     return spark.createDataFrame(rows, "table string, position int, column string, type string")
 
 
-def _one_output(df: DataFrame, role: str, query: str, max_chars: int) -> DataFrame:
-    """One row with the result as JSON text, cut at ``max_chars``. A result row takes at least
-    four characters of the text, so rows past ``max_chars / 4`` cannot show before the cut and
-    are not read for it; at most that many rows meet in one task. Whole results are judged by
-    ``query_rows``."""
-    rows = df.limit(max_chars // 4 + 2).select(F.substring(row_json(df.schema), 1, max_chars + 1).alias("row_json"))
-    text = F.concat(F.lit("["), F.array_join(F.collect_list("row_json"), ", "), F.lit("]"))
-    return rows.agg(truncate(text, max_chars).alias("output")).select(
-        F.lit(role).alias("role"), F.lit(query).alias("call_key"), "output", F.lit(None).cast("string").alias("error")
+def _all_rows(df: DataFrame, role: str, query: str, most: int | None) -> DataFrame:
+    """Result rows as JSON, in order of ``position``. Of columns with one name the last counts, as
+    in any JSON object."""
+    last = {f.name: i for i, f in enumerate(df.schema.fields)}
+    shown = T.StructType([df.schema.fields[i] for i in last.values()])
+    rows = _numbered(df if most is None else df.limit(most))
+    return rows.select(
+        F.lit(role).alias("role"), F.lit(query).alias("call_key"), F.monotonically_increasing_id().alias("position"),
+        row_json(shown, source={name: f"_{i}" for name, i in last.items()}).alias("row_json"), F.lit(None).cast("string").alias("error"),
     )
 
 
-def _all_rows(df: DataFrame, role: str, query: str) -> DataFrame:
-    return df.select(
-        F.lit(role).alias("role"), F.lit(query).alias("call_key"),
-        row_json(df.schema).alias("row_json"), F.lit(None).cast("string").alias("error"),
+def row_texts(calls: DataFrame, rows: DataFrame, max_chars: int) -> DataFrame:
+    """``(role, call_key, output, error)`` per distinct call: its rows as one JSON text, cut at
+    ``max_chars``. A row takes at least four characters of the text, so rows past ``max_chars / 4``
+    cannot show. Rows are counted by task first; of a large result only the tasks that hold its
+    first rows are read for the text."""
+    keep = max_chars // 4 + 2
+    task, place = F.shiftright("position", 33), F.col("position").bitwiseAND((1 << 33) - 1)
+    good = rows.filter("error is null").select("role", "call_key", task.alias("task"), place.alias("place"), "row_json")
+    earlier = Window.partitionBy("role", "call_key").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    first = (
+        good.groupBy("role", "call_key", "task").agg(F.count("*").alias("n"))
+        .withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).filter(F.col("before") < keep).drop("n")
+    )
+    shown = good.filter(F.col("place") < keep).join(first, ["role", "call_key", "task"]).withColumn("n", F.col("before") + F.col("place"))
+    listed = shown.filter(F.col("n") < keep).groupBy("role", "call_key").agg(
+        F.array_sort(F.collect_list(F.struct("n", F.substring("row_json", 1, max_chars + 1).alias("j")))).alias("listed")
+    )
+    errors = rows.filter("error is not null").select("role", "call_key", "error")
+    text = F.concat(F.lit("["), F.coalesce(F.array_join(F.transform("listed", lambda r: r["j"]), ", "), F.lit("")), F.lit("]"))
+    return (
+        calls.select("role", "call_key").distinct().join(listed.hint("merge"), ["role", "call_key"], "left")
+        .join(errors.hint("merge"), ["role", "call_key"], "left")
+        .select("role", "call_key", F.when(F.col("error").isNull(), truncate(text, max_chars)).alias("output"), "error")
     )
 
 
@@ -201,7 +300,7 @@ def _per_query(
     costs no other its result. Only texts reach the driver, streamed; results are written by
     tasks, so neither their number nor their size is limited."""
     spark = calls.sparkSession
-    sessions: dict[str, tuple[SparkSession, set[str]]] = {}
+    sessions: dict[str, tuple[SparkSession, dict[str, set[str]]]] = {}
     path, failed, done = new_path(spark, "query-results"), [], 0
 
     def run(number: int, role: str, query: str) -> str | None:
@@ -218,9 +317,9 @@ def _per_query(
         while batch := list(islice(texts, 64 * _WORKERS)):
             for role in {r.role for r in batch} - set(sessions):
                 session = role_session(spark, tables, role, rules)
-                sessions[role] = (session, _hidden_names(session, rules, role))
+                sessions[role] = (session, _hidden_columns(session, rules, role))
             jobs = [(r, pool.submit(run, done + i, r.role, r.call_key)) for i, r in enumerate(batch)]
-            failed += [(r.role, r.call_key, None, error) for r, job in jobs if (error := job.result()) is not None]
+            failed += [(r.role, r.call_key, None, None, error) for r, job in jobs if (error := job.result()) is not None]
             done += len(batch)
     errors = spark.createDataFrame(failed, schema)
     return spark.read.schema(schema).parquet(path).select(*errors.columns).unionByName(errors) if done > len(failed) else errors
@@ -229,13 +328,14 @@ def _per_query(
 def query_outputs(
     calls: DataFrame, tables: Tables, max_chars: int, rules: AccessRules = AccessRules()
 ) -> DataFrame:
-    """``(role, call_key, output, error)``: one text per distinct (role, query)."""
-    return _per_query(
-        calls, tables, rules, OUTPUT_SCHEMA,
-        lambda df, role, query: _one_output(df, role, query, max_chars),
-    )
+    """``(role, call_key, output, error)``: one text per distinct (role, query). No more rows are
+    computed than the text can show."""
+    return row_texts(calls, query_rows(calls, tables, rules, max_chars // 4 + 2), max_chars)
 
 
-def query_rows(calls: DataFrame, tables: Tables, rules: AccessRules = AccessRules()) -> DataFrame:
-    """``(role, call_key, row_json, error)``: one row per result row, distributed."""
-    return _per_query(calls, tables, rules, ROWS_SCHEMA, _all_rows)
+def query_rows(
+    calls: DataFrame, tables: Tables, rules: AccessRules = AccessRules(), most: int | None = None
+) -> DataFrame:
+    """``(role, call_key, position, row_json, error)``: one row per result row, distributed and
+    stored; the first ``most`` rows only if that is given."""
+    return _per_query(calls, tables, rules, ROWS_SCHEMA, lambda df, role, query: _all_rows(df, role, query, most))

@@ -153,6 +153,55 @@ def lookup_outputs(
     )
 
 
+RESULT_ROWS = ("role", "call_key", "page", "position", "row_json", "error")
+
+
+def lookup_rows(
+    calls: DataFrame, customers: DataFrame, accounts: DataFrame, rules: AccessRules = AccessRules(), page_size: int = 1000,
+) -> DataFrame:
+    """``RESULT_ROWS`` of lookups: the customer at position -1 of page 0, then every account at its
+    id. Accounts come from the pages of ``nested_lookup``, so a customer's are never together."""
+    wanted = calls.select("role", "call_key", F.col("call_key").try_cast("long").alias("customer_id")).distinct()
+    pages = nested_lookup(wanted.select("customer_id").filter("customer_id is not null"), customers, accounts, page_size)
+    missing = F.when(F.col("call_key").isNull(), "ValueError: customer_id is required for customer_lookup")
+
+    def text(name: str, schema: T.StructType) -> Column:
+        names = {f.name: f"{name}`.`{f.name}" for f in schema.fields}
+        return _by_role(rules, F.col("role"), lambda hidden: row_json(schema, hidden, names))
+
+    record = customers.select(F.col("id").alias("customer_id"), F.struct(*[F.col(c) for c in customers.columns]).alias("customer"))
+    people = wanted.join(record.hint("merge"), "customer_id", "left").select(
+        "role", "call_key", F.lit(0).alias("page"), F.lit(-1).cast("long").alias("position"),
+        F.when(F.col("customer").isNotNull(), text("customer", customers.schema))
+        .when(missing.isNull(), error_json(_not_found(F.col("customer_id")))).alias("row_json"),
+        missing.alias("error"),
+    )
+    held = wanted.join(pages.filter("customer is not null").select("customer_id", "page", "accounts").hint("merge"), "customer_id").select(
+        "role", "call_key", "page", F.explode("accounts").alias("account")
+    )
+    return people.unionByName(
+        held.select(
+            "role", "call_key", "page", F.col("account.id").cast("long").alias("position"),
+            text("account", accounts.schema).alias("row_json"), F.lit(None).cast("string").alias("error"),
+        )
+    )
+
+
+def search_rows(calls: DataFrame, customers: DataFrame, rules: AccessRules = AccessRules()) -> DataFrame:
+    """``RESULT_ROWS`` of searches: a row per hit; one with the refusal for a search that is refused."""
+    asked = calls.select("role", "call_key", F.col("call_key").alias("search_key"), "name", "email", "limit").distinct()
+    none = F.lit(None).cast("string")
+    found = search_customers(asked.select("search_key", "name", "email", "limit"), customers)
+    hits = found.join(asked.select("role", "call_key", "search_key").hint("merge"), "search_key").select(
+        "role", "call_key", F.lit(0).alias("page"), F.col("position").cast("long").alias("position"),
+        _by_role(rules, F.col("role"), lambda hidden: row_json(customers.schema, hidden)).alias("row_json"), none.alias("error"),
+    )
+    refused = asked.select(
+        "role", "call_key", F.lit(0).alias("page"), F.lit(0).cast("long").alias("position"), _refusal().alias("row_json"), none.alias("error")
+    ).filter("row_json is not null")
+    return hits.unionByName(refused)
+
+
 def ascii_lower(text: Column) -> Column:
     """Case folding of LIKE: ASCII letters only."""
     return F.translate(text, _UPPER, _LOWER)
@@ -281,11 +330,16 @@ def search_outputs(
         count = F.coalesce(F.col("_count"), F.lit(0)).cast("string")
         return F.concat(F.lit('{"count": '), count, F.lit(', "results": ['), listed, F.lit("]}"))
 
-    missing = F.coalesce(F.col("name"), F.lit("")).eqNullSafe("") & F.coalesce(F.col("email"), F.lit("")).eqNullSafe("")
-    refused = F.lit('API error: 400 - {"detail":"At least one search parameter (name or email) is required"}')
-    wrong = ~F.coalesce(F.col("limit"), F.lit(SEARCH_DEFAULT)).between(1, SEARCH_LIMIT)
     return asked.join(texts.hint("merge"), "search_key", "left").select(
         "role", "call_key",
-        truncate(F.when(wrong, error_json(_wrong_limit(F.col("limit")))).when(missing, error_json(refused)).otherwise(_by_role(rules, F.col("role"), output)), max_chars).alias("output"),
+        truncate(F.coalesce(_refusal(), _by_role(rules, F.col("role"), output)), max_chars).alias("output"),
         F.lit(None).cast("string").alias("error"),
     )
+
+
+def _refusal() -> Column:
+    """The text for a search with a wrong limit or without any criterion, null for others."""
+    missing = F.coalesce(F.col("name"), F.lit("")).eqNullSafe("") & F.coalesce(F.col("email"), F.lit("")).eqNullSafe("")
+    refused = F.lit('API error: 400 - {"detail":"At least one search parameter (name or email) is required"}')
+    wrong = ~F.coalesce(F.col("limit"), F.lit(SEARCH_DEFAULT)).between(1, SEARCH_LIMIT)
+    return F.when(wrong, error_json(_wrong_limit(F.col("limit")))).when(missing, error_json(refused))

@@ -1,17 +1,128 @@
-"""A token-classification model in place of the rules: text -> token table -> spans."""
+"""A token-classification model in place of the rules: text -> token table -> spans.
+
+``model_detector`` gives the spans of a text as a column, so masking and the gateway take a model
+as they take the rules. ``detect_with_model`` gives a table of spans instead, which can be stored
+once and joined to the texts by id wherever they are masked (``stored_detections``)."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilframe import fixed_values as fixed
+from veilframe.functions.spans import SPAN_TYPE
 from veilframe.operators.tokens import BIOES_LABELS, decode_bioes, score_tokens
 
 # texts -> per text a list of (start, end, logits) in reading order
 Predict = Callable[[list[str]], list[list[tuple[int, int, list[float]]]]]
+BATCH = 64
+# models that this worker process has loaded, by detector
+_loaded: dict[str, Predict] = {}
+
+
+def _labels(logits: list, names: tuple[str, ...]) -> tuple[list[str], list[float]]:
+    """Per token the label of the largest logit (``O`` beyond the names) and its probability."""
+    scores = np.asarray(logits, dtype=float)
+    best = scores.argmax(1)
+    top = scores.max(1, keepdims=True)
+    probs = 1.0 / np.exp(scores - top).sum(1)
+    return [names[i] if i < len(names) else "O" for i in best.tolist()], probs.tolist()
+
+
+def bioes_spans(tokens: list[tuple], names: tuple[str, ...] = BIOES_LABELS) -> list[tuple[str, int, int, float]]:
+    """``(category, start, end, confidence)`` of one text's tokens, by the rules of ``decode_bioes``."""
+    if not tokens:
+        return []
+    labels, probs = _labels([t[2] for t in tokens], names)
+    out, run = [], None  # run: category and the places of its tokens
+
+    def close() -> None:
+        category, first, last = run
+        start, end = tokens[first][:2], tokens[last][:2]
+        if None not in (start[0], start[1], end[1]) and start != (0, 0):
+            out.append((category, start[0], end[1], float(np.mean(probs[first:last + 1]))))
+
+    for i, label in enumerate(labels):
+        prefix, category = label[:1], label[2:]
+        if label[1:2] != "-" or prefix not in "BIES" or category not in fixed.CATEGORIES:
+            prefix, category = "O", None
+        if run is not None and prefix in ("I", "E") and category == run[0]:
+            run = (category, run[1], i)
+            if prefix == "E":
+                close()
+                run = None
+            continue
+        if run is not None:
+            close()
+            run = None
+        if prefix in ("S", "B"):
+            run = (category, i, i)
+            if prefix == "S":
+                close()
+                run = None
+    if run is not None:
+        close()
+    return sorted(out, key=lambda s: s[1])
+
+
+def model_detector(load: Callable[[], Predict], labels: tuple[str, ...] = BIOES_LABELS, batch: int = BATCH) -> Callable[[Column], Column]:
+    """A detector for ``redact_corpus``, ``Context`` and the streams. ``load`` runs once per worker
+    process; texts come in Arrow batches and go to the model ``batch`` at a time. Null and blank
+    texts have no spans and are not sent to it. Spans that overlap an earlier one are dropped, as
+    masking wants them apart."""
+    name = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        from veilframe.operators import model
+
+        if name not in model._loaded:
+            model._loaded[name] = load()
+        predict = model._loaded[name]
+        for column in batches:
+            texts = column.to_pylist()
+            spans: list[list] = [[] for _ in texts]
+            filled = [i for i, t in enumerate(texts) if t and t.strip()]
+            for at in range(0, len(filled), batch):
+                some = filled[at:at + batch]
+                for i, tokens in zip(some, predict([texts[i] for i in some])):
+                    last = 0
+                    for category, start, end, confidence in bioes_spans(tokens, labels):
+                        if start >= last and end > start:
+                            spans[i].append({"category": category, "start": start, "end": end, "text": texts[i][start:end], "confidence": confidence})
+                            last = end
+            yield pa.array(spans, _ARROW_SPANS)
+
+    detect = F.arrow_udf(run, SPAN_TYPE)
+    return lambda text: detect(text)
+
+
+_ARROW_SPANS = pa.list_(pa.struct([
+    ("category", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()), ("confidence", pa.float64()),
+]))
+
+
+def stored_detections(df: DataFrame, key: str, text: str, spans: DataFrame) -> DataFrame:
+    """``detections`` from a table of spans ``(key, category, start, end, confidence)``, as stored by
+    ``detect_with_model``; rows without spans have none. Only spans are shuffled with the texts,
+    nothing is detected again. A text has a bounded number of spans, as its tokens are bounded."""
+    span = F.struct("start", "end", "category", "confidence")
+    listed = spans.groupBy(key).agg(F.array_sort(F.collect_list(span)).alias("_spans"))
+
+    def shown(s: Column) -> Column:
+        return F.struct(
+            s["category"].alias("category"), s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"),
+            F.substr(F.col(text), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")).alias("text"), s["confidence"].alias("confidence"),
+        )
+
+    joined = df.join(listed, key, "left")
+    none = F.array().cast(SPAN_TYPE)
+    return joined.withColumn("detections", F.coalesce(F.transform("_spans", shown), none)).drop("_spans")
 
 
 def token_table(df: DataFrame, doc: str, text: str, load: Callable[[], Predict]) -> DataFrame:

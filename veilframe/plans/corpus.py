@@ -39,9 +39,24 @@ def redact_corpus(
     detector: Callable[[Column], Column] = detect,
 ) -> DataFrame:
     """Add ``detections``, ``sanitized`` and ``decision`` to a table of texts."""
+    detected = detect_corpus(df, text, threshold, detector)
+    return mask_corpus(detected, policy, direction, text, request_id, policies, hash_length, salt)
+
+
+def mask_corpus(
+    detected: DataFrame,
+    policy: str | Column,
+    direction: str = "outbound",
+    text: str = "text",
+    request_id: Column | None = None,
+    policies: Mapping[str, Policy] = BUNDLED,
+    hash_length: int = 8,
+    salt: str = "",
+) -> DataFrame:
+    """Add ``sanitized`` and ``decision`` to texts with ``detections`` beside them, from whatever
+    detector or table."""
     return (
-        detect_corpus(df, text, threshold, detector)
-        .withColumn(
+        detected.withColumn(
             "sanitized",
             apply_policy(
                 F.col(text), F.col("detections"), policy, direction, request_id, policies, hash_length, salt

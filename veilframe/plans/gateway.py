@@ -7,7 +7,7 @@ scanned once, before it is joined back to the requests.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,15 +22,16 @@ from veilframe.functions.masking import (
 )
 from veilframe.functions.spans import SPAN_TYPE, above_threshold, detect, safe_spans
 from veilframe.operators.access import AccessRules, denial_text, rbac_reason
-from veilframe.operators.governed import OUTPUT_SCHEMA, Tables, query_outputs, query_rows
-from veilframe.operators.lookup import lookup_outputs, search_outputs
+from veilframe.operators.governed import OUTPUT_SCHEMA, Tables, query_rows, row_texts
+from veilframe.operators.lookup import lookup_outputs, lookup_rows, search_outputs, search_rows
 from veilframe.sources.storage import durable, spread
 
 INBOUND_REFUSED = "Inbound policy denied or blocked the request"
 REVIEW_NEEDED = "Human review required (async backend cannot wait)"
 REVIEW_ENDED = "Request cancelled or human review timeout"
-_WHOLE = "map<string,struct<violation:struct<category:string,direction:string,reason:string>,review:boolean>>"
-ROW_OUTPUT_CHARS = 10_000_000
+TOTALS = "struct<rows:long,detections:long,rows_hash:string>"
+_VIOLATION = "struct<category:string,direction:string,reason:string>"
+_WHOLE = f"map<string,struct<violation:{_VIOLATION},review:{SPAN_TYPE}>>"
 _DECISION = (
     "struct<action:string,reason:string,triggered_rules:array<string>,sanitized_text:string,"
     "has_review_flag:boolean,review_queue_id:string,categories:array<string>>"
@@ -127,93 +128,140 @@ def admit(requests: DataFrame, context: Context = Context(), policy: Column | No
 
 
 def resume(admitted: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Held requests with what became of their review: ``(request_id, outcome, action,
-    reason)``. The reviewer's decision takes the place of the inbound one: unless it
-    denies, the request runs as it was asked. A cancel or timeout ends it in an error.
-    """
+    """Held requests with what became of their review: ``(request_id, outcome, action, reason)``."""
     held = admitted.filter(F.col("gate") == "review_queued")
-    joined = held.drop("review_decision").join(
-        outcomes.select("request_id", "outcome", F.col("action").alias("_action"), F.col("reason").alias("_reason")),
-        "request_id",
-    )
-    reviewed = F.col("outcome") == "reviewed"
+    given = outcomes.select("request_id", F.struct("outcome", "action", "reason").alias("_review"))
+    return decided(held.join(given, "request_id"), "_review")
+
+
+def decided(held: DataFrame, review: str) -> DataFrame:
+    """Held requests under the outcome of their review, a struct ``(outcome, action, reason)`` beside
+    them. The reviewer's decision takes the place of the inbound one: unless it denies, the request
+    runs as it was asked. A cancel or timeout ends it in an error."""
+    outcome, action, reason = (F.col(f"{review}.{c}") for c in ("outcome", "action", "reason"))
+    reviewed = outcome == "reviewed"
     decision = F.struct(
-        F.col("_action").alias("action"), F.col("_reason").alias("reason"),
+        action.alias("action"), reason.alias("reason"),
         F.array(F.lit("human_review")).alias("triggered_rules"), F.lit(None).cast("string").alias("sanitized_text"),
         F.lit(False).alias("has_review_flag"), F.lit(None).cast("string").alias("review_queue_id"),
         empty("array<string>").alias("categories"),
     )
-    return (
-        joined.withColumn("review_decision", F.when(reviewed, decision))
-        .withColumn(
-            "gate",
-            F.when(~reviewed, "error").when(F.col("_action").isin("block", "deny"), "blocked").otherwise("run"),
-        )
-        .withColumn("call_key", F.when(F.col("call_kind") == "sql", F.col("query")).otherwise(F.col("call_key")))
-        .drop("outcome", "_action", "_reason")
-    )
+    gate = F.when(~reviewed, "error").when(action.isin("block", "deny"), "blocked").otherwise("run")
+    key = F.when(F.col("call_kind") == "sql", F.col("query")).otherwise(F.col("call_key"))
+    return held.withColumns({"review_decision": F.when(reviewed, decision), "gate": gate, "call_key": key}).drop(review)
 
 
-def registry(tables: Tables, context: Context = Context()) -> dict[str, Callable[[DataFrame], DataFrame]]:
-    """Call kind -> function from distinct calls to ``(role, call_key, output, error)``."""
+def _calls(admitted: DataFrame, kind: str) -> DataFrame:
+    runnable = admitted.filter((F.col("gate") == "run") & (F.col("call_kind") == kind))
+    return runnable.select("role", "call_key", "name", "email", "limit")
+
+
+def _row_source(tables: Tables, context: Context) -> dict[str, Callable[[DataFrame], DataFrame]]:
+    """Call kind -> function from calls to all rows of their results, without any cut."""
 
     def table(calls: DataFrame, name: str) -> DataFrame:
         return tables[name](calls.sparkSession)
 
     return {
-        "sql": lambda calls: query_outputs(calls, tables, context.max_output_chars, context.rules),
-        "lookup": lambda calls: lookup_outputs(
-            calls, table(calls, "customers"), table(calls, "accounts"), context.max_output_chars, context.rules
-        ),
-        "search": lambda calls: search_outputs(
-            calls, spread(table(calls, "customers")), context.max_output_chars, context.rules
-        ),
+        "lookup": lambda calls: lookup_rows(calls, table(calls, "customers"), table(calls, "accounts"), context.rules),
+        "search": lambda calls: search_rows(calls, spread(table(calls, "customers")), context.rules),
     }
 
 
+def _paged(sql_rows: DataFrame) -> DataFrame:
+    """Rows of SQL results in the form of ``RESULT_ROWS``: a page is what one task has written."""
+    return sql_rows.select("role", "call_key", F.shiftright("position", 33).cast("int").alias("page"), "position", "row_json", "error")
+
+
 def execute(admitted: DataFrame, tables: Tables, context: Context = Context()) -> DataFrame:
     """Stage 4 for the distinct calls of admitted requests, with stage 5 on each result.
 
-    The results are written before they are scanned: the scan expression would
-    otherwise be planned once per query of the union.
+    A SQL text runs once: its rows are stored, and both the text and the verdict on all rows come
+    from them. The texts are written before they are scanned: the scan expression would otherwise
+    be planned once per query of the union.
     """
-    spark = admitted.sparkSession
-    runnable = admitted.filter(F.col("gate") == "run")
-    outputs = spark.createDataFrame([], f"call_kind string, {OUTPUT_SCHEMA}")
-    for kind, run in registry(tables, context).items():
-        calls = runnable.filter(F.col("call_kind") == kind).select("role", "call_key", "name", "email", "limit")
-        outputs = outputs.unionByName(run(calls).withColumn("call_kind", F.lit(kind)))
+    most = context.max_output_chars
+    sql = _calls(admitted, "sql")
+    sql_rows = query_rows(sql, tables, context.rules, None if context.judge_whole else most // 4 + 2)
+    outputs = {"sql": row_texts(sql, sql_rows, most)}
+    people, held = (lambda c: tables["customers"](c.sparkSession)), (lambda c: tables["accounts"](c.sparkSession))
+    lookups, searches = _calls(admitted, "lookup"), _calls(admitted, "search")
+    outputs["lookup"] = lookup_outputs(lookups, people(lookups), held(lookups), most, context.rules)
+    outputs["search"] = search_outputs(searches, spread(people(searches)), most, context.rules)
+    united = admitted.sparkSession.createDataFrame([], f"call_kind string, {OUTPUT_SCHEMA}")
+    for kind, texts in outputs.items():
+        united = united.unionByName(texts.withColumn("call_kind", F.lit(kind)))
+    written = durable(united, "outputs")
     spans = above_threshold(context.detector(F.col("output")), context.threshold)
-    written = durable(outputs, "outputs")
-    return _with_whole(written, tables, context).withColumn("outbound_detections", spans)
+    return _with_whole(written, admitted, sql_rows, tables, context).withColumn("outbound_detections", spans)
+
+
+def page_verdicts(rows: DataFrame, context: Context = Context(), policies: Mapping[str, Column] | None = None) -> DataFrame:
+    """Verdicts over the rows of results, per page: ``(role, call_kind, call_key, page, rows,
+    detections, row_sum, error, whole)``. ``whole`` maps each policy to its first violation and
+    the spans to review of the first row that has some. ``policies``: names to judge by, each
+    with a condition for the rows it is for; all by default. ``row_sum`` adds up hashes of rows,
+    so it does not depend on their order."""
+    policies = {name: F.lit(True) for name in context.policies} if policies is None else policies
+    spans = above_threshold(context.detector(F.col("row_json")), context.threshold)
+    scanned = rows.withColumn("spans", spans)
+    judged = {
+        name: F.when(
+            own, apply_policy(F.col("row_json"), F.col("spans"), F.lit(name), "outbound", F.sha2("call_key", 256), context.policies)
+        )
+        for name, own in policies.items()
+    }
+    scanned = scanned.withColumns({f"_p{i}": j for i, j in enumerate(judged.values())})
+
+    def verdict(j: Column) -> Column:
+        place = F.struct("page", "position")
+        return F.struct(
+            F.min(F.when(j["blocked"], F.struct(place.alias("at"), j["violation"].alias("violation")))).alias("violation"),
+            F.min(F.when(j["has_review_flag"], F.struct(place.alias("at"), j["review"].alias("review")))).alias("review"),
+        )
+
+    each = [x for i, name in enumerate(judged) for x in (F.lit(name), verdict(F.col(f"_p{i}")))]
+    row_hash = F.conv(F.substring(F.sha2("row_json", 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return scanned.groupBy("role", "call_kind", "call_key", "page").agg(
+        F.count("row_json").alias("rows"), F.sum(F.size("spans")).alias("detections"), F.sum(row_hash).alias("row_sum"),
+        F.max("error").alias("error"), F.create_map(*each).alias("whole"),
+    )
+
+
+def call_verdicts(pages: DataFrame, names: Iterable[str]) -> DataFrame:
+    """``page_verdicts`` rolled up to calls: ``(role, call_kind, call_key, totals, run_error, whole)``."""
 
+    def first(name: str, part: str) -> Column:
+        return F.min(F.col("whole")[name][part])[part]
 
-def _with_whole(outputs: DataFrame, tables: Tables, context: Context) -> DataFrame:
-    """Outputs with the verdict over all rows of those that were cut: ``whole`` maps a policy to
-    its first violation and review flag, ``whole_detections`` counts spans. Null for the others,
-    whose text is the whole result."""
-    schema = f"role string, call_key string, whole {_WHOLE}, whole_detections long"
-    cut = outputs.filter((F.col("call_kind") == "sql") & F.col("output").endswith(fixed.TRUNCATED)).select("role", "call_key").distinct()
+    def verdict(name: str) -> Column:
+        return F.struct(first(name, "violation").alias("violation"), first(name, "review").alias("review"))
+
+    each = [x for name in names for x in (F.lit(name), verdict(name))]
+    totals = F.struct(
+        F.sum("rows").alias("rows"), F.sum("detections").cast("long").alias("detections"),
+        F.sha2(F.sum("row_sum").cast("decimal(38,0)").cast("string"), 256).alias("rows_hash"),
+    )
+    return pages.groupBy("role", "call_kind", "call_key").agg(
+        totals.alias("totals"), F.max("error").alias("run_error"), F.create_map(*each).alias("whole")
+    )
+
+
+def _with_whole(outputs: DataFrame, admitted: DataFrame, sql_rows: DataFrame, tables: Tables, context: Context) -> DataFrame:
+    """Outputs with the verdict over all rows of those that were cut: ``whole`` by policy, and
+    ``totals``. Null for the others, whose text is the whole result."""
+    cut = outputs.filter(F.col("output").endswith(fixed.TRUNCATED)).select("call_kind", "role", "call_key")
     if not context.judge_whole or cut.isEmpty():
+        schema = f"role string, call_kind string, call_key string, totals {TOTALS}, whole {_WHOLE}"
         verdicts = outputs.sparkSession.createDataFrame([], schema)
     else:
-        rows = durable(query_rows(cut, tables, context.rules), "whole-rows").withColumn(
-            "spans", above_threshold(context.detector(F.col("row_json")), context.threshold)
-        )
-        judged = {
-            name: apply_policy(F.col("row_json"), F.col("spans"), F.lit(name), "outbound", F.sha2("call_key", 256), context.policies)
-            for name in context.policies
-        }
-        by_policy = [
-            F.struct(F.min(F.when(j["blocked"], j["violation"])).alias("violation"), F.bool_or(j["has_review_flag"]).alias("review"))
-            for j in (F.col(f"_p{i}") for i in range(len(judged)))
-        ]
-        pairs = [x for name, verdict in zip(judged, by_policy) for x in (F.lit(name), verdict)]
-        verdicts = (
-            rows.withColumns({f"_p{i}": j for i, j in enumerate(judged.values())})
-            .groupBy("role", "call_key").agg(F.create_map(*pairs).alias("whole"), F.sum(F.size("spans")).alias("whole_detections"))
-        )
-    return outputs.join(verdicts.hint("merge"), ["role", "call_key"], "left")
+        rows = _paged(sql_rows).withColumn("call_kind", F.lit("sql"))
+        for kind, source in _row_source(tables, context).items():
+            long = _calls(admitted, kind).join(cut.filter(F.col("call_kind") == kind).hint("merge"), ["role", "call_key"], "left_semi")
+            rows = rows.unionByName(source(long).withColumn("call_kind", F.lit(kind)))
+        judged = durable(rows.join(cut, ["call_kind", "role", "call_key"], "left_semi"), "whole-rows")
+        verdicts = call_verdicts(page_verdicts(judged, context), context.policies).drop("run_error")
+    return outputs.join(verdicts.hint("merge"), ["role", "call_kind", "call_key"], "left")
 
 
 def finish(admitted: DataFrame, outputs: DataFrame, context: Context = Context()) -> DataFrame:
@@ -233,16 +281,26 @@ def finish(admitted: DataFrame, outputs: DataFrame, context: Context = Context()
         F.col("output"), F.col("outbound_detections"), F.col("policy"), "outbound", F.col("request_id"),
         context.policies,
     )
-    # a block anywhere in the result blocks it, also behind the cut
-    outbound = bind(
-        shown,
-        lambda s: bind(
-            F.try_element_at(F.col("whole"), F.col("policy"))["violation"],
-            lambda v: F.when(v.isNull(), s).otherwise(
-                s.withField("blocked", F.lit(True)).withField("violation", F.coalesce(s["violation"], v))
-            ),
-        ),
-    )
+    # a block anywhere in the result blocks it and a span for review anywhere queues it, also
+    # behind the cut
+    def whole(s: Column, v: Column) -> Column:
+        blocked = (
+            s.withField("blocked", F.lit(True)).withField("violation", F.coalesce(s["violation"], v["violation"]))
+            .withField("has_review_flag", F.lit(False)).withField("review_queue_id", F.lit(None).cast("string"))
+            .withField("vault", empty(_VAULT)).withField("review", empty(SPAN_TYPE))
+        )
+        queued = (
+            s.withField("has_review_flag", F.lit(True))
+            .withField("review_queue_id", hashing.uuid_from(F.col("request_id"), F.lit("outbound"), F.lit("review")))
+            .withField("review", F.when(s["has_review_flag"], s["review"]).otherwise(v["review"]))
+        )
+        return (
+            F.when(v["violation"].isNotNull(), blocked)
+            .when(v["review"].isNotNull() & ~s["blocked"], queued)
+            .otherwise(s)
+        )
+
+    outbound = bind(shown, lambda s: bind(F.try_element_at(F.col("whole"), F.col("policy")), lambda v: whole(s, v)))
     denial = denial_text(F.col("role"), F.col("tool_name"), F.col("rbac_reason"))
     status = (
         F.when(F.col("gate") != "run", F.col("gate"))
@@ -341,6 +399,13 @@ def audit_rows(log: DataFrame, timestamp: Column | None = None, latency_ms: Colu
     )
 
 
+def audit_totals(log: DataFrame, timestamp: Column | None = None) -> DataFrame:
+    """Beside the audit record of a request whose result text was cut: rows and spans of the whole
+    result, and a hash over all rows that does not depend on their order."""
+    ts = F.current_timestamp() if timestamp is None else timestamp
+    return log.filter("totals is not null").select("request_id", ts.alias("timestamp_utc"), "status", "totals.*")
+
+
 def log_entries(log: DataFrame, timestamp: Column | None = None, latency_ms: Column | None = None) -> DataFrame:
     """The entry returned to the caller next to the response."""
     ts = F.current_timestamp() if timestamp is None else timestamp
@@ -403,10 +468,10 @@ def run_requests_by_row(requests: DataFrame, tables: Tables, context: Context =
     """The variant without threshold and output cut.
 
     The policy follows the role, REVIEW does not stop a request, outbound REVIEW queues
-    it. A result has no size limit here, so it is scanned row by row and the verdicts
-    are rolled up per distinct query; ``tool_output_raw_hash`` is a digest over the row
-    hashes that does not depend on their order. The masked rows are ``masked_rows``; a lookup
-    or a search is one row. A request that nothing can run ends in an error.
+    it. A result has no size limit here: it is scanned row by row (of a lookup, the customer
+    and each account; of a search, each hit), and verdicts are rolled up per page and per distinct
+    call; ``tool_output_raw_hash`` is a digest over the row hashes that does not depend on their
+    order. The masked rows are ``masked_rows``. A request that nothing can run ends in an error.
     """
     everything = replace(context, threshold=0.0)
     admitted = durable(
@@ -415,15 +480,24 @@ def run_requests_by_row(requests: DataFrame, tables: Tables, context: Context =
         ),
         "admitted",
     )
-    verdicts = _row_verdicts(masked_rows(admitted, tables, everything))
+    own = {
+        name: hashing.policy_for_role(F.col("role")) == name for name in everything.policies
+    }
+    pages = page_verdicts(durable(result_rows(admitted, tables, everything), "result-rows"), everything, own)
+    verdicts = call_verdicts(pages, everything.policies)
     joined = admitted.join(
-        verdicts.withColumnsRenamed({"call_key": "_key", "role": "_role", "call_kind": "_kind"}),
+        verdicts.withColumnsRenamed({"call_key": "_key", "role": "_role", "call_kind": "_kind"}).hint("merge"),
         (F.col("gate") == "run") & (F.col("call_kind") == F.col("_kind"))
         & F.col("call_key").eqNullSafe(F.col("_key")) & (F.col("role") == F.col("_role")),
         "left",
     ).drop("_key", "_role", "_kind")
-    # a query without rows has no verdict
-    ran = F.col("out_rows").isNotNull() | (F.col("call_kind") == "sql")
+    verdict = F.try_element_at(F.col("whole"), F.col("policy"))
+    joined = joined.select(
+        "*", verdict["violation"].isNotNull().alias("out_blocked"), verdict["review"].isNotNull().alias("out_review"),
+        F.col("totals.rows").alias("out_rows"), F.col("totals.detections").alias("out_detections"), F.col("totals.rows_hash").alias("tool_output_raw_hash"),
+    ).drop("totals", "whole")
+    # a query without rows, or a search without hits, has no verdict
+    ran = F.col("out_rows").isNotNull() | F.col("call_kind").isin("sql", "search")
     inbound_review = F.coalesce(F.col("inbound.has_review_flag"), F.lit(False))
     return joined.withColumn(
         "status",
@@ -441,18 +515,19 @@ def run_requests_by_row(requests: DataFrame, tables: Tables, context: Context =
     )
 
 
+def result_rows(admitted: DataFrame, tables: Tables, context: Context = Context()) -> DataFrame:
+    """``(call_kind, role, call_key, page, position, row_json, error)``: all rows of the results of
+    the distinct admitted calls, whatever their number."""
+    rows = _paged(query_rows(_calls(admitted, "sql"), tables, context.rules)).withColumn("call_kind", F.lit("sql"))
+    for kind, source in _row_source(tables, context).items():
+        rows = rows.unionByName(source(_calls(admitted, kind)).withColumn("call_kind", F.lit(kind)))
+    return rows
+
+
 def masked_rows(admitted: DataFrame, tables: Tables, context: Context = Context()) -> DataFrame:
-    """Result rows of the distinct admitted calls, each scanned and masked. Lookups and searches
-    give one row each, of at most ``ROW_OUTPUT_CHARS`` characters."""
-    runnable = admitted.filter(F.col("gate") == "run")
-    calls = runnable.filter(F.col("call_kind") == "sql").select("role", "call_key")
-    rows = query_rows(calls, tables, context.rules).withColumn("call_kind", F.lit("sql"))
-    for kind, run in registry(tables, replace(context, max_output_chars=ROW_OUTPUT_CHARS)).items():
-        if kind != "sql":
-            calls = runnable.filter(F.col("call_kind") == kind).select("role", "call_key", "name", "email", "limit")
-            rows = rows.unionByName(run(calls).withColumnRenamed("output", "row_json").withColumn("call_kind", F.lit(kind)))
+    """``result_rows``, each scanned and masked by the policy of its role."""
     return (
-        durable(rows, "result-rows")
+        durable(result_rows(admitted, tables, context), "result-rows")
         .withColumn("detections", above_threshold(context.detector(F.col("row_json")), context.threshold))
         .withColumn(
             "sanitized",
@@ -462,15 +537,3 @@ def masked_rows(admitted: DataFrame, tables: Tables, context: Context = Context(
             ),
         )
     )
-
-
-def _row_verdicts(rows: DataFrame) -> DataFrame:
-    row_hash = F.conv(F.substring(F.sha2("row_json", 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    return rows.groupBy("role", "call_kind", "call_key").agg(
-        F.bool_or(F.coalesce("sanitized.blocked", F.lit(False))).alias("out_blocked"),
-        F.bool_or(F.coalesce("sanitized.has_review_flag", F.lit(False))).alias("out_review"),
-        F.count("row_json").alias("out_rows"),
-        F.sum(F.size("detections")).alias("out_detections"),
-        F.sha2(F.sum(row_hash).cast("string"), 256).alias("tool_output_raw_hash"),
-        F.max("error").alias("run_error"),
-    )

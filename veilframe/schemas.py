@@ -13,6 +13,8 @@ AUDIT = (
     "model_version string"
 )
 
+TOTALS = "request_id string, timestamp_utc timestamp, status string, rows long, detections long, rows_hash string"
+
 REVIEW = (
     f"review_id string, request_id string, timestamp_utc timestamp, actor {ACTOR}, tool_name string, "
     f"direction string, detections {SPAN_TYPE}, query_or_result_hash string, status string"
@@ -34,3 +36,5 @@ REQUESTS = (
 )
 
 REVIEW_EVENTS = "request_id string, ts timestamp, kind string, action string, reason string"
+
+HELD = f"{REVIEW_EVENTS}, payload string"

@@ -10,15 +10,16 @@ from pyspark.sql.types import StructType
 from veilframe import schemas
 
 
-def read_log(spark: SparkSession, path: str, schema: str = schemas.AUDIT) -> DataFrame:
+def read_log(spark: SparkSession, path: str, schema: str = schemas.AUDIT, keyed: bool = False) -> DataFrame:
     """All records of a JSON-lines log. A missing log is empty, blank lines are skipped,
-    a malformed line fails the read."""
+    a malformed line fails the read. ``keyed`` adds the key of the batch that wrote them, as text."""
+    wanted = f"{schema}, batch_id string" if keyed else schema
     try:
-        stored = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-        return stored.select(*StructType.fromDDL(schema).names)  # without partition columns
+        stored = spark.read.schema(wanted).option("mode", "FAILFAST").json(path)
+        return stored.select(*StructType.fromDDL(wanted).names)  # without partition columns
     except AnalysisException as problem:
         if problem.getCondition() == "PATH_NOT_FOUND":
-            return spark.createDataFrame([], schema)
+            return spark.createDataFrame([], wanted)
         raise
 
 
@@ -31,7 +32,7 @@ def append_log(records: DataFrame, path: str, by_date: bool = False) -> None:
         records.write.mode("append").option("ignoreNullFields", "false").json(path)
 
 
-def write_batch(records: DataFrame, path: str, batch_id: int) -> None:
+def write_batch(records: DataFrame, path: str, batch_id: int | str) -> None:
     """Write one micro-batch under its own key: a replayed batch replaces itself."""
     records.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/batch_id={batch_id}")
 
@@ -49,6 +50,12 @@ def tail_log(spark: SparkSession, path: str, schema: str = schemas.AUDIT, files_
     )
 
 
+def tail_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Stream of the records of micro-batches that ``write_batch`` adds to a path."""
+    stored = spark.readStream.schema(f"{schema}, batch_id string").option("mode", "FAILFAST").json(path)
+    return stored.drop("batch_id")
+
+
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
     """Golden cases with a stable ``case_id`` from their content."""
     cases = read_log(spark, path, schemas.GOLDEN)

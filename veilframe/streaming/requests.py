@@ -7,18 +7,26 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 from pyspark.storagelevel import StorageLevel
 
+from veilframe import schemas
 from veilframe.operators.governed import Tables
 from veilframe.plans import gateway
 from veilframe.plans.gateway import Context
+from veilframe.sources.commits import commit, is_committed
 from veilframe.sources.logs import write_batch
-from veilframe.sources.storage import temporary
+from veilframe.sources.seen import unseen
+from veilframe.sources.storage import durable, temporary
+
+
+#: How timestamps stand in the JSON of a held request: to the microsecond.
+PAYLOAD = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 def deduplicate(requests: DataFrame, horizon: str, time: str = "ts") -> DataFrame:
-    """One request per id. ``horizon`` must cover the time over which a source may
-    deliver a request again; a duplicate after it passes."""
+    """One request per id within ``horizon``. A duplicate after it passes; the path ``seen`` of
+    ``process_batch`` holds those back."""
     return requests.withWatermark(time, horizon).dropDuplicatesWithinWatermark(["request_id"])
 
 
@@ -33,22 +41,52 @@ def process_batch(
 ) -> None:
     """Run one micro-batch and write ``audit``, ``review`` and ``vault`` from the same
     result. Ids are hashes and each batch has its own key, so a replay changes nothing.
-    Intermediate tables are deleted once the sinks are written."""
+    Intermediate tables are deleted once the sinks are written. With a path ``held``, requests that
+    wait for a review are kept there as they were admitted; ``streaming.resume`` takes them up.
+    With ``totals``, what cut results hold in all. With ``manifest``, the sinks of a batch become
+    visible together, to readers of ``sources.commits``; a batch that is there already is left.
+    With ``seen``, an id that any earlier batch had is not run again, however late it comes."""
+    if "manifest" in paths and is_committed(requests.sparkSession, paths["manifest"], batch_id):
+        return
     with temporary(requests.sparkSession):
-        write_sinks(gateway.run_requests(requests, tables, context), batch_id, paths, latency_ms)
+        if "seen" in paths:  # written first: the batch is read more than once
+            requests = unseen(durable(requests, "batch"), paths["seen"], batch_id)
+        admitted = durable(gateway.admit(requests, context), "admitted")
+        if not admitted.isEmpty():
+            log = gateway.finish(admitted, gateway.execute(admitted, tables, context), context)
+            write_sinks(log, batch_id, paths, latency_ms)
 
 
-def write_sinks(log: DataFrame, batch_id: int, paths: Mapping[str, str], latency_ms: Column | None = None) -> None:
+def write_sinks(log: DataFrame, batch_id: int | str, paths: Mapping[str, str], latency_ms: Column | None = None) -> None:
     log = log.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         time = F.col("ts")
+        if "totals" in paths:
+            write_batch(gateway.audit_totals(log, time), paths["totals"], batch_id)
+        if "held" in paths:
+            write_batch(held_requests(log), paths["held"], batch_id)
         write_batch(gateway.audit_rows(log, time, latency_ms), paths["audit"], batch_id)
         write_batch(gateway.review_entries(log, time), paths["review"], batch_id)
         write_batch(gateway.vault_entries(log, time), paths["vault"], batch_id)
+        if "manifest" in paths:
+            commit(log.sparkSession, paths["manifest"], batch_id, [name for name in paths if name not in ("manifest", "seen")])
     finally:
         log.unpersist()
 
 
+def held_requests(log: DataFrame) -> DataFrame:
+    """``schemas.HELD``: requests that wait for a review, each with its admission as JSON."""
+    held = log.filter(F.col("gate") == "review_queued")
+    payload = F.to_json(F.struct(*admission(log.sparkSession).names), PAYLOAD)
+    none = F.lit(None).cast("string")
+    return held.select("request_id", "ts", F.lit("request").alias("kind"), none.alias("action"), none.alias("reason"), payload.alias("payload"))
+
+
+def admission(spark: SparkSession) -> StructType:
+    """The columns of an admitted request."""
+    return gateway.admit(spark.createDataFrame([], schemas.REQUESTS)).schema
+
+
 def start_gateway(
     requests: DataFrame, tables: Tables, paths: Mapping[str, str], checkpoint: str, horizon: str = "1 hour",
     context: Context = Context(), once: bool = False,

@@ -7,11 +7,12 @@ from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 REVIEW_HOURS = 24
-OUTCOME = "request_id string, outcome string, action string, reason string, requested_at timestamp, resolved_at timestamp"
-_STATE = "requested_ms long, deadline_ms long, closed boolean"
+OUTCOME = "request_id string, outcome string, action string, reason string, requested_at timestamp, resolved_at timestamp, payload string"
+_STATE = "requested_ms long, deadline_ms long, closed boolean, payload string"
 _EARLY = "at_ms long, kind string, action string, reason string"
 TIMEOUT_REASON = "Request cancelled or human review timeout"
 
@@ -21,13 +22,14 @@ def _ms(value) -> int:
 
 
 class ReviewGate(StatefulProcessor):
-    """State per request: when it was asked, its deadline, and whether it is settled.
-
-    Rows of one batch are read in event-time order. A decision that is read before its request
-    is kept for the time of a review and applied once the request is there, so the outcome
-    does not depend on how the stream was cut into batches. The first decision after the request
-    wins; what comes after the request is settled is ignored. The state of a settled request
-    stays until its deadline, to know late decisions as such.
+    """State per request: the request itself as it was admitted (``payload``), when it was asked, its
+    deadline, and whether it is settled.
+
+    A decision that is read before its request is kept for the time of a review and applied once
+    the request is there, and of the decisions in one batch the earliest since the request counts,
+    so the outcome does not depend on how the stream was cut into batches or frames. What comes
+    after the request is settled is ignored. The state of a settled request stays until its
+    deadline, without the payload, to know late decisions as such. Frames are read one by one.
     """
 
     def __init__(self, hours: float = REVIEW_HOURS):
@@ -39,67 +41,80 @@ class ReviewGate(StatefulProcessor):
         self.early = handle.getListState("early", _EARLY)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["ts", "kind"], ascending=[True, False], kind="stable")
         state = self.pending.get() if self.pending.exists() else None
-        out = []
-        for event in events.itertuples(index=False):
-            now = _ms(event.ts)
-            if event.kind == "request":
-                if state is None:
-                    state = (now, now + self.wait_ms, False)
-                    self.handle.registerTimer(state[1])
-                    waiting = sorted(self.early.get()) if self.early.exists() else []
-                    self.early.clear()
-                    for at, kind, action, reason in waiting:
-                        if at >= now and not state[2]:
-                            state = self._settle(out, key[0], state, at, kind, action or None, reason or None)
-            elif state is None:
-                self.early.appendValue((now, event.kind, event.action or "", event.reason or ""))
-                self.handle.registerTimer(now + self.wait_ms)
-            elif not state[2]:
-                state = self._settle(out, key[0], state, now, event.kind, event.action, event.reason)
-        if state is not None:
+        asked, move = None, None
+        for frame in rows:
+            waiting = []
+            for event in frame.itertuples(index=False):
+                at = _ms(event.ts)
+                if event.kind == "request":
+                    if asked is None or at < asked[0]:
+                        asked = (at, event.payload)
+                elif state is None:
+                    waiting.append((at, event.kind, event.action or "", event.reason or ""))
+                elif not state[2] and at >= state[0]:
+                    move = min(x for x in (move, _move(at, event.kind, event.action or "", event.reason or "")) if x is not None)
+            if waiting:
+                self.early.appendList(waiting)
+                self.handle.registerTimer(max(w[0] for w in waiting) + self.wait_ms)
+        if state is None and asked is not None:
+            state = (asked[0], asked[0] + self.wait_ms, False, asked[1])
+            self.handle.registerTimer(state[1])
+            early = self.early.get() if self.early.exists() else ()
+            move = min((_move(*e) for e in early if e[0] >= state[0]), default=None)
+            self.early.clear()
             self.pending.update(state)
-        yield _frame(out)
-
-    def _settle(self, out: list, request_id: str, state, now: int, kind: str, action, reason):
-        if now > state[1]:
-            out.append(_timeout(request_id, state))
-        elif kind == "cancel":
-            out.append((request_id, "cancelled", "error", TIMEOUT_REASON, state[0], now))
+        if move is None:
+            yield _frame([])
         else:
-            out.append((request_id, "reviewed", action, reason, state[0], now))
-        return (state[0], state[1], True)
+            self.pending.update((state[0], state[1], True, None))
+            yield _frame([_settled(key[0], state, move)])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         state = self.pending.get() if self.pending.exists() else None
+        now = expiredTimerInfo.getExpiryTimeInMs()
         if state is None:
-            self.early.clear()
-        elif state[1] > expiredTimerInfo.getExpiryTimeInMs():
+            later = [e for e in self.early.get() if e[0] + self.wait_ms > now] if self.early.exists() else []
+            self.early.put(later) if later else self.early.clear()
+        elif state[1] > now:
             yield _frame([])  # the timer of a decision that came before its request
             return
-        self.pending.clear()
+        else:
+            self.pending.clear()
         yield _frame([] if state is None or state[2] else [_timeout(key[0], state)])
 
     def close(self) -> None:
         pass
 
 
+def _move(at: int, kind: str, action: str, reason: str) -> tuple:
+    """A decision or cancel in the order in which they count: by time, decisions first."""
+    return (at, kind != "decision", action, reason)
+
+
+def _settled(request_id: str, state, move: tuple) -> tuple:
+    at, cancelled, action, reason = move
+    if at > state[1]:
+        return _timeout(request_id, state)
+    if cancelled:
+        return (request_id, "cancelled", "error", TIMEOUT_REASON, state[0], at, state[3])
+    return (request_id, "reviewed", action or None, reason or None, state[0], at, state[3])
+
+
 def _timeout(request_id: str, state) -> tuple:
-    return (request_id, "timeout", "error", TIMEOUT_REASON, state[0], state[1])
+    return (request_id, "timeout", "error", TIMEOUT_REASON, state[0], state[1], state[3])
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["request_id", "outcome", "action", "reason", "requested_at", "resolved_at"])
+    frame = pd.DataFrame(rows, columns=["request_id", "outcome", "action", "reason", "requested_at", "resolved_at", "payload"])
     for name in ("requested_at", "resolved_at"):
         frame[name] = pd.to_datetime(frame[name].astype("int64"), unit="ms")
     return frame
 
 
-def review_outcomes(events: DataFrame, lateness: str = "1 hour", hours: float = REVIEW_HOURS) -> DataFrame:
-    """Outcomes of a stream of ``(request_id, ts, kind, action, reason)`` with kinds
-    request, decision and cancel. A timeout is emitted when the watermark (event time
-    minus ``lateness``) passes the deadline, so an idle stream needs a heartbeat row."""
+def gate(events: DataFrame, lateness: str = "1 hour", hours: float = REVIEW_HOURS) -> DataFrame:
+    """``OUTCOME`` of a stream of ``(request_id, ts, kind, action, reason, payload)``: the payload of a
+    request comes out with its outcome."""
     return (
         events.withWatermark("ts", lateness)
         .groupBy("request_id")
@@ -107,3 +122,10 @@ def review_outcomes(events: DataFrame, lateness: str = "1 hour", hours: float =
             statefulProcessor=ReviewGate(hours), outputStructType=OUTCOME, outputMode="append", timeMode="EventTime"
         )
     )
+
+
+def review_outcomes(events: DataFrame, lateness: str = "1 hour", hours: float = REVIEW_HOURS) -> DataFrame:
+    """Outcomes of a stream of ``(request_id, ts, kind, action, reason)`` with kinds
+    request, decision and cancel. A timeout is emitted when the watermark (event time
+    minus ``lateness``) passes the deadline, so an idle stream needs a heartbeat row."""
+    return gate(events.withColumn("payload", F.lit(None).cast("string")), lateness, hours).drop("payload")

@@ -8,9 +8,12 @@ sends all blocks to the one task that makes the one block of the result."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import Matrices
@@ -39,6 +42,17 @@ def _block_matrix(rows: DataFrame, n: int, size: int) -> BlockMatrix:
     return IndexedRowMatrix(vectors, n, size).toBlockMatrix(max(1, min(BLOCK_ROWS, BLOCK_NUMBERS // size)), size)
 
 
+@contextmanager
+def _kept(matrix: BlockMatrix) -> Iterator[BlockMatrix]:
+    """Blocks stay with the executors while they are read several times; lost ones are made again
+    from the rows, which are a written table."""
+    matrix.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield matrix
+    finally:
+        matrix._java_matrix_wrapper._java_model.blocks().unpersist(False)
+
+
 def _scatter(matrix: BlockMatrix, tasks: int) -> np.ndarray:
     """The matrix, transposed, times itself; small enough for the driver, as wide as the rows."""
     turned = matrix.transpose()
@@ -128,22 +142,23 @@ def whiten(vectors: DataFrame, id: str = "vec_id", embedding: str = "embedding",
 
         centred = work.table(rows.mapInArrow(centre, f"index long, id {kind}, deviation long, v array<double>"), "centred")
         tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        matrix = _block_matrix(centred, n, size)
-        values, axes = np.linalg.eigh(_scatter(matrix, tasks) / n)
+        with _kept(_block_matrix(centred, n, size)) as matrix:
+            values, axes = np.linalg.eigh(_scatter(matrix, tasks) / n)
+            order = [k for k in np.argsort(-values) if values[k] > values.max() * _RELATIVE][:components]
+            if not order:
+                return spark.createDataFrame([], result)
+            turn = axes[:, order] / np.sqrt(values[order])
+            narrow = BlockMatrix(spark.sparkContext.parallelize([((0, 0), Matrices.dense(size, len(order), turn.ravel("F").tolist()))], 1), size, len(order), size, len(order))
+            projected = matrix.multiply(narrow).toIndexedRowMatrix()
+            # The rows as a table; IndexedRowMatrix.rows would make each a Python object.
+            white = callMLlibFunc("getIndexedRows", projected._java_matrix_wrapper._java_model)
+            white = work.table(white.select("index", vector_to_array("vector").alias("v")), "white")
         trace = float(values.sum())
-        order = [k for k in np.argsort(-values) if values[k] > values.max() * _RELATIVE][:components]
-        if not order:
-            return spark.createDataFrame([], result)
-        turn = axes[:, order] / np.sqrt(values[order])
-        narrow = BlockMatrix(spark.sparkContext.parallelize([((0, 0), Matrices.dense(size, len(order), turn.ravel("F").tolist()))], 1), size, len(order), size, len(order))
-        projected = matrix.multiply(narrow).toIndexedRowMatrix()
-        # The rows as a table; IndexedRowMatrix.rows would make each a Python object.
-        white = callMLlibFunc("getIndexedRows", projected._java_matrix_wrapper._java_model)
-        white = work.table(white.select("index", vector_to_array("vector").alias("v")), "white")
         means = np.array(_column_sums(white, "v", "double")) / n
         shift = F.array(*[F.lit(float(m)) for m in means])
         level = white.select("index", F.zip_with("v", shift, lambda a, b: a - b).alias("v"))
-        error = float(np.abs(_scatter(_block_matrix(level, n, len(order)), tasks) / n - np.eye(len(order))).max())
+        with _kept(_block_matrix(level, n, len(order))) as matrix:
+            error = float(np.abs(_scatter(matrix, tasks) / n - np.eye(len(order))).max())
         share = F.array(*[F.lit(float(values[k] / trace)) for k in order])
         out = (centred.select("index", F.col("id"), "deviation").join(white, "index")
                .select("id", "deviation", F.posexplode("v").alias("place", "whitened"))

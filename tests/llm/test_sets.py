@@ -69,7 +69,7 @@ def _linked_rows():
     return data
 
 
-@pytest.mark.parametrize("options", [{}, {"list_rows": 3, "common": 5}])
+@pytest.mark.parametrize("options", [{}, {"list_rows": 3, "common": 5, "tile": 3}])
 def test_similar_sets(spark, monkeypatch, options):
     from veilframe.llm import jaccard_join
 
@@ -86,6 +86,63 @@ def test_similar_sets(spark, monkeypatch, options):
     assert {r.doc_id for r in got if r.kept and r.n_shingles and r.doc_id is not None} == {v for k, v in smallest.items() if v is not None and sets[k]}
 
 
+def _family(n, seed, edits):
+    """Copies of one text of 60 words with some words replaced, the text itself first."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(60)]
+    data = [(0, " ".join(base))]
+    for i in range(1, n):
+        w = list(base)
+        for at in rng.sample(range(60), edits(rng)):
+            w[at] = f"e{rng.randrange(40)}" if rng.random() < 0.5 else f"u{i}x{at}"
+        data.append((i, " ".join(w)))
+    return data
+
+
+@pytest.mark.parametrize("loose", [50, 80, 5])
+def test_family_around_the_threshold(spark, monkeypatch, loose):
+    """Sets that resemble each other just not enough, shared edits among them; answers derived from
+    a first set are those of comparing all."""
+    from veilframe.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "LOOSE", loose)
+    monkeypatch.setattr(jaccard_join, "MEMBERS", 50)
+    data = _family(700, 4, lambda rng: rng.choice([0, 1, 2, 3, 3, 4, 5, 9])) + [(1000 + i, t) for i, t in _family(150, 5, lambda rng: rng.choice([1, 2, 3]))[1:]]
+    data += [(5, data[700][1]), (5, data[40][1]), (None, data[30][1])]  # several texts of one id
+    data += [(2000 + i, " ".join(f"o{rng}" for rng in range(i, i + 30))) for i in range(0, 40, 3)]
+    sets = _sets(data)
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    ids = {}
+    for k, (i, _) in enumerate(data):
+        ids.setdefault(i, []).append(k)
+    links += [(a, b) for i, ks in ids.items() if i is not None for a, b in zip(ks, ks[1:])]
+    component = _components(links, range(len(sets)))
+    smallest = {}
+    for k, root in component.items():
+        smallest[root] = min([smallest.get(root, 10**9)] + [data[k][0]] * (data[k][0] is not None))
+    got = jaccard_join.similar_sets(frame(spark, data, clash=False), tile=64).collect()
+    assert collections.Counter((r.doc_id, r.component_id) for r in got) == collections.Counter((i, smallest[component[k]]) for k, (i, _) in enumerate(data))
+
+
+def test_family_of_twenty_thousand(spark, monkeypatch):
+    """No more rows than a few per set leave the index lists and the tiles."""
+    from veilframe.llm import jaccard_join
+
+    data = _family(20_000, 6, lambda rng: rng.choice([1, 1, 1, 12]))
+    made = {}
+    whole = jaccard_join.Workspace.table
+
+    def table(self, df, name):
+        out = whole(self, df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join.Workspace, "table", table)
+    got = {r.doc_id: r.component_id for r in jaccard_join.similar_sets(frame(spark, data, clash=False)).collect()}
+    far = sum(i != c for i, c in got.items())
+    assert abs(far - 15_000) < 400 and made["pairs"] < 10_000 and made["near"] < 60_000
+
+
 def test_one_of_each_keeps_columns(spark):
     from veilframe.llm.jaccard_join import one_of_each
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm.components import components
-from veilframe.llm.store import Workspace
+from veilframe.llm.store import Workspace, free_names
 from veilframe.llm.text import Texts, blocks, distinct_within, gram_hashes, lists, mix, run_ids, slice_hashes
 
 SHINGLE = 5
@@ -87,7 +87,8 @@ def _summary(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     name = [_segments(mix(values + np.uint64(s)), offsets, np.add) for s in (0x9E37, 0x79B9)]
     keys = []
     for k in range(ROUNDS * KEYS):
-        least = [_segments(mix(values ^ np.uint64(0xA0761D6478BD642F * (2 * k + j + 1) % (1 << 64))), offsets, np.minimum) for j in range(2)]
+        # Values are hashes, so an odd factor is permutation enough.
+        least = [_segments(values * np.uint64((0xA0761D6478BD642F * (4 * k + 2 * j + 1) | 1) % (1 << 64)), offsets, np.minimum) for j in range(2)]
         keys.append(mix(least[0] * np.uint64(3) + least[1] + np.uint64(k)))
     return name[0], name[1], keys
 
@@ -109,12 +110,14 @@ def _beside_first(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, h, part, member, c, text) of pairs (a, b): texts of all b, dealt to parts, each part led by
     the text of its a. A set that is first for very many is copied once a part, not once a pair.
     h tells the texts of one number apart, which are several where rows share an id."""
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts")).join(texts.select(F.col("c").alias("a"), "h"), "a")
-    members = pairs.join(sizes, "a").select(
-        "a", "h", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("member"), F.col("b").alias("c")
-    ).join(texts.select("c", "text"), "c")
-    first = sizes.select("a", "h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"), F.col("a").alias("c"))
-    rows = first.join(texts, ["c", "h"]).unionByName(members).select("a", "h", "part", "member", "c", "text")
+    # The texts lie in buckets of their number: joins by it alone don't move them.
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
+    named = texts.withColumnRenamed("c", "a")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    first = sizes.join(named, "a").select("a", "h", every.alias("part"), F.lit(False).alias("member"), F.col("a").alias("c"), "text")
+    part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")
+    members = pairs.join(sizes.join(named.select("a", "h"), "a"), "a").select("a", "h", part.alias("part"), F.lit(True).alias("member"), F.col("b").alias("c"))
+    rows = first.unionByName(members.join(texts.select("c", "text"), "c"))
     return rows.repartition("a", "h", "part").sortWithinPartitions("a", "h", "part", "member", "c")
 
 
@@ -450,12 +453,13 @@ def similar_sets(docs: DataFrame, id: str = "doc_id", text: str = "text", size:
 
 def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Rows, with all their columns, without near copies: of each component one row stays."""
-    stay = similar_sets(docs, id, text, size, percent).filter("kept").groupBy(F.col(id).alias("_id"), F.col("text_hash").alias("_h")).agg(
-        F.count("*").alias("_n"), F.max("n_shingles").alias("_words"))
-    match = docs[id].cast("long").eqNullSafe(stay["_id"]) & F.xxhash64(docs[text]).eqNullSafe(stay["_h"])
+    own, h, n, words = free_names(docs, "_id", "_h", "_n", "_words")
+    stay = similar_sets(docs, id, text, size, percent).filter("kept").groupBy(F.col(id).alias(own), F.col("text_hash").alias(h)).agg(
+        F.count("*").alias(n), F.max("n_shingles").alias(words))
+    match = docs[id].cast("long").eqNullSafe(stay[own]) & F.xxhash64(docs[text]).eqNullSafe(stay[h])
     kept = docs.join(stay, match)
-    repeated = (F.col("_n") > 1) & (F.col("_words") > 0)
+    repeated = (F.col(n) > 1) & (F.col(words) > 0)
     if stay.filter(repeated).isEmpty():
-        return kept.drop("_id", "_h", "_n", "_words")
-    once = kept.filter(repeated).dropDuplicates(["_id", "_h"])
-    return kept.filter(~repeated).unionByName(once).drop("_id", "_h", "_n", "_words")
+        return kept.drop(own, h, n, words)
+    once = kept.filter(repeated).dropDuplicates([own, h])
+    return kept.filter(~repeated).unionByName(once).drop(own, h, n, words)

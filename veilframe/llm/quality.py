@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilframe.llm.store import free_names
 from veilframe.llm.text import Texts, blocks
 from veilframe.llm.toxicity import drawn_labels
 
@@ -163,4 +164,5 @@ def good_texts(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str
     """Rows, with all their columns, whose quality reaches the threshold."""
     drawn = drawn_labels(labels, id, label, fold, held, sample)
     network = learn(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), drawn)
-    return with_score(docs, network, text, "_quality").filter(F.col("_quality") >= threshold).drop("_quality")
+    (score,) = free_names(docs, "_quality")
+    return with_score(docs, network, text, score).filter(F.col(score) >= threshold).drop(score)

@@ -25,6 +25,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """These names, with more underscores where the table has a column of that name already."""
+    taken, free = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        free.append(name)
+    return free
+
+
 class Workspace:
     """A folder for one operator's intermediate tables, gone after the with block. What must
     outlive it is written by keep(), beside the folder."""

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.store import Workspace
+from veilframe.llm.store import Workspace, free_names
 from veilframe.llm.text import Texts, blocks, gram_hashes, lists, run_ids, slice_hashes, take_slices
 
 WINDOW = 35
@@ -297,14 +297,15 @@ def without_passages(docs: DataFrame, passages: DataFrame, id: str = "doc_id", t
     """The same rows and columns, texts without the removed words. Texts that lose nothing stay
     as they are, blanks included; from the others all that is left is joined by one blank, and
     the column `length`, where there is one, is the new text's number of characters."""
-    cuts = passages.filter(F.col("n_removed") > 0).select(F.col(id).alias("_id"), F.col("text_hash").alias("_h"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_h"])
+    own, h, found = free_names(docs, "_id", "_h", "_spans")
+    cuts = passages.filter(F.col("n_removed") > 0).select(F.col(id).alias(own), F.col("text_hash").alias(h), F.col("spans").alias(found)).dropDuplicates([own, h])
     names = docs.columns
 
     def cut(batches):
         for batch, texts in blocks(batches, text):
             starts, ends, first = texts.words()
             old, new = batch.column(batch.schema.get_field_index(text)).to_pylist(), []
-            for k, spans in enumerate(batch.column(batch.schema.get_field_index("_spans")).to_pylist()):
+            for k, spans in enumerate(batch.column(batch.schema.get_field_index(found)).to_pylist()):
                 if not spans:
                     new.append(old[k])
                     continue
@@ -320,5 +321,5 @@ def without_passages(docs: DataFrame, passages: DataFrame, id: str = "doc_id", t
                 column[length] = pc.if_else(cut_here, pc.utf8_length(column[text]).cast(column[length].type), column[length])
             yield pa.record_batch({n: column[n] for n in names})
 
-    joined = docs.join(cuts, docs[id].eqNullSafe(cuts["_id"]) & F.xxhash64(docs[text]).eqNullSafe(cuts["_h"]), "left").drop("_id", "_h")
+    joined = docs.join(cuts, docs[id].eqNullSafe(cuts[own]) & F.xxhash64(docs[text]).eqNullSafe(cuts[h]), "left").drop(own, h)
     return joined.mapInArrow(cut, docs.schema)

@@ -33,7 +33,7 @@ from veilframe.llm.text import Texts, blocks, distinct_within, gram_hashes, list
 SHINGLE = 5
 PERCENT = 80
 #: Bucket keys of a set in each round: each joins the smallest of two hash permutations.
-KEYS = 3
+KEYS = 5
 ROUNDS = 2
 #: Percent of similarity to the first set of a bucket from which sets are of one family.
 LOOSE = 50

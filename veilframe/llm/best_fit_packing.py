@@ -27,7 +27,7 @@ from veilframe.llm.text import blocks
 from veilframe.llm.vocabulary import append_id, vocabulary
 
 CAPACITY = 2048
-#: Rows (task, length) up to which the numbers where they begin are broadcast: 24 bytes each.
+#: Rows (task, length) up to which the numbers where they begin are broadcast: some 30 MB as a hash table.
 _BROADCAST_ROWS = 200_000
 
 

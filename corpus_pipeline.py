@@ -10,7 +10,7 @@ from veilframe.llm.jaccard_join import one_of_each
 from veilframe.llm.packing import pack
 from veilframe.llm.quality import good_texts
 from veilframe.llm.queries import tokenizer_path
-from veilframe.llm.store import Workspace
+from veilframe.llm.store import Workspace, free_names
 from veilframe.llm.substring_dedup import repeated_passages, without_passages
 
 #: Keys of matched documents that are broadcast; more are joined by a shuffle.
@@ -35,11 +35,12 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item. A document is told by its id and text together."""
+    (name,) = free_names(docs, "_key")
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.hex(F.xxhash64("text")))
-    found = benchmark_matches(docs.withColumn("_key", key), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id="_key")
-    keys = found.select("_key").distinct()
+    found = benchmark_matches(docs.withColumn(name, key), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id=name)
+    keys = found.select(name).distinct()
     small = keys.count() <= _BROADCAST_KEYS
-    return docs.withColumn("_key", key).join(F.broadcast(keys) if small else keys, "_key", "left_anti").drop("_key")
+    return docs.withColumn(name, key).join(F.broadcast(keys) if small else keys, name, "left_anti").drop(name)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -205,3 +205,32 @@ def test_large_customer_does_not_meet_in_one_task(spark, monkeypatch):
             assert text.endswith("[truncated]") and [int(x) for x in re.findall(r'"id": (\d+)', text)][:5] == expected
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+@pytest.mark.parametrize("query,columns,refused", [
+    ("SELECT x.account_number FROM (SELECT id AS account_number FROM accounts) x", ["account_number"], False),
+    ("SELECT account_number FROM accounts", [], False),
+    ("SELECT account_number AS a, id FROM accounts", ["a", "id"], False),
+    ("SELECT c.*, c.id, a.account_number AS n FROM customers c, accounts a WHERE c.id = a.customer_id",
+     ["id", "first_name", "last_name", "email", "phone", "address", "date_of_birth", "id", "n"], False),
+    ("SELECT s FROM (SELECT upper(ssn) AS s FROM customers) x WHERE s = 'A'", ["s"], True),
+    ("SELECT c.id FROM customers c JOIN customers d ON c.ssn = d.ssn AND c.id < d.id", ["id"], True),
+    ("SELECT id FROM customers c WHERE id IN (SELECT customer_id FROM accounts WHERE account_number > '5')", ["id"], True),
+    ("SELECT id FROM customers c WHERE EXISTS (SELECT 1 FROM accounts a WHERE a.account_type = c.ssn)", ["id"], True),
+    ("WITH w AS (SELECT ssn AS s FROM customers) SELECT 1 AS one FROM w WHERE s IS NULL", None, None),
+    ("SELECT id FROM customers WHERE first_name = 'ssn'", ["id"], False),
+])
+def test_lineage_of_hidden_columns(spark, bank, query, columns, refused):
+    session = governed.role_session(spark, bank, "analyst")
+    if columns is None:
+        with pytest.raises(ValueError, match="Only SELECT"):
+            governed.governed_query(session, query, "analyst")
+        return
+    assert governed.governed_query(session, query, "analyst").columns == columns
+    if refused:
+        with pytest.raises(ValueError, match="not available to the role"):
+            governed.governed_query(session, query, "analyst", refuse_conditions=True)
+    else:
+        assert governed.governed_query(session, query, "analyst", refuse_conditions=True).columns == columns
+    officer = governed.role_session(spark, bank, "compliance_officer")
+    assert len(governed.governed_query(officer, query, "compliance_officer", refuse_conditions=True).columns) >= len(columns)

@@ -76,3 +76,29 @@ def test_synthetic_bank(spark):
     again = synthetic.customers(spark.newSession(), 500).repartition(7)
     assert sorted(map(str, again.collect())) == sorted(map(str, c.collect()))
     assert all(f.dataType.simpleString() in ("bigint", "string", "double") for n in bank for f in bank[n].schema.fields)
+
+
+def test_stored_logs_join_without_shuffle(spark, sf):
+    import uuid
+
+    from veilframe.catalog import trail as entries
+    from veilframe.sources import bucketed
+
+    run = uuid.uuid4().hex
+    logs_ = {name: getattr(entries, name)(spark, sf) for name in ("audit", "review", "vault")}
+    half = lambda df, k: df.filter(F.pmod(F.xxhash64("request_id"), F.lit(2)) == k)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for part in (0, 1):  # two appends, one after the other
+            stored = {name: bucketed.store_bucketed(half(df, part), f"{name}_{run}", buckets=4) for name, df in logs_.items()}
+        joined = trail.correlate_stored(*(stored[n] for n in ("audit", "review", "vault")))
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+        columns = ["request_id", "status", "review_status", "review_detections", "vault_entries"]
+        expected = trail.correlate(logs_["audit"], logs_["review"], logs_["vault"])
+        assert sorted(map(str, joined.select(columns).collect())) == sorted(map(str, expected.select(columns).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        for name in logs_:
+            bucketed.drop_table(spark, f"{name}_{run}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_PARTS = ("detection", "policies", "access", "requests", "whole", "trail", "streams")
+_PARTS = ("detection", "policies", "access", "requests", "whole", "records", "trail", "streams")
 
 
 def _merged(kind: str) -> dict:

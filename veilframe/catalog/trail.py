@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from veilframe.catalog import fixtures, sqlparts as S
 from veilframe.operators import trail
 from veilframe.plans import evaluation
 from veilframe.sources import logs
+from veilframe.sources.bucketed import store_bucketed
 from veilframe.sources.storage import new_path
 
 QUERIES, ORACLES = {}, {}
@@ -221,6 +224,18 @@ ORACLES["audit_review_vault"] = (
 )
 
 
+def correlation_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over logs that are stored in buckets of the request id: no log is shuffled."""
+    run = uuid.uuid4().hex
+    tables = [store_bucketed(build(spark, sf), f"{name}_{run}") for name, build in (("audit", audit), ("review", review), ("vault", vault))]
+    joined = trail.correlate_stored(*tables)
+    return joined.select("request_id", "status", "review_status", "review_detections", "vault_entries")
+
+
+QUERIES["audit_review_vault_stored"] = correlation_stored
+ORACLES["audit_review_vault_stored"] = ORACLES["audit_review_vault"]
+
+
 def log_files(spark: SparkSession, sf: str) -> DataFrame:
     """Written as dated JSON lines in two appends, read back with the fixed schema."""
     path = new_path(spark, "audit-log")

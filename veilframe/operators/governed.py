@@ -14,15 +14,18 @@ from collections.abc import Callable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from itertools import islice
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
+from pyspark import TaskContext
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.functions.canonical import row_json, truncate
+from veilframe.operators import templates
 from veilframe.operators.access import AccessRules
-from veilframe.sources.storage import new_path
+from veilframe.sources.storage import exists, new_path
 
 Tables = Mapping[str, Callable[[SparkSession], DataFrame]]
 OUTPUT_SCHEMA = "role string, call_key string, output string, error string"
@@ -41,6 +44,8 @@ _REFUSED_NODES = frozenset(("Generate", "ScriptTransformation"))
 _REFUSED = "The query uses a function or source that is not available to roles"
 _REFUSED_CONDITION = "The query filters or joins on a column that is not available to the role"
 _WORKERS = 8
+#: Texts that the driver holds at a time.
+_BATCH = 8192
 
 
 def role_session(
@@ -293,11 +298,11 @@ def _describe(problem: Exception) -> str:
 
 
 def _per_query(
-    calls: DataFrame, tables: Tables, rules: AccessRules, schema: str, build: Callable[..., DataFrame]
+    calls: DataFrame, tables: Tables, rules: AccessRules, schema: str, build: Callable[..., DataFrame], most: int | None
 ) -> DataFrame:
     """Run every distinct (role, text) once and write its result on its own, a bounded number at
-    a time. A text that fails, when it is planned or when it runs, becomes one error row and
-    costs no other its result. Only texts reach the driver, streamed; results are written by
+    a time; texts that differ in values only are one query (``templates``). A text that fails, when
+    it is planned or when it runs, becomes one error row and costs no other its result. Only texts reach the driver, streamed; results are written by
     tasks, so neither their number nor their size is limited."""
     spark = calls.sparkSession
     sessions: dict[str, tuple[SparkSession, dict[str, set[str]]]] = {}
@@ -312,17 +317,85 @@ def _per_query(
             return _describe(problem)
         return None
 
+    def together(number: int, role: str, shape: templates.Shape, texts: list[tuple[str, tuple]]) -> bool:
+        """All texts of one shape as one query; false if they have to run one by one."""
+        session = role_session(spark, tables, role, rules)
+        values = session.createDataFrame([(i, *v) for i, (_, v) in enumerate(texts)], shape.schema())
+        values.createOrReplaceTempView(templates.VALUES)
+        keys = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], f"{templates.CALL} long, call_key string")
+        try:
+            if not templates.runs_together(session, texts[0][0], shape):
+                return False
+            df = governed_query(session, shape.text(), role, rules, sessions[role][1])
+            _rows_of_calls(df, role, keys, most).write.parquet(f"{path}/query={number}")
+        except (ValueError, PySparkException, Py4JJavaError):
+            return False
+        return True
+
+    def one_by_one(texts: list[tuple[str, str]]) -> None:
+        nonlocal done, failed
+        for at in range(0, len(texts), 64 * _WORKERS):
+            jobs = [(role, text, pool.submit(run, done + i, role, text)) for i, (role, text) in enumerate(texts[at:at + 64 * _WORKERS])]
+            failed += [(role, text, None, None, error) for role, text, job in jobs if (error := job.result()) is not None]
+            done += len(jobs)
+
     texts = calls.select("role", "call_key").distinct().toLocalIterator()
     with ThreadPoolExecutor(_WORKERS) as pool:
-        while batch := list(islice(texts, 64 * _WORKERS)):
+        while batch := list(islice(texts, _BATCH)):
             for role in {r.role for r in batch} - set(sessions):
                 session = role_session(spark, tables, role, rules)
                 sessions[role] = (session, _hidden_columns(session, rules, role))
-            jobs = [(r, pool.submit(run, done + i, r.role, r.call_key)) for i, r in enumerate(batch)]
-            failed += [(r.role, r.call_key, None, None, error) for r, job in jobs if (error := job.result()) is not None]
-            done += len(batch)
+            shapes: dict[tuple, list] = {}
+            alone = []
+            for r in batch:
+                found = templates.shape_of(r.call_key or "")
+                if found is None:
+                    alone.append((r.role, r.call_key))
+                else:
+                    shapes.setdefault((r.role, found[0]), []).append((r.call_key, found[1]))
+            jobs = []
+            for (role, shape), same in shapes.items():
+                if len(same) < templates.LEAST:
+                    alone += [(role, text) for text, _ in same]
+                else:
+                    jobs.append((role, same, pool.submit(together, done, role, shape, same)))
+                    done += 1
+            for role, same, job in jobs:
+                if not job.result():
+                    alone += [(role, text) for text, _ in same]
+            one_by_one(alone)
     errors = spark.createDataFrame(failed, schema)
-    return spark.read.schema(schema).parquet(path).select(*errors.columns).unionByName(errors) if done > len(failed) else errors
+    if not exists(spark, path):  # none has succeeded
+        return errors
+    return spark.read.schema(schema).parquet(path).select(*errors.columns).unionByName(errors)
+
+
+def _rows_of_calls(df: DataFrame, role: str, keys: DataFrame, most: int | None) -> DataFrame:
+    """``ROWS_SCHEMA`` from a result for many texts, each row with the number of its text. Positions
+    count the rows of a text within a task, as they would if it had run alone."""
+    own = [i for i, c in enumerate(df.columns) if c != templates.CALL and not c.startswith(templates.VALUE)]
+    last = {df.columns[i]: i for i in own}
+    shown = T.StructType([df.schema.fields[i] for i in last.values()])
+    number = _numbered(df)
+    call = F.col(f"_{df.columns.index(templates.CALL)}")
+    rows = number.select(call.alias(templates.CALL), row_json(shown, source={name: f"_{i}" for name, i in last.items()}).alias("row_json"))
+
+    def count(batches):
+        task, seen = TaskContext.get().partitionId() << 33, {}
+        for batch in batches:
+            places = []
+            for call in batch.column(0).to_pylist():
+                place = seen.get(call, 0)
+                seen[call] = place + 1
+                places.append(task | place)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64())], [templates.CALL, "row_json", "position"])
+
+    placed = rows.mapInArrow(count, f"{templates.CALL} long, row_json string, position long")
+    if most is not None:
+        placed = placed.filter(F.col("position").bitwiseAND((1 << 33) - 1) < most)
+    return placed.join(keys, templates.CALL).select(
+        F.lit(role).alias("role"), "call_key", "position", "row_json", F.lit(None).cast("string").alias("error")
+    )
 
 
 def query_outputs(
@@ -338,4 +411,4 @@ def query_rows(
 ) -> DataFrame:
     """``(role, call_key, position, row_json, error)``: one row per result row, distributed and
     stored; the first ``most`` rows only if that is given."""
-    return _per_query(calls, tables, rules, ROWS_SCHEMA, lambda df, role, query: _all_rows(df, role, query, most))
+    return _per_query(calls, tables, rules, ROWS_SCHEMA, lambda df, role, query: _all_rows(df, role, query, most), most)

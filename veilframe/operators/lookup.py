@@ -38,9 +38,12 @@ def nested_lookup(
 
     A customer with up to ``page_size`` accounts gives one row, page 0. One with more
     gives several, the accounts dealt to pages by a hash of their id, so that no task
-    ever holds all accounts of a customer with very many of them.
+    ever holds all accounts of a customer with very many of them. Counts ids first, which
+    runs a job: the accounts of few ids are kept by a broadcast, before anything is counted.
     """
     wanted = ids.select(F.col("customer_id")).distinct()
+    if _at_most(wanted, _BROADCAST_ROWS):
+        accounts = accounts.join(F.broadcast(wanted), "customer_id", "left_semi").select(*accounts.columns)
     # counted before any join, so that counts are reduced before they are shuffled
     sizes = (
         accounts.groupBy("customer_id").agg(F.ceil(F.count("*") / page_size).cast("int").alias("pages"))

@@ -132,6 +132,21 @@ def correlate(audit: DataFrame, review: DataFrame, vault: DataFrame) -> DataFram
     )
 
 
+def correlate_stored(audit: DataFrame, review: DataFrame, vault: DataFrame) -> DataFrame:
+    """``correlate`` by request id alone, for tables stored in buckets of it
+    (``sources.bucketed``): neither the join nor the counts shuffle any of the three. A request has
+    at most one review entry a direction."""
+    held = vault.groupBy("request_id").agg(F.count("*").alias("vault_entries"))
+    entry = F.struct(F.col("status").alias("review_status"), F.size("detections").alias("review_detections"))
+    queued = review.groupBy("request_id").agg(F.collect_list(F.struct("review_id", entry.alias("entry"))).alias("_entries"))
+    own = F.get(F.filter("_entries", lambda e: e["review_id"] == F.col("review_queue_id")), 0)["entry"]
+    return (
+        audit.join(queued, "request_id", "left").join(held, "request_id", "left")
+        .withColumns({"_own": own, "vault_entries": F.coalesce("vault_entries", F.lit(0))})
+        .select(*audit.columns, "_own.review_status", "_own.review_detections", "vault_entries")
+    )
+
+
 def latency_statistics(audit: DataFrame, value: str = "latency_ms") -> DataFrame:
     """Count, mean, median and the nearest-rank p90, p95, p99 ``sorted[int(n * p)]``, exactly.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.sources.storage import durable
+from veilframe.sources.storage import durable, exists
 
 BUCKETS = 256
 INLINE = 500
@@ -23,8 +23,7 @@ def bucket_of(key: str, buckets: int):
 def stored_ids(spark: SparkSession, path: str, key: str = "request_id") -> DataFrame:
     """``(key, batch, bucket)``; empty where nothing has been stored."""
     schema = f"{key} string, batch string, bucket int"
-    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
 

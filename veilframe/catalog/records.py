@@ -32,9 +32,9 @@ QUERIES["log_entries"] = log_entries
 ORACLES["log_entries"] = log_sql(
     ", acted_on AS (SELECT f.*, CASE WHEN in_blocked THEN 'block' WHEN coalesce(in_mutations, 0) > 0 THEN 'transform' ELSE 'allow' END AS in_action, "
     "CASE WHEN blocked THEN 'block' WHEN review THEN 'human_review' WHEN coalesce(n_mutations, 0) > 0 THEN 'transform' ELSE 'allow' END AS out_action FROM final f), "
-    "listed AS (SELECT *, CASE WHEN gate = 'rbac_denied' THEN ['deny'] WHEN gate = 'blocked' OR output IS NULL THEN [in_action] ELSE [in_action, out_action] END AS actions_ FROM acted_on) "
+    "decided AS (SELECT *, CASE WHEN gate = 'rbac_denied' THEN ['deny'] WHEN gate = 'blocked' OR output IS NULL THEN [in_action] ELSE [in_action, out_action] END AS actions_ FROM acted_on) "
     "SELECT request_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, role, tool_name, CAST(len(actions_) AS INTEGER) AS n_decisions, array_to_string(actions_, ',') AS actions, final_action, "
-    "CAST(2 AS BIGINT) AS duration_ms, 'spark' AS backend, status, message AS error FROM listed"
+    "CAST(2 AS BIGINT) AS duration_ms, 'spark' AS backend, status, message AS error FROM decided"
 ).replace("FROM stated) , acted_on", "FROM stated), acted_on")
 
 

@@ -182,6 +182,24 @@ def test_search_equals_scan(spark, monkeypatch, rows):
         assert [i for _, i in sorted(got.get(key, []))] == hits[:n], key
 
 
+def test_search_compares_by_the_rarer_criterion(spark):
+    """Searches of one common name, each with an e-mail of its own, meet few people each."""
+    people = spark.range(2000).selectExpr("id", "'rose' as _n0", "concat('rose.', id, '@example.com') as _mail")
+    criteria = spark.range(1000, 1800).selectExpr("'o' as _name", "concat(id, '@example') as _email")
+    for few in (True, False):
+        assert lookup._candidates(criteria, people, ["_n0"], few).count() <= 2 * 800
+
+
+def test_search_key_that_comes_twice(spark):
+    """All that a key asks for is numbered together, up to the limit of each part."""
+    people = spark.range(40).selectExpr("id", "if(id % 2 = 0, 'ann', 'bob') as first_name", "'x' as last_name", "concat('p', id, '@q') as email")
+    asked = [("a", "ann", None, 2), ("a", "BOB", None, 5), ("b", None, "7@q", 3), ("b", "bob", "7@Q", 3)]
+    got = lookup.search_customers(spark.createDataFrame(asked, "search_key string, name string, email string, limit int"), people)
+    assert sorted((r.search_key, r.position, r.id) for r in got.collect()) == [
+        ("a", 1, 0), ("a", 2, 1), ("a", 4, 3), ("b", 1, 7), ("b", 2, 7), ("b", 3, 17),
+    ]
+
+
 def test_drop_restricted(spark):
     df = spark.createDataFrame([(1, "s", [(1, "n")])], "id int, ssn string, accounts array<struct<id:int,account_number:string>>")
     out = lookup.drop_restricted(df, ("ssn", "account_number"), "accounts")

@@ -9,12 +9,16 @@ from pyspark.sql import types as T
 from veilframe.functions.arrays import bind, explode_rows
 from veilframe.functions.canonical import error_json, row_json, truncate
 from veilframe.operators.access import AccessRules
+from veilframe.sources.storage import durable
 
 SEARCH_LIMIT = 100
 SEARCH_DEFAULT = 10
 # switches the plan only: a frame of so many ids or searches is broadcast, a larger one joined
 _SALTS = 16
 _BROADCAST_ROWS = 20_000
+_BROADCAST_GRAMS = 1_000_000
+# lengths of the substrings by which searches are joined to customers
+_SIZES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -210,14 +214,58 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _LOWER)
 
 
-def _grams(text: Column, size: Column) -> Column:
-    """Distinct substrings of a length; none for a shorter text."""
+def _grams(text: Column, size: Column, kind: str) -> Column:
+    """Hashes of the distinct substrings of a length; none for a shorter text."""
     return F.when(
         F.length(text) >= size,
         F.array_distinct(
-            F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substr(text, i, size))
+            F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.xxhash64(F.lit(kind), F.substr(text, i, size)))
         ),
-    ).otherwise(F.array().cast("array<string>"))
+    ).otherwise(F.array().cast("array<bigint>"))
+
+
+def _candidates(criteria: DataFrame, people: DataFrame, names: list[str], few: bool) -> DataFrame:
+    """``criteria`` ``(_name, _email)`` beside the people that hold the rarest substring of theirs."""
+
+    def size(term: str) -> Column:
+        return F.try_element_at(F.filter(F.array(*map(F.lit, _SIZES)), lambda n: n <= F.length(term)), F.lit(-1))
+
+    def probe(term: str, kind: str) -> Column:
+        return F.when(F.col(term).isNotNull(), _grams(F.col(term), size(term), kind)).otherwise(F.array().cast("array<bigint>"))
+
+    probes = explode_rows(criteria, F.concat(probe("_name", "n"), probe("_email", "e")), "_gram")
+    sizes = criteria.agg(F.collect_set(size("_name")), F.collect_set(size("_email"))).first()
+
+    def tagged(text: str, kind: str, lengths: list[int]) -> list[Column]:
+        return [_grams(F.coalesce(F.col(text), F.lit("")), F.lit(n), kind) for n in lengths]
+
+    every = F.array_distinct(
+        F.concat(
+            F.array().cast("array<bigint>"), *[c for n in names for c in tagged(n, "n", sizes[0])], *tagged("_mail", "e", sizes[1])
+        )
+    )
+
+    def grams_of(some: DataFrame, wanted: DataFrame, broadcast: bool) -> DataFrame:
+        rows = explode_rows(some.withColumn("_all", every), F.col("_all"), "_gram").drop("_all")
+        return rows.join(F.broadcast(wanted), "_gram", "left_semi") if broadcast else rows
+
+    salt = F.pmod(F.xxhash64("id"), F.lit(_SALTS)).cast("int")
+    # how common a substring is only steers the choice of the probe, so a slice will do
+    used = probes.select("_gram").distinct()
+    small = few or _at_most(used, _BROADCAST_GRAMS)
+    slice_ = grams_of(people.filter(salt == 0), used, small).select("_gram")
+    counts = (slice_ if small else slice_.join(used.hint("merge"), "_gram", "left_semi")).groupBy("_gram").count()
+    rarest = (
+        probes.join(counts, "_gram", "left")
+        .groupBy("_name", "_email")
+        .agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("c"), F.col("_gram").alias("g"))).alias("_best"))
+        .select("_name", "_email", F.col("_best.g").alias("_gram"))
+    )
+    held = grams_of(people, rarest.select("_gram").distinct(), small)
+    if few:
+        return held.join(F.broadcast(rarest), "_gram")
+    salted = rarest.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return held.withColumn("_salt", salt).join(salted.hint("merge"), ["_gram", "_salt"])
 
 
 def search_customers(
@@ -233,27 +281,26 @@ def search_customers(
     ASCII case is ignored, no wildcards). A limit outside 1..100 finds nothing here;
     ``search_outputs`` refuses it.
 
-    A containment match becomes an equi-join: each search probes with its rarest
-    substring of up to three characters, and only customers holding that substring are
-    compared. A set of searches of checked size is broadcast; a larger one is joined by
+    A containment match becomes an equi-join: each search probes with the rarest of the
+    substrings of its name and e-mail, as long as one of ``_SIZES`` allows, and only customers
+    holding that substring are compared. Searches that differ in their key or limit only
+    are compared once. A set of searches of checked size is broadcast; of a larger one only
+    the substrings are, as long as they are few enough, and what holds one is joined by
     shuffle with salted probes, since a substring can occur in any share of the
-    customers. Returns ``(search_key, position, <customer columns>)``.
+    customers. Returns ``(search_key, position, <customer columns>)``. Searches are stored
+    and counted first, which runs jobs.
     """
-    asked = searches.select(
-        "search_key",
-        F.nullif(ascii_lower(F.col("name")), F.lit("")).alias("_name"),
-        F.nullif(ascii_lower(F.col("email")), F.lit("")).alias("_email"),
-        F.coalesce(F.col("limit"), F.lit(SEARCH_DEFAULT)).alias("_limit"),
-    ).filter(F.col("_limit").between(1, SEARCH_LIMIT)).distinct()
-    term = F.coalesce(F.col("_name"), F.col("_email"))
-    kind = F.when(F.col("_name").isNotNull(), "n").otherwise("e")
-    probes = explode_rows(
-        asked.filter(term.isNotNull()).select(
-            "*", bind(term, lambda t: _grams(t, F.least(F.length(t), F.lit(3)))).alias("_all"), kind.alias("_kind")
-        ),
-        F.col("_all"), "_g",
-    ).withColumn("_gram", F.concat("_kind", "_g")).drop("_all", "_kind", "_g")
-
+    asked = durable(
+        searches.select(
+            "search_key",
+            F.nullif(ascii_lower(F.col("name")), F.lit("")).alias("_name"),
+            F.nullif(ascii_lower(F.col("email")), F.lit("")).alias("_email"),
+            F.coalesce(F.col("limit"), F.lit(SEARCH_DEFAULT)).alias("_limit"),
+        ).filter(F.col("_limit").between(1, SEARCH_LIMIT)).distinct(),
+        "searches",
+    )
+    few = _at_most(asked, _BROADCAST_ROWS)
+    criteria = asked.filter(F.coalesce("_name", "_email").isNotNull()).select("_name", "_email").distinct()
     names = [f"_n{i}" for i in range(len(name_columns))]
     people = customers.select(
         "id",
@@ -261,50 +308,27 @@ def search_customers(
         ascii_lower(F.col(email_column)).alias("_mail"),
     )
 
-    def tagged(text: Column, tag: str) -> list[Column]:
-        return [
-            F.transform(_grams(F.coalesce(text, F.lit("")), F.lit(n)), lambda g: F.concat(F.lit(tag), g))
-            for n in (1, 2, 3)
-        ]
-
-    every = F.array_distinct(
-        F.concat(*[c for n in names for c in tagged(F.col(n), "n")], *tagged(F.col("_mail"), "e"))
-    )
-
-    def grams_of(some: DataFrame) -> DataFrame:
-        return explode_rows(some.withColumn("_all", every), F.col("_all"), "_gram").drop("_all")
-
-    salt = F.pmod(F.xxhash64("id"), F.lit(_SALTS)).cast("int")
-    few = _at_most(asked, _BROADCAST_ROWS)
-    # how common a substring is only steers the choice of the probe, so a slice will do
-    used = probes.select("_gram").distinct()
-    counts = (
-        grams_of(people.filter(salt == 0)).select("_gram")
-        .join(F.broadcast(used) if few else used.hint("merge"), "_gram", "left_semi")
-        .groupBy("_gram").count()
-    )
-    rarest = (
-        probes.join(counts, "_gram", "left")
-        .groupBy("search_key", "_name", "_email", "_limit")
-        .agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("c"), F.col("_gram").alias("g"))).alias("_best"))
-        .select("search_key", "_name", "_email", "_limit", F.col("_best.g").alias("_gram"))
-    )
-    if few:
-        candidates = grams_of(people).join(F.broadcast(rarest), "_gram")
-    else:
-        salted = rarest.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-        candidates = grams_of(people).withColumn("_salt", salt).join(salted.hint("merge"), ["_gram", "_salt"])
+    candidates = _candidates(criteria, people, names, few)
     named = F.lit(False)
     for n in names:
         named = named | F.coalesce(F.contains(F.col(n), F.col("_name")), F.lit(False))
     matches = F.coalesce(F.col("_name").isNull() | named, F.lit(False)) & F.coalesce(
         F.col("_email").isNull() | F.contains(F.col("_mail"), F.col("_email")), F.lit(False)
     )
-    ranked = (
+    first = (
         candidates.filter(matches)
+        .select("_email", "_name", "id")
+        .withColumn("_rank", F.row_number().over(Window.partitionBy("_email", "_name").orderBy("id")))
+        .filter(F.col("_rank") <= SEARCH_LIMIT)
+    )
+    # what a key asks for under several limits is numbered together
+    most = F.max("_limit").over(Window.partitionBy("search_key"))
+    keyed = asked.withColumn("_most", most).withColumnsRenamed({"_name": "_of_name", "_email": "_of_email"})
+    same = F.col("_name").eqNullSafe(F.col("_of_name")) & F.col("_email").eqNullSafe(F.col("_of_email"))
+    ranked = (
+        first.join(keyed.hint("merge"), same & (F.col("_rank") <= F.col("_most")))
         .select("search_key", "id", "_limit")
         .withColumn("position", F.row_number().over(Window.partitionBy("search_key").orderBy("id")))
-        .filter(F.col("position") <= SEARCH_LIMIT)
         .filter(F.col("position") <= F.col("_limit"))
         .drop("_limit")
     )

@@ -55,3 +55,23 @@ def test_texts_of_one_shape_equal_one_by_one(spark, bank, monkeypatch):
             assert one.output.endswith("[truncated]") if len(alone[key].output) > 300 else sorted(map(str, json.loads(one.output))) == full
     assert all("ssn" not in j for role, _, j, _ in together if role == "analyst")
     assert got.filter("error is null").select(F.countDistinct("role", "call_key", "position")).first()[0] == got.filter("error is null").count()
+
+
+def test_a_shape_is_one_query_whatever_its_number_of_texts(spark, bank, monkeypatch):
+    monkeypatch.setattr(governed, "_BATCH", 10)
+    ran = []
+    whole = governed.governed_query
+    monkeypatch.setattr(governed, "governed_query", lambda s, query, *a, **k: (ran.append(query), whole(s, query, *a, **k))[1])
+    calls = spark.range(40).selectExpr("'analyst' as role", "concat('SELECT id, email FROM customers WHERE id = ', id) as call_key")
+    assert {r.call_key: json.loads(r.row_json)["id"] for r in governed.query_rows(calls, bank).collect()} == {
+        f"SELECT id, email FROM customers WHERE id = {r.id}": r.id for r in bank["customers"](spark).filter("id < 40").collect()
+    }
+    assert len(ran) == 1
+    # a text that fails costs those of its part alone
+    ran.clear()
+    odd = spark.createDataFrame([("analyst", f"SELECT id FROM customers WHERE id = '{'x' if i == 7 else i}'") for i in range(30)], "role string, call_key string")
+    out = governed.query_rows(odd, bank).collect()
+    assert [r.call_key for r in out if r.error] == ["SELECT id FROM customers WHERE id = 'x'"]
+    wanted = bank["customers"](spark).filter("id < 30 and id <> 7").collect()
+    assert sorted(json.loads(r.row_json)["id"] for r in out if not r.error) == sorted(r.id for r in wanted)
+    assert len(ran) < 30

@@ -12,20 +12,20 @@ import json
 import re
 from collections.abc import Callable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
-from itertools import islice
+from itertools import count, islice
 
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark import TaskContext
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.functions.canonical import row_json, truncate
 from veilframe.operators import templates
 from veilframe.operators.access import AccessRules
-from veilframe.sources.storage import exists, new_path
+from veilframe.sources.storage import durable, exists, new_path
 
 Tables = Mapping[str, Callable[[SparkSession], DataFrame]]
 OUTPUT_SCHEMA = "role string, call_key string, output string, error string"
@@ -44,7 +44,7 @@ _REFUSED_NODES = frozenset(("Generate", "ScriptTransformation"))
 _REFUSED = "The query uses a function or source that is not available to roles"
 _REFUSED_CONDITION = "The query filters or joins on a column that is not available to the role"
 _WORKERS = 8
-#: Texts that the driver holds at a time.
+#: Texts of a part in which a shape that fails as a whole is tried again.
 _BATCH = 8192
 
 
@@ -297,16 +297,32 @@ def _describe(problem: Exception) -> str:
     return f"{type(problem).__name__}: {condition}"
 
 
+def _shaped(calls: DataFrame) -> DataFrame:
+    """Distinct texts ``(role, call_key, shape, values, number)``; no shape if values cannot be told."""
+
+    def tell(batches):
+        for batch in batches:
+            found = [templates.shape_of(text or "") for text in batch.column(1).to_pylist()]
+            shapes = pa.array([f and f[0].dumps() for f in found], pa.string())
+            values = pa.array([f and [str(v) for v in f[1]] for f in found], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, shapes, values], ["role", "call_key", "shape", "values"])
+
+    texts = calls.select("role", "call_key").distinct()
+    told = texts.mapInArrow(tell, "role string, call_key string, shape string, values array<string>")
+    return told.withColumn("number", F.monotonically_increasing_id())
+
+
 def _per_query(
     calls: DataFrame, tables: Tables, rules: AccessRules, schema: str, build: Callable[..., DataFrame], most: int | None
 ) -> DataFrame:
     """Run every distinct (role, text) once and write its result on its own, a bounded number at
     a time; texts that differ in values only are one query (``templates``). A text that fails, when
-    it is planned or when it runs, becomes one error row and costs no other its result. Only texts reach the driver, streamed; results are written by
-    tasks, so neither their number nor their size is limited."""
+    it is planned or when it runs, becomes one error row and costs no other its result. Only shapes, with
+    one text each, and texts that run alone reach the driver, streamed; the values of a shape are a stored
+    table, and results are written by tasks, so neither their number nor their size is limited."""
     spark = calls.sparkSession
     sessions: dict[str, tuple[SparkSession, dict[str, set[str]]]] = {}
-    path, failed, done = new_path(spark, "query-results"), [], 0
+    path, failed, numbers = new_path(spark, "query-results"), [], count()
 
     def run(number: int, role: str, query: str) -> str | None:
         session, hidden = sessions[role]
@@ -317,53 +333,65 @@ def _per_query(
             return _describe(problem)
         return None
 
-    def together(number: int, role: str, shape: templates.Shape, texts: list[tuple[str, tuple]]) -> bool:
-        """All texts of one shape as one query; false if they have to run one by one."""
+    def together(role: str, shape_text: str, example: str, texts: Callable[[SparkSession], DataFrame], size: int) -> list[Column]:
+        """All texts of one shape as one query; conditions for the texts that have to run one by one."""
+        shape = templates.Shape.loads(shape_text)
         session = role_session(spark, tables, role, rules)
-        values = session.createDataFrame([(i, *v) for i, (_, v) in enumerate(texts)], shape.schema())
-        values.createOrReplaceTempView(templates.VALUES)
-        keys = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], f"{templates.CALL} long, call_key string")
-        try:
-            if not templates.runs_together(session, texts[0][0], shape):
+        if not templates.runs_together(session, example, shape):
+            return [F.lit(True)]
+
+        def succeeds(part: Column) -> bool:
+            values = [F.get("values", i).cast("string" if kind == "s" else "long").alias(f"{templates.VALUE}{i}") for i, kind in enumerate(shape.kinds)]
+            texts(session).filter(part).select(F.col("number").alias(templates.CALL), *values).createOrReplaceTempView(templates.VALUES)
+            keys = texts(spark).filter(part).select(F.col("number").alias(templates.CALL), "call_key")
+            try:
+                df = governed_query(session, shape.text(), role, rules, sessions[role][1])
+                _rows_of_calls(df, role, keys, most).write.parquet(f"{path}/query={next(numbers)}")
+            except (ValueError, PySparkException, Py4JJavaError):
                 return False
-            df = governed_query(session, shape.text(), role, rules, sessions[role][1])
-            _rows_of_calls(df, role, keys, most).write.parquet(f"{path}/query={number}")
-        except (ValueError, PySparkException, Py4JJavaError):
-            return False
-        return True
-
-    def one_by_one(texts: list[tuple[str, str]]) -> None:
-        nonlocal done, failed
-        for at in range(0, len(texts), 64 * _WORKERS):
-            jobs = [(role, text, pool.submit(run, done + i, role, text)) for i, (role, text) in enumerate(texts[at:at + 64 * _WORKERS])]
+            return True
+
+        if succeeds(F.lit(True)):
+            return []
+        # a text that fails costs those of its part only
+        parts = -(-size // _BATCH)
+        if parts == 1:
+            return [F.lit(True)]
+        split = [F.pmod(F.xxhash64("number"), F.lit(parts)) == i for i in range(parts)]
+        return [part for part in split if not succeeds(part)]
+
+    def one_by_one(texts: DataFrame) -> None:
+        nonlocal failed
+        rows = texts.select("role", "call_key").toLocalIterator()
+        while some := list(islice(rows, 64 * _WORKERS)):
+            know({r.role for r in some})
+            jobs = [(r.role, r.call_key, pool.submit(run, next(numbers), r.role, r.call_key)) for r in some]
             failed += [(role, text, None, None, error) for role, text, job in jobs if (error := job.result()) is not None]
-            done += len(jobs)
 
-    texts = calls.select("role", "call_key").distinct().toLocalIterator()
+    def know(roles: set[str]) -> None:
+        for role in roles - set(sessions):
+            session = role_session(spark, tables, role, rules)
+            sessions[role] = (session, _hidden_columns(session, rules, role))
+
+    shaped = durable(_shaped(calls), "query-texts")
+    shapes = shaped.filter("shape is not null").groupBy("role", "shape").agg(F.count("*").alias("count"), F.min("call_key").alias("example"))
+    shapes = durable(shapes.filter(F.col("count") >= templates.LEAST).withColumn("key", F.sha2(F.concat_ws("|", "role", "shape"), 256)), "query-shapes")
+    by_shape = new_path(spark, "query-values")
+    held = shaped.join(shapes.select("role", "shape", "key"), ["role", "shape"]).select("role", "call_key", "number", "values", "key")
+    held.repartition("key", F.pmod("number", F.lit(_WORKERS))).write.partitionBy("key").parquet(by_shape)
+
+    def texts_of(key: str) -> Callable[[SparkSession], DataFrame]:
+        return lambda session: session.read.schema(held.drop("key").schema).parquet(f"{by_shape}/key={key}")
+
     with ThreadPoolExecutor(_WORKERS) as pool:
-        while batch := list(islice(texts, _BATCH)):
-            for role in {r.role for r in batch} - set(sessions):
-                session = role_session(spark, tables, role, rules)
-                sessions[role] = (session, _hidden_columns(session, rules, role))
-            shapes: dict[tuple, list] = {}
-            alone = []
-            for r in batch:
-                found = templates.shape_of(r.call_key or "")
-                if found is None:
-                    alone.append((r.role, r.call_key))
-                else:
-                    shapes.setdefault((r.role, found[0]), []).append((r.call_key, found[1]))
-            jobs = []
-            for (role, shape), same in shapes.items():
-                if len(same) < templates.LEAST:
-                    alone += [(role, text) for text, _ in same]
-                else:
-                    jobs.append((role, same, pool.submit(together, done, role, shape, same)))
-                    done += 1
-            for role, same, job in jobs:
-                if not job.result():
-                    alone += [(role, text) for text, _ in same]
-            one_by_one(alone)
+        one_by_one(shaped.join(shapes.select("role", "shape"), ["role", "shape"], "left_anti"))
+        found = shapes.toLocalIterator()
+        while some := list(islice(found, 64 * _WORKERS)):
+            know({r.role for r in some})
+            jobs = [(texts_of(r["key"]), pool.submit(together, r["role"], r["shape"], r["example"], texts_of(r["key"]), r["count"])) for r in some]
+            for texts, job in jobs:
+                for part in job.result():
+                    one_by_one(texts(spark).filter(part))
     errors = spark.createDataFrame(failed, schema)
     if not exists(spark, path):  # none has succeeded
         return errors

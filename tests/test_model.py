@@ -3,6 +3,7 @@
 import os
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tests.test_requests import frame, request
@@ -107,3 +108,19 @@ def test_stream_with_a_model(spark, tmp_path):
     stream = spark.readStream.schema("doc long, text string").parquet(str(tmp_path / "in"))
     masked = corpus.redact_corpus(stream, "strict_financial", detector=model.model_detector(random_model())).select("doc", F.size("detections").alias("n"))
     assert run_to_table(masked, spark, str(tmp_path / "out"), str(tmp_path / "cp")).agg(F.sum("n")).first()[0] > 5
+
+
+def test_tokens_leave_the_model_in_bounded_groups(monkeypatch):
+    """Neither the texts of a group nor the rows of a batch grow with the Arrow batch they came in."""
+    monkeypatch.setattr(model, "BATCH_CHARS", 100)
+    monkeypatch.setattr(model, "BATCH_TOKENS", 7)
+    texts = ["ab cd"] * 150 + ["x" * 500] + ["y " * 30] * 3
+    groups = list(model._groups(texts))
+    assert [i for a, b in groups for i in range(a, b)] == list(range(len(texts)))
+    assert all(b - a <= model.BATCH and (b == a + 1 or sum(map(len, texts[a:b])) <= 100) for a, b in groups)
+    results = [[(i, i + 1, [0.0, float(i)]) for i in range(n)] for n in (0, 20, 3)]
+    batches = list(model._token_batches("doc", pa.array([5, 6, 7]), results))
+    assert max(b.num_rows for b in batches) == 7
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert [(r["doc"], r["idx"]) for r in rows] == [(6, i) for i in range(20)] + [(7, i) for i in range(3)]
+    assert all(r["logits"] == [0.0, float(r["idx"])] and r["t_end"] == r["t_start"] + 1 for r in rows)

@@ -275,17 +275,20 @@ _MODEL_RULES = (
 def _load_model():
     import re
 
-    rules = [(tokens.BIOES_LABELS.index(label), re.compile(pattern)) for label, pattern in _MODEL_RULES]
+    # all patterns begin at the start of the word, so that alternatives are tried in their order
+    known = re.compile("|".join(f"({pattern})" for _, pattern in _MODEL_RULES))
     size = len(tokens.BIOES_LABELS)
+    marks = [0] + [tokens.BIOES_LABELS.index(label) for label, _ in _MODEL_RULES]
+    vectors = [[8.0 if i == label else 0.0 for i in range(size)] for label in marks]
 
     def predict(texts):
         out = []
         for text in texts:
             at, row = 0, []
             for word in text.split(" "):
-                label = next((i for i, p in rules if p.search(word)), 0)
-                row.append((at, at + len(word), [8.0 if i == label else 0.0 for i in range(size)]))
-                at += len(word) + 1
+                end, found = at + len(word), known.match(word)
+                row.append((at, end, vectors[found.lastindex if found else 0]))
+                at = end + 1
             out.append(row)
         return out
 

@@ -10,7 +10,6 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,29 +21,33 @@ from veilframe.operators.tokens import BIOES_LABELS, decode_bioes, score_tokens
 # texts -> per text a list of (start, end, logits) in reading order
 Predict = Callable[[list[str]], list[list[tuple[int, int, list[float]]]]]
 BATCH = 64
+BATCH_CHARS = 1 << 18
+BATCH_TOKENS = 1 << 13
 # models that this worker process has loaded, by detector
 _loaded: dict[str, Predict] = {}
 
 
-def _labels(logits: list, names: tuple[str, ...]) -> tuple[list[str], list[float]]:
-    """Per token the label of the largest logit (``O`` beyond the names) and its probability."""
+def _labels(logits: list, names: tuple[str, ...]) -> tuple[list[int], list[str], list[float]]:
+    """Places of the tokens whose largest logit is a label other than ``O`` (as any beyond the names is),
+    those labels and their probabilities."""
     scores = np.asarray(logits, dtype=float)
     best = scores.argmax(1)
-    top = scores.max(1, keepdims=True)
-    probs = 1.0 / np.exp(scores - top).sum(1)
-    return [names[i] if i < len(names) else "O" for i in best.tolist()], probs.tolist()
+    marked = np.flatnonzero(np.array([n != "O" for n in names])[np.minimum(best, len(names) - 1)] & (best < len(names)))
+    some = scores[marked]
+    probs = 1.0 / np.exp(some - some.max(1, keepdims=True)).sum(1) if len(marked) else np.empty(0)
+    return marked.tolist(), [names[i] for i in best[marked].tolist()], probs.tolist()
 
 
 def bioes_spans(tokens: list[tuple], names: tuple[str, ...] = BIOES_LABELS) -> list[tuple[str, int, int, float]]:
     """``(category, start, end, confidence)`` of one text's tokens, by the rules of ``decode_bioes``."""
     if not tokens:
         return []
-    labels, probs = _labels([t[2] for t in tokens], names)
-    out, run = [], None  # run: category and the places of its tokens
+    places, labels, probs = _labels([t[2] for t in tokens], names)
+    out, run = [], None  # run: category and the first and last of its labelled tokens
 
     def close() -> None:
         category, first, last = run
-        start, end = tokens[first][:2], tokens[last][:2]
+        start, end = tokens[places[first]][:2], tokens[places[last]][:2]
         if None not in (start[0], start[1], end[1]) and start != (0, 0):
             out.append((category, start[0], end[1], float(np.mean(probs[first:last + 1]))))
 
@@ -52,7 +55,7 @@ def bioes_spans(tokens: list[tuple], names: tuple[str, ...] = BIOES_LABELS) -> l
         prefix, category = label[:1], label[2:]
         if label[1:2] != "-" or prefix not in "BIES" or category not in fixed.CATEGORIES:
             prefix, category = "O", None
-        if run is not None and prefix in ("I", "E") and category == run[0]:
+        if run is not None and places[i] == places[run[2]] + 1 and prefix in ("I", "E") and category == run[0]:
             run = (category, run[1], i)
             if prefix == "E":
                 close()
@@ -127,21 +130,54 @@ def stored_detections(df: DataFrame, key: str, text: str, spans: DataFrame) -> D
 
 def token_table(df: DataFrame, doc: str, text: str, load: Callable[[], Predict]) -> DataFrame:
     """``(doc, idx, t_start, t_end, logits)``. ``load`` runs once per task and returns the
-    model; texts arrive in Arrow batches. Blank texts are not sent to it."""
+    model; texts arrive in Arrow batches, go to it in groups of bounded size, and rows leave
+    as they come. Blank texts are not sent to it."""
     kind = df.schema[doc].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = load()
         for batch in batches:
-            rows = [
-                (key, i, start, end, list(map(float, logits)))
-                for key, tokens in zip(batch[doc], predict(list(batch[text])))
-                for i, (start, end, logits) in enumerate(tokens)
-            ]
-            yield pd.DataFrame(rows, columns=[doc, "idx", "t_start", "t_end", "logits"])
+            keys, texts = batch.column(0), batch.column(1).to_pylist()
+            for at, end in _groups(texts):
+                yield from _token_batches(doc, keys.slice(at, end - at), predict(texts[at:end]))
 
     texts = df.select(doc, text).filter(F.trim(F.coalesce(F.col(text), F.lit(""))) != "")
-    return texts.mapInPandas(run, f"{doc} {kind}, idx long, t_start int, t_end int, logits array<double>")
+    return texts.mapInArrow(run, f"{doc} {kind}, idx long, t_start int, t_end int, logits array<double>")
+
+
+def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that go to the model together: at most ``BATCH``, and of several not more than
+    ``BATCH_CHARS`` characters, since every token comes back with a vector."""
+    at = size = 0
+    for i, text in enumerate(texts):
+        if i > at and (i - at == BATCH or size + len(text) > BATCH_CHARS):
+            yield at, i
+            at, size = i, 0
+        size += len(text)
+    if at < len(texts):
+        yield at, len(texts)
+
+
+def _token_batches(doc: str, keys: pa.Array, results: list) -> Iterator[pa.RecordBatch]:
+    """Rows of the token table, ``BATCH_TOKENS`` at a time."""
+    for key, tokens in zip(range(len(keys)), results):
+        for at in range(0, len(tokens), BATCH_TOKENS):
+            starts, ends, logits = zip(*tokens[at:at + BATCH_TOKENS])
+            n = len(starts)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    keys.take(pa.array([key] * n, pa.int64())), pa.array(range(at, at + n), pa.int64()),
+                    pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), _vectors(logits),
+                ],
+                [doc, "idx", "t_start", "t_end", "logits"],
+            )
+
+
+def _vectors(logits: tuple) -> pa.Array:
+    """Vectors as Arrow lists, whatever their lengths."""
+    offsets = np.cumsum([0, *map(len, logits)], dtype=np.int32)
+    flat = np.concatenate([np.asarray(v, dtype=float) for v in logits]) if len(set(map(len, logits))) > 1 else np.asarray(logits, dtype=float).reshape(-1)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
 def detect_with_model(

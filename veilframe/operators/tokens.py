@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe import fixed_values as fixed
-from veilframe.functions.arrays import bind, explode_rows, scan
+from veilframe.functions.arrays import bind, explode_rows
 
 BIOES_LABELS = ("O",) + tuple(f"{p}-{c}" for c in fixed.CATEGORIES for p in ("B", "I", "E", "S"))
 _WORD = "array<struct<word:string,t_start:int,t_end:int>>"
@@ -15,17 +20,10 @@ _WORD = "array<struct<word:string,t_start:int,t_end:int>>"
 def parse_label(label: Column) -> Column:
     """``struct<prefix,category>``; anything malformed or unknown is ``(O, null)``."""
 
-    def parse(text: Column) -> Column:
-        prefix, category = F.substring(text, 1, 1), F.substr(text, F.lit(3))
-        valid = (
-            (F.substring(text, 2, 1) == "-") & prefix.isin(*fixed.BIOES_PREFIXES) & category.isin(*fixed.CATEGORIES)
-        )
-        valid = F.coalesce(valid, F.lit(False))
-        return F.struct(
-            F.when(valid, prefix).otherwise("O").alias("prefix"), F.when(valid, category).alias("category")
-        )
-
-    return bind(label, parse)
+    prefix, category = F.substring(label, 1, 1), F.substr(label, F.lit(3))
+    valid = (F.substring(label, 2, 1) == "-") & prefix.isin(*fixed.BIOES_PREFIXES) & category.isin(*fixed.CATEGORIES)
+    valid = F.coalesce(valid, F.lit(False))
+    return F.struct(F.when(valid, prefix).otherwise("O").alias("prefix"), F.when(valid, category).alias("category"))
 
 
 def score_tokens(df: DataFrame, logits: str, labels: tuple[str, ...] = BIOES_LABELS) -> DataFrame:
@@ -41,21 +39,26 @@ def score_tokens(df: DataFrame, logits: str, labels: tuple[str, ...] = BIOES_LAB
     return df.withColumn("_best", best).select("*", "_best.label", "_best.prob").drop("_best")
 
 
+def _words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Words of texts with their offsets, counted over whole batches."""
+    for texts in batches:
+        listed = pc.split_pattern(texts, " ")
+        starts, words = np.asarray(listed.offsets), listed.flatten()
+        widths = np.asarray(pc.utf8_length(words)).astype(np.int64) + 1
+        ends = np.cumsum(widths)
+        before = np.concatenate([[0], ends])[starts[:-1] - starts[0]]
+        counts = np.diff(starts)
+        end = ends - 1 - np.repeat(before, counts)
+        first = end - widths + 1
+        fields = [words.cast(pa.string()), pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32))]
+        rows = pa.StructArray.from_arrays(fields, ["word", "t_start", "t_end"])
+        yield pa.ListArray.from_arrays(pa.array((starts - starts[0]).astype(np.int32)), rows, mask=texts.is_null())
+
+
 def split_words(df: DataFrame, doc: str, text: str) -> DataFrame:
     """Token table of space-separated words: ``(doc, text, idx, word, t_start, t_end)``."""
-    words = bind(
-        F.split(text, " ", -1),
-        lambda w: scan(
-            w,
-            F.lit(0),
-            lambda at, x: at + F.length(x) + 1,
-            lambda at, x: F.array(
-                F.struct(x.alias("word"), at.alias("t_start"), (at + F.length(x)).alias("t_end"))
-            ),
-            _WORD,
-        ),
-    )
-    rows = explode_rows(df.select(doc, text), words, "_w", "_i")
+    words = F.arrow_udf(_words, _WORD)
+    rows = explode_rows(df.select(doc, text, words(F.col(text)).alias("_words")), F.col("_words"), "_w", "_i")
     return rows.select(doc, text, F.col("_i").cast("long").alias("idx"), "_w.*")
 
 
@@ -75,17 +78,11 @@ def decode_bioes(
     so has a bounded token count (the model reads up to 128 000).
     """
     order = Window.partitionBy(doc).orderBy(idx)
-    labelled = bind(
-        parse_label(F.col(label)), lambda l: F.when(l["category"].isNotNull() & (l["prefix"] != "O"), l)
-    )
-    tagged = (
-        tokens.select(
-            doc, idx, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(prob).alias("_p"), labelled.alias("_l")
-        )
-        .filter(F.col("_l").isNotNull())
-        .select("*", F.col("_l.prefix").alias("_prefix"), F.col("_l.category").alias("_category"))
-        .drop("_l")
-    )
+    parsed = parse_label(F.col(label))
+    tagged = tokens.select(
+        doc, idx, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(prob).alias("_p"),
+        parsed["prefix"].alias("_prefix"), parsed["category"].alias("_category"),
+    ).filter(F.col("_category").isNotNull() & (F.col("_prefix") != "O"))
     before = {c: F.lag(c).over(order) for c in (idx, "_prefix", "_category")}
     opens = (
         F.col("_prefix").isin("S", "B")
@@ -97,25 +94,35 @@ def decode_bioes(
     islands = tagged.withColumn("_open", F.when(opens, 1).otherwise(0)).withColumn(
         "_island", F.sum("_open").over(order.rowsBetween(Window.unboundedPreceding, 0))
     )
-    first = F.min_by(F.struct("_prefix", "_category", "_s", "_e"), idx)
+    # numbers only, so that islands are grouped without another sort
+    names = F.array(*map(F.lit, fixed.CATEGORIES))
+    starts = F.when(F.col("_prefix").isin("S", "B"), F.array_position(names, F.col("_category")).cast("int")).otherwise(0)
     return (
-        islands.groupBy(doc, "_island")
-        .agg(first.alias("_first"), F.max_by(F.struct("_e"), idx).alias("_last"), F.avg("_p").alias("confidence"))
-        .filter(F.col("_first._prefix").isin("S", "B"))
-        .filter(F.col("_first._s").isNotNull() & F.col("_first._e").isNotNull() & F.col("_last._e").isNotNull())
-        .filter(~((F.col("_first._s") == 0) & (F.col("_first._e") == 0)))
+        islands.withColumn("_code", starts)
+        .groupBy(doc, "_island")
+        .agg(
+            F.min_by("_code", idx).alias("_code"), F.min_by("_s", idx).alias("_first_s"), F.min_by("_e", idx).alias("_first_e"),
+            F.max_by("_e", idx).alias("_last_e"), F.avg("_p").alias("confidence"),
+        )
+        .filter(F.col("_code") > 0)
+        .filter(F.col("_first_s").isNotNull() & F.col("_first_e").isNotNull() & F.col("_last_e").isNotNull())
+        .filter(~((F.col("_first_s") == 0) & (F.col("_first_e") == 0)))
         .select(
-            doc, F.col("_first._category").alias("category"), F.col("_first._s").alias("start"),
-            F.col("_last._e").alias("end"), "confidence",
+            doc, F.get(names, F.col("_code") - 1).alias("category"), F.col("_first_s").alias("start"),
+            F.col("_last_e").alias("end"), "confidence",
         )
     )
 
 
 def with_span_text(spans: DataFrame, docs: DataFrame, doc: str, text: str) -> DataFrame:
     """Add ``span_text``, the slice of the document."""
-    length = F.greatest(F.col("end") - F.col("start"), F.lit(0)).cast("int")
-    return (
-        spans.join(docs.select(doc, text), doc)
-        .withColumn("span_text", F.substr(F.col(text), (F.col("start") + 1).cast("int"), length))
-        .drop(text)
-    )
+    others = [c for c in spans.columns if c != doc]
+    listed = spans.groupBy(doc).agg(F.collect_list(F.struct(*others)).alias("_spans"))
+
+    def shown(s: Column) -> Column:
+        length = F.greatest(s["end"] - s["start"], F.lit(0)).cast("int")
+        return s.withField("span_text", F.substr(F.col(text), (s["start"] + 1).cast("int"), length))
+
+    # a text meets all of its spans at once: it is not copied to each of them
+    rows = listed.join(docs.select(doc, text), doc).select(doc, F.transform("_spans", shown).alias("_spans"))
+    return explode_rows(rows, F.col("_spans"), "_s").select(doc, "_s.*")

@@ -124,3 +124,11 @@ def test_tokens_leave_the_model_in_bounded_groups(monkeypatch):
     rows = [r for b in batches for r in b.to_pylist()]
     assert [(r["doc"], r["idx"]) for r in rows] == [(6, i) for i in range(20)] + [(7, i) for i in range(3)]
     assert all(r["logits"] == [0.0, float(r["idx"])] and r["t_end"] == r["t_start"] + 1 for r in rows)
+
+
+def test_only_labelled_tokens_are_decoded():
+    names = ("O", "S-secret", "GARBAGE")
+    logits = [[5.0, 0.0, 0.0, 0.0]] * 3 + [[0.0, 2.0, 0.0, 0.0], [0.0, 0.0, 0.0, 9.0], [0.0, 0.0, 2.0, 0.0]]
+    places, labels, probs = model._labels(logits, names)
+    assert places == [3, 5] and labels == ["S-secret", "GARBAGE"] and len(probs) == 2
+    assert model._labels([[1.0, 0.0]], names) == ([], [], [])

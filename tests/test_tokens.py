@@ -83,3 +83,15 @@ def test_model_detector(spark):
     df = spark.createDataFrame([(1, "mail a@b.com now"), (2, " "), (3, "none")], "doc long, text string")
     rows = detect_with_model(df, "doc", "text", load).collect()
     assert [(r.doc, r.category, r.start, r.end) for r in rows] == [(1, "private_email", 5, 12)]
+
+
+def test_texts_are_neither_folded_nor_copied(spark):
+    """Words come without a fold over the text, and a text is joined to its spans as one row."""
+    docs = spark.createDataFrame([(1, "ab cd ef")], "doc long, text string")
+    plan = split_words(docs, "doc", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan
+    spans = spark.createDataFrame([(1, 0, 2), (1, 3, 5), (1, 6, 8), (1, 5, 3)], "doc long, start int, end int")
+    out = with_span_text(spans, docs, "doc", "text")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")
+    assert sorted(map(tuple, out.collect())) == [(1, 0, 2, "ab"), (1, 3, 5, "cd"), (1, 5, 3, ""), (1, 6, 8, "ef")]

@@ -69,3 +69,24 @@ def test_gateway_stream_equals_batch(spark, bank, tmp_path):
     assert logs.read_log(spark, replay["review"], schemas.REVIEW).count() == reviews
     assert logs.read_log(spark, replay["audit"]).count() == len(rows)
     assert {n for n in os.listdir(folder) if n.startswith("steps-")} <= before  # only the sinks stay
+
+
+def test_requests_share_bounded_state(spark, tmp_path):
+    """Outcomes of many requests from the state of a few buckets, null ids and times among them."""
+    rows = [(str(i), 0, "request", None) for i in range(300)] + [(str(i), 2, "decision", "allow") for i in range(0, 300, 3)]
+    rows += [(None, 0, "request", None), (None, 1, "cancel", None), ("0", 1, "request", None)]
+    write_events(tmp_path / "in", 0, rows)
+    (tmp_path / "in" / "none.json").write_text(json.dumps({"request_id": "timeless", "kind": "request"}))
+    write_events(tmp_path / "in", 1, [("heart", 60, "cancel", None)])
+    source = spark.readStream.schema(schemas.REVIEW_EVENTS).json(str(tmp_path / "in"))
+    query = (
+        review.gate(source.withColumn("payload", F.concat(F.lit("p"), "request_id")), buckets=4)
+        .writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
+        .outputMode("append").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 4
+    got = {(r.request_id, r.outcome, r.payload, r.requested_at, r.resolved_at) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    hour = lambda h: T0 + timedelta(hours=h)
+    assert got == {(str(i), "timeout", f"p{i}", hour(0), hour(24)) if i % 3 else (str(i), "reviewed", f"p{i}", hour(0), hour(2)) for i in range(300)} | {
+        (None, "cancelled", None, hour(0), hour(1))}

@@ -2,89 +2,81 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 REVIEW_HOURS = 24
 OUTCOME = "request_id string, outcome string, action string, reason string, requested_at timestamp, resolved_at timestamp, payload string"
-_STATE = "requested_ms long, deadline_ms long, closed boolean, payload string"
-_EARLY = "at_ms long, kind string, action string, reason string"
+#: Requests share the state of one of so many hash buckets: what a micro-batch costs beside its rows is
+#: bounded by it. It belongs to the checkpoint, so a stream that goes on keeps its number.
+BUCKETS = 1 << 11
+_SETTLED = "request_id string, outcome string, action string, reason string, requested_ms long, resolved_ms long, payload string"
+_STATE = (
+    "pending array<struct<request_id: string, requested_ms: long, deadline_ms: long, closed: boolean, payload: string>>, "
+    "early array<struct<request_id: string, at_ms: long, kind: string, action: string, reason: string>>"
+)
 TIMEOUT_REASON = "Request cancelled or human review timeout"
 
 
-def _ms(value) -> int:
-    return int(pd.Timestamp(value).value // 1_000_000)
-
-
-class ReviewGate(StatefulProcessor):
-    """State per request: the request itself as it was admitted (``payload``), when it was asked, its
-    deadline, and whether it is settled.
+def review_gate(hours: float = REVIEW_HOURS) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """The state of a bucket of requests. It holds for each request the request itself as it was
+    admitted (``payload``), when it was asked, its deadline, and whether it is settled.
 
     A decision that is read before its request is kept for the time of a review and applied once
     the request is there, and of the decisions in one batch the earliest since the request counts,
     so the outcome does not depend on how the stream was cut into batches or frames. What comes
-    after the request is settled is ignored. The state of a settled request stays until its
-    deadline, without the payload, to know late decisions as such. Frames are read one by one.
+    after the request is settled is ignored. A settled request stays until its deadline, without
+    the payload, to know late decisions as such. The bucket's timeout is the next of its times.
     """
-
-    def __init__(self, hours: float = REVIEW_HOURS):
-        self.wait_ms = int(timedelta(hours=hours).total_seconds() * 1000)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.pending = handle.getValueState("pending", _STATE)
-        self.early = handle.getListState("early", _EARLY)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = self.pending.get() if self.pending.exists() else None
-        asked, move = None, None
-        for frame in rows:
-            waiting = []
-            for event in frame.itertuples(index=False):
-                at = _ms(event.ts)
-                if event.kind == "request":
-                    if asked is None or at < asked[0]:
-                        asked = (at, event.payload)
-                elif state is None:
-                    waiting.append((at, event.kind, event.action or "", event.reason or ""))
-                elif not state[2] and at >= state[0]:
-                    move = min(x for x in (move, _move(at, event.kind, event.action or "", event.reason or "")) if x is not None)
-            if waiting:
-                self.early.appendList(waiting)
-                self.handle.registerTimer(max(w[0] for w in waiting) + self.wait_ms)
-        if state is None and asked is not None:
-            state = (asked[0], asked[0] + self.wait_ms, False, asked[1])
-            self.handle.registerTimer(state[1])
-            early = self.early.get() if self.early.exists() else ()
-            move = min((_move(*e) for e in early if e[0] >= state[0]), default=None)
-            self.early.clear()
-            self.pending.update(state)
-        if move is None:
-            yield _frame([])
-        else:
-            self.pending.update((state[0], state[1], True, None))
-            yield _frame([_settled(key[0], state, move)])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state = self.pending.get() if self.pending.exists() else None
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        if state is None:
-            later = [e for e in self.early.get() if e[0] + self.wait_ms > now] if self.early.exists() else []
-            self.early.put(later) if later else self.early.clear()
-        elif state[1] > now:
-            yield _frame([])  # the timer of a decision that came before its request
-            return
-        else:
-            self.pending.clear()
-        yield _frame([] if state is None or state[2] else [_timeout(key[0], state)])
-
-    def close(self) -> None:
-        pass
+    wait_ms = int(timedelta(hours=hours).total_seconds() * 1000)
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept, waiting = state.get if state.exists else ((), ())
+        pending = {r[0]: tuple(r[1:]) for r in kept}
+        early: dict[str | None, list[tuple]] = {}
+        for request_id, *move in waiting:
+            early.setdefault(request_id, []).append(tuple(move))
+        asked, moves, out = {}, {}, []
+        for frame in frames:
+            columns = (frame[name].tolist() for name in ("request_id", "at_ms", "kind", "action", "reason", "payload"))
+            for request_id, at, kind, action, reason, payload in zip(*columns):
+                known = pending.get(request_id)
+                if kind == "request":
+                    if known is None and (request_id not in asked or at < asked[request_id][0]):
+                        asked[request_id] = (at, payload)
+                elif known is None:
+                    early.setdefault(request_id, []).append((at, kind, action or "", reason or ""))
+                elif not known[2] and at >= known[0]:
+                    move = _move(at, kind, action or "", reason or "")
+                    moves[request_id] = min(moves.get(request_id, move), move)
+        for request_id, (at, payload) in asked.items():
+            pending[request_id] = (at, at + wait_ms, False, payload)
+            move = min((_move(*e) for e in early.pop(request_id, ()) if e[0] >= at), default=None)
+            if move is not None:
+                moves[request_id] = move
+        for request_id, move in moves.items():
+            known = pending[request_id]
+            out.append(_settled(request_id, known, move))
+            pending[request_id] = (known[0], known[1], True, None)
+        now = state.getCurrentWatermarkMs()
+        out += [_timeout(i, r) for i, r in pending.items() if r[1] < now and not r[2]]
+        kept = [(i, *r) for i, r in pending.items() if r[1] >= now]
+        waiting = [(i, *e) for i, es in early.items() for e in es if e[0] + wait_ms >= now]
+        if kept or waiting:
+            state.update((kept, waiting))
+            due = min([r[2] for r in kept] + [e[1] + wait_ms for e in waiting])
+            state.setTimeoutTimestamp(max(due, now + 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["request_id", "outcome", "action", "reason", "requested_ms", "resolved_ms", "payload"])
+
+    return run
 
 
 def _move(at: int, kind: str, action: str, reason: str) -> tuple:
@@ -105,22 +97,21 @@ def _timeout(request_id: str, state) -> tuple:
     return (request_id, "timeout", "error", TIMEOUT_REASON, state[0], state[1], state[3])
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["request_id", "outcome", "action", "reason", "requested_at", "resolved_at", "payload"])
-    for name in ("requested_at", "resolved_at"):
-        frame[name] = pd.to_datetime(frame[name].astype("int64"), unit="ms")
-    return frame
-
-
-def gate(events: DataFrame, lateness: str = "1 hour", hours: float = REVIEW_HOURS) -> DataFrame:
+def gate(events: DataFrame, lateness: str = "1 hour", hours: float = REVIEW_HOURS, buckets: int = BUCKETS) -> DataFrame:
     """``OUTCOME`` of a stream of ``(request_id, ts, kind, action, reason, payload)``: the payload of a
-    request comes out with its outcome."""
-    return (
-        events.withWatermark("ts", lateness)
-        .groupBy("request_id")
-        .transformWithStateInPandas(
-            statefulProcessor=ReviewGate(hours), outputStructType=OUTCOME, outputMode="append", timeMode="EventTime"
+    request comes out with its outcome. An event without a time is left out."""
+    settled = (
+        events.filter("ts is not null").withWatermark("ts", lateness)
+        .select(
+            F.pmod(F.xxhash64("request_id"), F.lit(buckets)).alias("bucket"), "request_id", "ts", F.unix_millis("ts").alias("at_ms"),
+            "kind", "action", "reason", "payload",
         )
+        .groupBy("bucket")
+        .applyInPandasWithState(review_gate(hours), _SETTLED, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    )
+    return settled.select(
+        "request_id", "outcome", "action", "reason", F.timestamp_millis("requested_ms").alias("requested_at"),
+        F.timestamp_millis("resolved_ms").alias("resolved_at"), "payload",
     )
 
 

@@ -123,6 +123,35 @@ def test_language_model_has_a_state_for_every_word(spark, options):
         assert r.score == pytest.approx(expected[r.doc_id][3], rel=1e-9)
 
 
+@pytest.mark.parametrize("options", [{"arcs_head": 0}, {"arcs_head": 0, "head": 0}])
+def test_language_model_in_many_buckets(spark, monkeypatch, options):
+    """Pairs by their words' places and by hash, null ids and repeated ones, in buckets of few tokens."""
+    from veilframe.llm import language_model
+
+    monkeypatch.setattr(language_model, "BUCKET_TOKENS", 200)
+    rng = np.random.default_rng(4)
+    data = [(k, " ".join(f"w{w}" for w in rng.integers(0, 60, 50))) for k in range(60)]
+    _, expected, _ = _scores(data, 10**6, 2, 0.75)
+    got = {r.doc_id: r for r in language_model.score_texts(frame(spark, data), **options).collect()}
+    assert len(got) == len(data)
+    for i, row in expected.items():
+        assert [got[i].n_tokens, got[i].n_known] == list(row[:2]) and got[i].score == pytest.approx(row[3], rel=1e-9)
+    twice = language_model.score_texts(frame(spark, data + [(None, "w1 w2")] * 3 + [(7, "w1 w2 w3")])).collect()
+    assert {r.doc_id: r.n_tokens for r in twice} == {k: 51 + 4 * (k == 7) for k in range(60)} | {None: 9}
+
+
+def test_language_model_moves_pairs_packed():
+    """A pair of two frequent words takes few bytes, where its hashes would take sixteen."""
+    from veilframe.llm import language_model
+
+    rng = np.random.default_rng(5)
+    key = np.unique((rng.integers(0, 1 << 18, 100_000) << 32) | rng.integers(0, 1 << 18, 100_000))
+    column = [np.diff(key, prepend=np.int64(0)), np.ones(len(key), np.int64)]
+    data = language_model._pack(*column)
+    assert len(data) < 8 * len(key)
+    assert [c.tolist() for c in language_model._unpack(data, len(key), 2)] == [c.tolist() for c in column]
+
+
 def test_language_model_of_little(spark):
     from veilframe.llm.language_model import score_texts
 

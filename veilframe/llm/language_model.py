@@ -8,12 +8,14 @@ sum to one. In each state the arc of the next token is taken, or the failure arc
 root's, and the logarithms are added. So a text's score is the sum of its tokens' root arcs, of
 its histories' failure arcs, and for each arc that is taken of what it gains over these two.
 Frequent words and arcs are in broadcasts of bounded size; texts get all others by joins, so
-neither has a limit."""
+neither has a limit. Pairs move in packed blocks, one for each bucket of keys: two frequent words
+are named by their places, so that sorted keys take two or three bytes each."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ from veilframe.llm.text import Texts, blocks, distinct_within, mix, run_ids, sli
 
 #: Arcs in the broadcast lookup, 16 bytes each; texts get the others by a join.
 ARCS = 1 << 20
+#: Tokens of training for each bucket of pairs.
+BUCKET_TOKENS = 1 << 20
 #: The end of a text, among the words' hashes; it also stands before a text's first word.
 END = 0x2545F4914F6CDD1D
 DISCOUNT = 0.75
@@ -45,9 +49,38 @@ def _pairs(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return history, word, doc
 
 
-def _key(history: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """One hash for a pair."""
-    return mix(mix(history.view(np.uint64)) * np.uint64(0xD1342543DE82EF95) + word.view(np.uint64)).view(np.int64)
+def _hash(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """One negative hash for a pair."""
+    return mix(mix(history.view(np.uint64)) * np.uint64(0xD1342543DE82EF95) + word.view(np.uint64)).view(np.int64) | np.int64(-1 << 63)
+
+
+def _key(history: np.ndarray, word: np.ndarray, places: Known) -> np.ndarray:
+    """One number for a pair: the places of both words if they have one, else its hash."""
+    here, at = places.find(history)
+    here_b, at_b = places.find(word)
+    key = at << 32 | at_b
+    other = ~(here & here_b)
+    key[other] = _hash(history[other], word[other])
+    return key
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of 64-bit numbers, compressed byte by byte."""
+    return pa.compress(b"".join(c.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns), codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, size: int, columns: int) -> list[np.ndarray]:
+    raw = np.frombuffer(pa.decompress(data, decompressed_size=size * columns * 8, codec="zstd", asbytes=True), dtype=np.uint8)
+    return [np.ascontiguousarray(c.T).view(np.int64).ravel() for c in raw.reshape(columns, 8, size)]
+
+
+def _by_bucket(key: np.ndarray, buckets: int):
+    """Each bucket that has some of these keys, and where they are, in their order."""
+    bucket = key % buckets
+    order = np.argsort(bucket.astype(np.int32), kind="stable")
+    cuts = np.append(0, np.cumsum(np.bincount(bucket, minlength=buckets)))
+    for b in np.flatnonzero(np.diff(cuts)):
+        yield int(b), order[cuts[b]:cuts[b + 1]]
 
 
 class Known:
@@ -112,6 +145,10 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", fold: i
             top = unigrams.orderBy(F.desc("n"), "piece").limit(states - 1).select("h").toArrow().column(0).to_numpy()
             alphabet = spark.sparkContext.broadcast(np.append(top, END))
 
+        head_words = unigrams.orderBy(F.desc("n"), "piece").limit(head).select("h").toArrow().column(0).to_numpy()
+        places = spark.sparkContext.broadcast(Known(pa.table({"h": np.append(head_words, END)})))
+        buckets = int(n_words // BUCKET_TOKENS) | 1
+
         def pairs(batches):
             for batch, _ in blocks(batches, "text"):
                 texts, starts, ends, first = _cut(batch.column(0))
@@ -119,11 +156,35 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", fold: i
                 if alphabet is not None:
                     both = np.isin(history, alphabet.value) & np.isin(word, alphabet.value)
                     history, word = history[both], word[both]
-                _, where, n = np.unique(_key(history, word), return_index=True, return_counts=True)
-                yield pa.record_batch({"a": pa.array(history[where]), "b": pa.array(word[where]), "n": pa.array(n, pa.int64())})
+                key, where, n = np.unique(_key(history, word, places.value), return_index=True, return_counts=True)
+                rows = []
+                for bucket, at in _by_bucket(key, buckets):
+                    rare = where[at[key[at] < 0]]
+                    rows.append({"bucket": bucket, "size": len(at), "pairs": _pack(np.diff(key[at], prepend=np.int64(0)), n[at]), "rare": _pack(history[rare], word[rare])})
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, packed)
+
+        def merge(table):
+            sizes, found = table.column("size").to_pylist(), []
+            for size, data, rare in zip(sizes, table.column("pairs").to_pylist(), table.column("rare").to_pylist()):
+                key, n = _unpack(data, size, 2)
+                key = np.cumsum(key)
+                a, b = key >> 32, key & 0xFFFFFFFF
+                other = key < 0
+                a[~other], b[~other] = places.value.key[a[~other]], places.value.key[b[~other]]
+                a[other], b[other] = _unpack(rare, int(other.sum()), 2)
+                found.append((key, a, b, n))
+            key, a, b, n = (np.concatenate(c) for c in zip(*found))
+            order = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.diff(key[order], prepend=key[order[0]] - 1))
+            sums = np.add.reduceat(n[order], first)
+            often = sums >= least
+            at = order[first[often]]
+            return pa.table({"a": a[at], "b": b[at], "n": sums[often]})
 
-        seen = work.table(docs.filter(train).select("text").mapInArrow(pairs, "a long, b long, n long")
-                          .groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "pairs")
+        packed = pa.schema([("bucket", pa.int32()), ("size", pa.int32()), ("pairs", pa.binary()), ("rare", pa.binary())])
+        seen = work.table(docs.filter(train).select("text").mapInArrow(pairs, "bucket int, size int, pairs binary, rare binary")
+                          .groupBy("bucket").applyInArrow(merge, "a long, b long, n long"), "pairs")
         # Words with what their failure arc carries: one row on either side of each join key.
         kept = F.greatest(F.col("n") - discount, F.lit(0.0))
         end_row = spark.createDataFrame([(None, n_texts, END)] if n_texts else [], "piece string, n long, h long")
@@ -153,7 +214,7 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", fold: i
 
         def keyed(batches):
             for batch in batches:
-                yield pa.record_batch({"key": pa.array(_key(batch.column(0).to_numpy(), batch.column(1).to_numpy())), "n": batch.column(2), "gain": batch.column(3)})
+                yield pa.record_batch({"key": pa.array(_key(batch.column(0).to_numpy(), batch.column(1).to_numpy(), places.value)), "n": batch.column(2), "gain": batch.column(3)})
 
         arcs = work.table(arcs.select("a", "b", "n", gain.alias("gain")).mapInArrow(keyed, "key long, n long, gain double"), "arcs")
         hot = spark.sparkContext.broadcast(Known(_most_frequent(arcs, arcs_head).select("key", "gain").toArrow()))
@@ -162,6 +223,7 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", fold: i
         learnt = n_texts > 0
 
         def score(batches):
+            number = TaskContext.get().partitionId() << 33
             for batch, _ in blocks(batches, "text"):
                 texts, starts, ends, first = _cut(batch.column(1))
                 hashes = slice_hashes(texts.data, starts, ends)
@@ -172,44 +234,69 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", fold: i
                 n_known = np.bincount(doc, here, minlength=texts.count).astype(np.int64)
                 base = np.bincount(doc, log, minlength=texts.count) + end_log
                 history, word, which = _pairs(hashes, first)
-                taken = hot.value.value(0, *hot.value.find(_key(history, word)), 0.0)
+                key = _key(history, word, places.value)
+                hit, place = hot.value.find(key)
+                taken = hot.value.value(0, hit, place, 0.0)
                 whole = base + end_fail + np.bincount(doc, fail, minlength=texts.count) + np.bincount(which, taken, minlength=texts.count)
-                yield pa.record_batch({
-                    "id": batch.column(0), "held_out": batch.column(2),
+                yield filled({
+                    "doc": pa.array(number + np.arange(texts.count)), "id": batch.column(0), "held_out": batch.column(2),
                     "n_tokens": pa.array(np.diff(first) + 1, pa.int64()), "n_known": pa.array(n_known + learnt, pa.int64()),
                     "base_score": pa.array(base), "score": pa.array(whole),
                     "rare": rare_pieces(texts, starts, ends, hashes, doc, ~here),
-                })
+                }, texts.count, batch.column(0).type)
+                if learnt:
+                    others = np.flatnonzero(~hit)
+                    one, n = distinct_within(key[others], which[others])
+                    key, which = key[others[one]], which[others[one]]
+                    parts = [(b, len(at), _pack(np.diff(key[at], prepend=np.int64(0)), which[at], n[at])) for b, at in _by_bucket(key, buckets)]
+                    if parts:
+                        bucket, size, data = zip(*parts)
+                        yield filled({"doc": pa.array([number] * len(parts), pa.int64()), "bucket": pa.array(bucket, pa.int32()), "size": pa.array(size, pa.int32()), "pairs": pa.array(data, pa.binary())},
+                                     len(parts), batch.column(0).type)
+                number += texts.count
 
-        def other_pairs(batches):
-            for batch, _ in blocks(batches, "text"):
-                texts, starts, ends, first = _cut(batch.column(1))
-                history, word, which = _pairs(slice_hashes(texts.data, starts, ends), first)
-                key = _key(history, word)
-                at = np.flatnonzero(~hot.value.find(key)[0])
-                one, n = distinct_within(which[at], key[at])
-                yield pa.record_batch({"id": batch.column(0).take(pa.array(which[at[one]])), "held_out": batch.column(2).take(pa.array(which[at[one]])),
-                                       "key": pa.array(key[at[one]]), "n": pa.array(n, pa.int32())})
-
-        scored = work.table(docs.select("id", "text", "held_out").mapInArrow(
-            score, f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<piece: string, n: long>>"), "documents")
+        def filled(columns, rows, id_type):
+            return pa.record_batch({name: columns[name] if name in columns else pa.nulls(rows, type_ or id_type) for name, type_ in layout.items()})
+
+        def gains(blocks_of_pairs, arcs_there):
+            found = Known(arcs_there.select(["key", "gain"]))
+            docs_, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
+            for number, size, data in zip(*(blocks_of_pairs.column(c).to_pylist() for c in ("doc", "size", "pairs"))):
+                key, which, n = _unpack(data, size, 3)
+                here, at = found.find(np.cumsum(key))
+                docs_.append(number + which[here])
+                sums.append(n[here] * found.values[0][at[here]] if here.any() else np.zeros(0))
+            doc, place = np.unique(np.concatenate(docs_), return_inverse=True)
+            return pa.table({"doc": doc, "score": np.bincount(place, np.concatenate(sums), minlength=len(doc)).astype(float)})
+
+        layout = {
+            "doc": pa.int64(), "id": None, "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64(),
+            "rare": pa.list_(pa.struct([("piece", pa.string()), ("n", pa.int64())])), "bucket": pa.int32(), "size": pa.int32(), "pairs": pa.binary(),
+        }
+        # Texts, and the pairs of each block of them whose arcs are not in the broadcast. A block's texts are numbered on from `doc`.
+        written = work.table(docs.select("id", "text", "held_out").mapInArrow(
+            score, f"doc long, id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<piece: string, n: long>>, bucket int, size int, pairs binary"), "documents")
+        scored = written.filter("bucket is null").select("doc", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare")
         log = F.col("n") * (F.log10(F.coalesce(F.col("c"), F.lit(0)) + 1.0) + F.lit(float(log_unknown)))
         fail = F.col("n") * F.log10(F.coalesce(F.col("rest"), F.lit(1.0)))
         rare = (
-            scored.select("id", "held_out", F.explode("rare").alias("r")).select("id", "held_out", "r.piece", "r.n")
+            scored.select("doc", F.explode("rare").alias("r")).select("doc", "r.piece", "r.n")
             .join(words.select("piece", F.col("n").alias("c"), "rest"), "piece", "left")
-            .groupBy("id", "held_out").agg(F.sum(log).alias("base_score"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_known"), F.sum(log + fail).alias("score"))
-            .select("id", "held_out", F.lit(0).cast("long").alias("n_tokens"), "n_known", "base_score", "score")
+            .groupBy("doc").agg(F.sum(log).alias("base_score"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_known"), F.sum(log + fail).alias("score"))
         )
         gained = (
-            docs.select("id", "text", "held_out").mapInArrow(other_pairs, f"id {kind}, held_out boolean, key long, n int")
-            .join(arcs.select("key", "gain"), "key").groupBy("id", "held_out").agg(F.sum(F.col("n") * F.col("gain")).alias("score"))
-            .select("id", "held_out", F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base_score"), "score")
+            written.filter("bucket is not null").select("bucket", "doc", "size", "pairs").groupBy("bucket")
+            .cogroup(arcs.select(F.pmod("key", F.lit(buckets)).cast("int").alias("bucket"), "key", "gain").groupBy("bucket"))
+            .applyInArrow(gains, "doc long, score double").groupBy("doc").agg(F.sum("score").alias("score"))
         )
         columns = ("n_tokens", "n_known", "base_score", "score")
-        summed = scored.drop("rare").unionByName(rare).unionByName(gained).groupBy("id", "held_out").agg(*[F.sum(c).alias(c) for c in columns])
+        summed = (
+            scored.drop("rare").unionByName(rare, allowMissingColumns=True).unionByName(gained, allowMissingColumns=True)
+            .groupBy("doc").agg(F.first("id", ignorenulls=True).alias("id"), F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in columns])
+            .groupBy("id", "held_out").agg(*[F.sum(c).alias(c) for c in columns])
+        )
         result = work.keep(summed.select(
             F.col("id").alias(id), "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score"))
-        known.unpersist()
-        hot.unpersist()
+        for broadcast in (known, hot, places):
+            broadcast.unpersist()
         return result

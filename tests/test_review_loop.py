@@ -138,3 +138,33 @@ def test_duplicate_behind_the_horizon_gives_no_second_record(spark, bank, tmp_pa
         stream = spark.readStream.schema(rows.schema).parquet(str(source))
         streams.start_gateway(stream, bank, paths, str(tmp_path / "cp"), "1 hour", once=True).awaitTermination()
     assert sorted(r.request_id for r in logs.read_log(spark, paths["audit"]).collect()) == ["1", "2", "3"]
+
+
+def test_batch_runs_with_few_partitions_of_state_and_adaptive_plans(spark, bank, tmp_path, monkeypatch):
+    paths = {n: str(tmp_path / n) for n in ("audit", "review", "vault")}
+    rows = frame(spark, [request(i, "analyst", "sql_query", "SELECT id FROM customers WHERE id = 1") for i in range(3)])
+    rows.write.parquet(str(tmp_path / "in"))
+    seen, whole = [], streams.process_batch
+
+    def watched(requests, *rest):
+        seen.append(tuple(requests.sparkSession.conf.get(f"spark.sql.{n}") for n in ("shuffle.partitions", "adaptive.enabled")))
+        whole(requests, *rest)
+
+    monkeypatch.setattr(streams, "process_batch", watched)
+    with streams.set_for(spark, {"spark.sql.shuffle.partitions": "150"}):
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        streams.start_gateway(stream, bank, paths, str(tmp_path / "cp"), once=True).awaitTermination()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "150"
+    parts = [n for n in os.listdir(tmp_path / "cp" / "state" / "0") if n.isdigit()]
+    assert len(parts) == min(150, streams.STATE_PARTITIONS * spark.sparkContext.defaultParallelism)
+    assert set(seen) == {("150", "true")} and logs.read_log(spark, paths["audit"]).count() == 3
+
+
+def test_kinds_that_nobody_calls_are_not_run(spark, bank, tmp_path, monkeypatch):
+    for name in ("query_rows", "row_texts", "lookup_outputs", "search_outputs"):
+        monkeypatch.setattr(gateway, name, lambda *a: 1 / 0)
+    admitted = gateway.admit(frame(spark, [request(1, "analyst", "sql_query", HELD.format(1)), request(2, "guest", "shell", None), request(3, "intern", "sql_query", "SELECT ssn FROM customers")]), CONTEXT)
+    log = gateway.finish(admitted, gateway.execute(admitted, bank, CONTEXT), CONTEXT)
+    assert {r.request_id: r.status for r in log.collect()} == {"1": "review_queued", "2": "rbac_denied", "3": "rbac_denied"}
+    streams.write_sinks(log, 0, {n: str(tmp_path / n) for n in ("audit", "review", "vault")})
+    assert logs.read_log(spark, str(tmp_path / "audit")).count() == 3

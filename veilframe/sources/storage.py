@@ -9,6 +9,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 
@@ -63,6 +64,11 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def nothing(spark: SparkSession, schema: str) -> DataFrame:
+    """A table without rows that the optimizer knows to be empty, so joins with it cost nothing."""
+    return spark.createDataFrame([], schema).filter(F.lit(False))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a scan with fewer splits than cores (small or unsplittable files) enough
     partitions for per-row work. Large scans pass through without a shuffle."""

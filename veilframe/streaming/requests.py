@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
-from pyspark.storagelevel import StorageLevel
 
 from veilframe import schemas
 from veilframe.operators.governed import Tables
@@ -24,6 +24,36 @@ from veilframe.sources.storage import durable, temporary
 PAYLOAD = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
+#: Partitions of a stream's state for each core. What a micro-batch costs beside its rows grows with them.
+STATE_PARTITIONS = 2
+_PARTITIONS, _ADAPTIVE = "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled"
+
+
+@contextmanager
+def set_for(spark: SparkSession, values: Mapping[str, str]) -> Iterator[None]:
+    """Settings of a session inside the with block."""
+    before = {name: spark.conf.get(name) for name in values}
+    try:
+        for name, value in values.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+@contextmanager
+def state_partitions(spark: SparkSession, count: int | None = None) -> Iterator[dict[str, str]]:
+    """A stream started inside has `count` partitions of state, by default a few for each core and no more
+    than other shuffles have; yields the settings that its batches are to run with. The first start
+    decides: the number belongs to the checkpoint."""
+    usual = int(spark.conf.get(_PARTITIONS))
+    count = count or min(usual, STATE_PARTITIONS * spark.sparkContext.defaultParallelism)
+    with set_for(spark, {_PARTITIONS: str(count)}):
+        # streams switch adaptive plans off, also for the plain tables of a batch
+        yield {_PARTITIONS: str(usual), _ADAPTIVE: spark.conf.get(_ADAPTIVE)}
+
+
 def deduplicate(requests: DataFrame, horizon: str, time: str = "ts") -> DataFrame:
     """One request per id within ``horizon``. A duplicate after it passes; the path ``seen`` of
     ``process_batch`` holds those back."""
@@ -58,20 +88,18 @@ def process_batch(
 
 
 def write_sinks(log: DataFrame, batch_id: int | str, paths: Mapping[str, str], latency_ms: Column | None = None) -> None:
-    log = log.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        time = F.col("ts")
-        if "totals" in paths:
-            write_batch(gateway.audit_totals(log, time), paths["totals"], batch_id)
-        if "held" in paths:
-            write_batch(held_requests(log), paths["held"], batch_id)
-        write_batch(gateway.audit_rows(log, time, latency_ms), paths["audit"], batch_id)
-        write_batch(gateway.review_entries(log, time), paths["review"], batch_id)
-        write_batch(gateway.vault_entries(log, time), paths["vault"], batch_id)
-        if "manifest" in paths:
-            commit(log.sparkSession, paths["manifest"], batch_id, [name for name in paths if name not in ("manifest", "seen")])
-    finally:
-        log.unpersist()
+    """The sinks of a batch from its result, which is stored once: a cached one would keep as many
+    partitions as its last shuffle, and each sink a file for each of them."""
+    log, time = durable(log, "log"), F.col("ts")
+    if "totals" in paths:
+        write_batch(gateway.audit_totals(log, time), paths["totals"], batch_id)
+    if "held" in paths:
+        write_batch(held_requests(log), paths["held"], batch_id)
+    write_batch(gateway.audit_rows(log, time, latency_ms), paths["audit"], batch_id)
+    write_batch(gateway.review_entries(log, time), paths["review"], batch_id)
+    write_batch(gateway.vault_entries(log, time), paths["vault"], batch_id)
+    if "manifest" in paths:
+        commit(log.sparkSession, paths["manifest"], batch_id, [name for name in paths if name not in ("manifest", "seen")])
 
 
 def held_requests(log: DataFrame) -> DataFrame:
@@ -92,19 +120,22 @@ def start_gateway(
     context: Context = Context(), once: bool = False,
 ) -> StreamingQuery:
     """Start the request stream. ``once`` processes what is there and stops."""
-    writer = (
-        deduplicate(requests, horizon)
-        .writeStream.option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda df, batch_id: process_batch(df, batch_id, tables, paths, context))
-    )
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    with state_partitions(requests.sparkSession) as settings:
+
+        def run(df: DataFrame, batch_id: int) -> None:
+            with set_for(df.sparkSession, settings):
+                process_batch(df, batch_id, tables, paths, context)
+
+        writer = deduplicate(requests, horizon).writeStream.option("checkpointLocation", checkpoint).foreachBatch(run)
+        return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def run_to_table(stream: DataFrame, spark: SparkSession, path: str, checkpoint: str) -> DataFrame:
     """Process the available input of a stream into a table and read it."""
-    query = (
-        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start()
-    )
+    with state_partitions(spark):
+        query = (
+            stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+            .outputMode("append").trigger(availableNow=True).start()
+        )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)

@@ -18,7 +18,7 @@ from veilframe.plans import gateway
 from veilframe.plans.gateway import Context
 from veilframe.sources.commits import is_committed
 from veilframe.sources.storage import durable, temporary
-from veilframe.streaming.requests import PAYLOAD, admission, write_sinks
+from veilframe.streaming.requests import PAYLOAD, admission, set_for, state_partitions, write_sinks
 from veilframe.streaming.review import REVIEW_HOURS, gate
 
 
@@ -57,9 +57,11 @@ def start_reviews(
     ``decisions``: ``schemas.REVIEW_EVENTS`` of kinds decision and cancel, which may come before or
     after their request. ``once`` processes what is there and stops."""
     events = held.unionByName(decisions.withColumn("payload", F.lit(None).cast("string")))
-    writer = (
-        gate(events, lateness, hours)
-        .writeStream.option("checkpointLocation", checkpoint).outputMode("append")
-        .foreachBatch(lambda df, batch_id: process_outcomes(df, batch_id, tables, paths, context))
-    )
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    with state_partitions(held.sparkSession) as settings:
+
+        def run(df: DataFrame, batch_id: int) -> None:
+            with set_for(df.sparkSession, settings):
+                process_outcomes(df, batch_id, tables, paths, context)
+
+        writer = gate(events, lateness, hours).writeStream.option("checkpointLocation", checkpoint).outputMode("append").foreachBatch(run)
+        return (writer.trigger(availableNow=True) if once else writer).start()

@@ -152,6 +152,42 @@ def test_language_model_moves_pairs_packed():
     assert [c.tolist() for c in language_model._unpack(data, len(key), 2)] == [c.tolist() for c in column]
 
 
+def test_language_model_looks_words_up_once_and_sums_before_rows():
+    """Keys of whole texts equal those of single pairs; gains of a block's texts are one sum each."""
+    import pyarrow as pa
+
+    from veilframe.llm import language_model as m
+
+    places = m.Known(pa.table({"h": np.array([m.END, 5, 9, -3])}))
+    history, word = np.array([m.END, 5, 7, m.END, 9]), np.array([5, 7, m.END, 9, m.END])
+    key, here, at = m._text_keys(history, word, places)
+    assert key.tolist() == m._key(history, word, places.find(history), places.find(word)).tolist()
+    assert here.tolist() == [True, False, True, True, True] and places.key[at[here]].tolist() == [5, m.END, 9, m.END]
+    key, which, n = m._distinct_pairs(np.array([4, 2, 4, 4, 2]), np.array([0, 0, 0, 1, 2]))
+    assert list(zip(key.tolist(), which.tolist(), n.tolist())) == [(2, 0, 1), (2, 2, 1), (4, 0, 2), (4, 1, 1)]
+    there, sums = m._sum_within(np.array([7, 2, 7]), np.array([0.5, 1.0, 0.25]))
+    assert (there.tolist(), sums.tolist()) == ([2, 7], [1.0, 0.75])
+
+
+def test_language_model_frees_its_tables(spark, monkeypatch):
+    """What nothing reads any more is gone before texts are scored."""
+    import os
+
+    from veilframe.llm import language_model
+    from veilframe.llm.store import Workspace
+
+    write, there = Workspace.table, []
+
+    def watched(work, df, name):
+        if name == "documents":
+            there.extend(sorted(n for n in os.listdir(work.path("").split(":")[-1]) if not n.startswith(".")))
+        return write(work, df, name)
+
+    monkeypatch.setattr(Workspace, "table", watched)
+    assert len(language_model.score_texts(frame(spark)).collect()) == len({i for i, *_ in rows()})
+    assert there == ["arcs", "words"]
+
+
 def test_language_model_of_little(spark):
     from veilframe.llm.language_model import score_texts
 

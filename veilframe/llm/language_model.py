@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from veilframe.llm.counting import HEAD, piece_counts, rare_pieces
 from veilframe.llm.store import Workspace
-from veilframe.llm.text import Texts, blocks, distinct_within, mix, run_ids, slice_hashes
+from veilframe.llm.text import Texts, blocks, mix, run_ids, slice_hashes
 
 #: Arcs in the broadcast lookup, 16 bytes each; texts get the others by a join.
 ARCS = 1 << 20
@@ -54,16 +54,47 @@ def _hash(history: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(mix(history.view(np.uint64)) * np.uint64(0xD1342543DE82EF95) + word.view(np.uint64)).view(np.int64) | np.int64(-1 << 63)
 
 
-def _key(history: np.ndarray, word: np.ndarray, places: Known) -> np.ndarray:
-    """One number for a pair: the places of both words if they have one, else its hash."""
-    here, at = places.find(history)
-    here_b, at_b = places.find(word)
+def _key(history: np.ndarray, word: np.ndarray, found: tuple[np.ndarray, np.ndarray], found_b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """One number for a pair: the places of both words if they have one, else its hash. `found`: which
+    of the words have a place, and which place."""
+    (here, at), (here_b, at_b) = found, found_b
     key = at << 32 | at_b
     other = ~(here & here_b)
     key[other] = _hash(history[other], word[other])
     return key
 
 
+def _text_keys(history: np.ndarray, word: np.ndarray, places: Known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of the pairs of whole texts, whose histories are the words before, so that words are
+    looked up once; and which of the words have a place, and which place."""
+    here, at = places.find(word)
+    if not len(word):
+        return word, here, at
+    end = places.find(np.array([END]))
+    after_end = history == END
+    before = [np.where(after_end, e[0], np.concatenate((e, w[:-1]))) for e, w in zip(end, (here, at))]
+    return _key(history, word, (before[0], before[1]), (here, at)), here, at
+
+
+def _distinct_pairs(key: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, which) in this order and how often each occurs; `which` comes in ascending order."""
+    order = np.argsort(key, kind="stable")
+    key, which = key[order], which[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (which[1:] != which[:-1])
+    first = np.flatnonzero(new)
+    return key[first], which[first], np.diff(np.append(first, len(key)))
+
+
+def _sum_within(which: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which ones occur, in ascending order, and the sum of the values of each."""
+    if not len(which):
+        return which, values
+    sums = np.bincount(which, values)
+    there = np.flatnonzero(np.bincount(which))
+    return there, sums[there]
+
+
 def _pack(*columns: np.ndarray) -> bytes:
     """Columns of 64-bit numbers, compressed byte by byte."""
     return pa.compress(b"".join(c.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns), codec="zstd", asbytes=True)
@@ -77,7 +108,7 @@ def _unpack(data: bytes, size: int, columns: int) -> list[np.ndarray]:
 def _by_bucket(key: np.ndarray, buckets: int):
     """Each bucket that has some of these keys, and where they are, in their order."""
     bucket = key % buckets
-    order = np.argsort(bucket.astype(np.int32), kind="stable")
+    order = np.argsort(bucket.astype(np.int16 if buckets < 1 << 15 else np.int32), kind="stable")  # 16 bits: a radix sort
     cuts = np.append(0, np.cumsum(np.bincount(bucket, minlength=buckets)))
     for b in np.flatnonzero(np.diff(cuts)):
         yield int(b), order[cuts[b]:cuts[b + 1]]
@@ -91,6 +122,13 @@ class Known:
         order = np.argsort(key)
         self.key, self.values = key[order], [v[order] for v in values]
 
+    def aligned(self, keys: np.ndarray) -> Known:
+        """These sorted keys with the values they have here; all of them are here, or this is empty."""
+        if len(self.key):
+            _, at = self.find(keys)
+            self.key, self.values = keys, [v[at] for v in self.values]
+        return self
+
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of these are here, and where (0 for the others)."""
         if not len(self.key):
@@ -156,7 +194,14 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", fold: i
                 if alphabet is not None:
                     both = np.isin(history, alphabet.value) & np.isin(word, alphabet.value)
                     history, word = history[both], word[both]
-                key, where, n = np.unique(_key(history, word, places.value), return_index=True, return_counts=True)
+                    found, found_b = places.value.find(history), places.value.find(word)
+                    key = _key(history, word, found, found_b)
+                else:
+                    key, _, _ = _text_keys(history, word, places.value)
+                order = np.argsort(key)
+                ordered = key[order]
+                first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(key) else order
+                key, where, n = ordered[first], order[first], np.diff(np.append(first, len(key)))
                 rows = []
                 for bucket, at in _by_bucket(key, buckets):
                     rare = where[at[key[at] < 0]]
@@ -191,7 +236,9 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", fold: i
         given = seen.groupBy(F.col("a").alias("h")).agg(F.sum(kept).alias("given"))
         rest = F.greatest(F.lit(1e-12), F.least(F.lit(1.0), 1 - F.coalesce("given", F.lit(0.0)) / F.col("n")))
         words = work.table(unigrams.unionByName(end_row).join(given, "h", "left").select("piece", "h", "n", rest.alias("rest")), "words")
-        known = spark.sparkContext.broadcast(Known(words.orderBy(F.desc("n"), "h").limit(head).select("h", "n", "rest").toArrow()))
+        frequent = Known(words.join(F.broadcast(spark.createDataFrame(pa.table({"h": places.value.key}))), "h", "left_semi").select("h", "n", "rest").toArrow())
+        known = spark.sparkContext.broadcast(frequent.aligned(places.value.key))  # a word's place is its row
+        learnt = n_texts > 0
         log_unknown = -np.log10(total + kinds + 1)
 
         def look_up(batches):
@@ -214,27 +261,30 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", fold: i
 
         def keyed(batches):
             for batch in batches:
-                yield pa.record_batch({"key": pa.array(_key(batch.column(0).to_numpy(), batch.column(1).to_numpy(), places.value)), "n": batch.column(2), "gain": batch.column(3)})
+                a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                yield pa.record_batch({"key": pa.array(_key(a, b, places.value.find(a), places.value.find(b))), "n": batch.column(2), "gain": batch.column(3)})
 
         arcs = work.table(arcs.select("a", "b", "n", gain.alias("gain")).mapInArrow(keyed, "key long, n long, gain double"), "arcs")
+        for name in ("unigrams", "pairs", "looked-up"):  # read no more
+            work.delete(work.path(name))
         hot = spark.sparkContext.broadcast(Known(_most_frequent(arcs, arcs_head).select("key", "gain").toArrow()))
         end = words.filter(F.col("h") == END).first()
         end_log, end_fail = float(np.log10(n_texts + 1.0) + log_unknown), float(np.log10(end.rest)) if end else 0.0
-        learnt = n_texts > 0
 
         def score(batches):
             number = TaskContext.get().partitionId() << 33
             for batch, _ in blocks(batches, "text"):
                 texts, starts, ends, first = _cut(batch.column(1))
                 hashes = slice_hashes(texts.data, starts, ends)
-                here, at = known.value.find(hashes.view(np.int64))
+                history, word, which = _pairs(hashes, first)
+                key, here, at = _text_keys(history, word, places.value)
+                own = np.arange(len(hashes)) + run_ids(first)  # the words among the tokens, without the ends
+                here, at = here[own] & learnt, at[own]
                 log = np.where(here, np.log10(known.value.value(0, here, at, 0) + 1.0) + log_unknown, 0.0)
                 fail = np.log10(known.value.value(1, here, at, 1.0))
                 doc = run_ids(first)
                 n_known = np.bincount(doc, here, minlength=texts.count).astype(np.int64)
                 base = np.bincount(doc, log, minlength=texts.count) + end_log
-                history, word, which = _pairs(hashes, first)
-                key = _key(history, word, places.value)
                 hit, place = hot.value.find(key)
                 taken = hot.value.value(0, hit, place, 0.0)
                 whole = base + end_fail + np.bincount(doc, fail, minlength=texts.count) + np.bincount(which, taken, minlength=texts.count)
@@ -246,8 +296,7 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", fold: i
                 }, texts.count, batch.column(0).type)
                 if learnt:
                     others = np.flatnonzero(~hit)
-                    one, n = distinct_within(key[others], which[others])
-                    key, which = key[others[one]], which[others[one]]
+                    key, which, n = _distinct_pairs(key[others], which[others])
                     parts = [(b, len(at), _pack(np.diff(key[at], prepend=np.int64(0)), which[at], n[at])) for b, at in _by_bucket(key, buckets)]
                     if parts:
                         bucket, size, data = zip(*parts)
@@ -260,15 +309,21 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", fold: i
 
         def gains(blocks_of_pairs, arcs_there):
             found = Known(arcs_there.select(["key", "gain"]))
-            docs_, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
+            rows = []
             for number, size, data in zip(*(blocks_of_pairs.column(c).to_pylist() for c in ("doc", "size", "pairs"))):
                 key, which, n = _unpack(data, size, 3)
                 here, at = found.find(np.cumsum(key))
-                docs_.append(number + which[here])
-                sums.append(n[here] * found.values[0][at[here]] if here.any() else np.zeros(0))
-            doc, place = np.unique(np.concatenate(docs_), return_inverse=True)
-            return pa.table({"doc": doc, "score": np.bincount(place, np.concatenate(sums), minlength=len(doc)).astype(float)})
+                if here.any():
+                    there, sums = _sum_within(which[here], n[here] * found.values[0][at[here]])
+                    rows.append({"block": number, "size": len(there), "sums": _pack(there, sums.view(np.int64))})
+            return pa.Table.from_pylist(rows, gained_rows)
+
+        def add_up(table):
+            parts = [_unpack(data, size, 2) for size, data in zip(table.column("size").to_pylist(), table.column("sums").to_pylist())]
+            there, sums = _sum_within(np.concatenate([p[0] for p in parts]), np.concatenate([p[1].view(np.float64) for p in parts]))
+            return pa.table({"doc": table.column("block")[0].as_py() + there, "score": sums})
 
+        gained_rows = pa.schema([("block", pa.int64()), ("size", pa.int32()), ("sums", pa.binary())])
         layout = {
             "doc": pa.int64(), "id": None, "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64(),
             "rare": pa.list_(pa.struct([("piece", pa.string()), ("n", pa.int64())])), "bucket": pa.int32(), "size": pa.int32(), "pairs": pa.binary(),
@@ -287,7 +342,7 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", fold: i
         gained = (
             written.filter("bucket is not null").select("bucket", "doc", "size", "pairs").groupBy("bucket")
             .cogroup(arcs.select(F.pmod("key", F.lit(buckets)).cast("int").alias("bucket"), "key", "gain").groupBy("bucket"))
-            .applyInArrow(gains, "doc long, score double").groupBy("doc").agg(F.sum("score").alias("score"))
+            .applyInArrow(gains, "block long, size int, sums binary").groupBy("block").applyInArrow(add_up, "doc long, score double")
         )
         columns = ("n_tokens", "n_known", "base_score", "score")
         summed = (

@@ -218,3 +218,26 @@ def test_every_account_comes_back(spark):
     calls = spark.createDataFrame([("compliance_officer", "1")], "role string, call_key string")
     (row,) = lookup.lookup_outputs(calls, customers, accounts, 10**6).collect()
     assert [a["id"] for a in json.loads(row.output)["accounts"]] == list(range(1500))
+
+
+def test_by_row_runs_called_kinds_only_and_scans_evenly(spark, bank, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from veilframe.plans import gateway
+
+    for name in ("lookup_rows", "search_rows"):
+        monkeypatch.setattr(gateway, name, lambda *a: 1 / 0)
+    store, stored = gateway.durable, {}
+
+    def watched(df, name):
+        stored[name] = df._jdf.queryExecution().analyzed().toString()
+        return store(df, name)
+
+    monkeypatch.setattr(gateway, "durable", watched)
+    rows = [request(1, "analyst", "sql_query", "SELECT id FROM customers WHERE id = 1"), request(2, "intern", "sql_query", "SELECT ssn FROM customers")]
+    log = gateway.run_requests_by_row(frame(spark, rows), bank)
+    assert {r.request_id: r.status for r in log.collect()} == {"1": "success", "2": "rbac_denied"}
+    assert stored["result-rows"].startswith("RepartitionByExpression")
+    one = spark.range(0, 4000, 1, 1).select(F.lit("q").alias("call_key"), F.lit(0).alias("page"), F.col("id").alias("position"))
+    parts = gateway._evenly(one).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert sum(r["count"] for r in parts) == 4000

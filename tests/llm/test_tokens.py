@@ -188,6 +188,52 @@ def test_language_model_frees_its_tables(spark, monkeypatch):
     assert there == ["arcs", "words"]
 
 
+def test_hashing_words_holds_little():
+    """Hashes of a block's words equal those of each word alone, and take little more memory than themselves."""
+    import tracemalloc
+
+    from veilframe.llm.text import HASHED_BYTES, Texts, slice_hashes
+
+    rng = np.random.default_rng(6)
+    words = ["x" * int(n) for n in rng.integers(1, 9, 1_000_000)] + ["y" * (HASHED_BYTES + 5), "z", "x"]
+    texts = Texts(pa.array([" ".join(words)]))
+    starts, ends, _ = texts.words()
+    slice_hashes(texts.data[:1000], starts[:9], ends[:9])
+    tracemalloc.start()
+    hashes = slice_hashes(texts.data, starts, ends)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(texts.data)  # sums, values and powers of all bytes took five times that
+    at = np.append(rng.integers(0, len(words), 300), [0, len(words) - 3, len(words) - 2, len(words) - 1])
+    for i in at:
+        alone = np.frombuffer(words[i].encode(), np.uint8)
+        assert hashes[i] == slice_hashes(alone, np.array([0]), np.array([len(alone)]))[0]
+    empty = np.zeros(0, np.int64)
+    assert len(slice_hashes(texts.data, empty, empty)) == 0
+    assert len(set(slice_hashes(texts.data[:4], np.array([0, 4, 4]), np.array([0, 4, 4])).tolist())) == 1
+
+
+def test_language_model_names_the_words_of_pairs():
+    """Pairs that are chosen get their words by place, or from the list of those without places."""
+    from veilframe.llm.language_model import _words_of
+
+    places = np.array([50, 60, 70])
+    key = np.array([-9, -4, 1 << 32, 2, -9, 2 << 32 | 1])
+    a, b = _words_of(key, np.array([4, 5, 1, 3]), np.array([1, 2, 3]), np.array([4, 5, 6]), places)
+    assert (a.tolist(), b.tolist()) == ([3, 70, 2, 50], [6, 60, 5, 70])
+
+
+def test_language_model_starts_no_second_kind_of_worker(spark, monkeypatch):
+    """Rows made by Python's parallelize would start workers of their own, which stay in an executor's memory."""
+    from pyspark import SparkContext
+
+    from veilframe.llm.language_model import score_texts
+
+    docs = frame(spark)
+    monkeypatch.setattr(SparkContext, "parallelize", lambda *a, **b: pytest.fail("parallelize"))
+    assert len(score_texts(docs).collect()) == len({i for i, *_ in rows()})
+
+
 def test_language_model_of_little(spark):
     from veilframe.llm.language_model import score_texts
 

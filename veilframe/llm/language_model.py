@@ -64,6 +64,16 @@ def _key(history: np.ndarray, word: np.ndarray, found: tuple[np.ndarray, np.ndar
     return key
 
 
+def _words_of(key: np.ndarray, at: np.ndarray, rare_a: np.ndarray, rare_b: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both words of the pairs key[at]. The pairs without places have theirs in rare_a and rare_b, in the order of `key`."""
+    chosen = key[at]
+    a, b, other = chosen >> 32, chosen & 0xFFFFFFFF, chosen < 0
+    a[~other], b[~other] = words[a[~other]], words[b[~other]]
+    nth = np.cumsum(key < 0)[at[other]] - 1
+    a[other], b[other] = rare_a[nth], rare_b[nth]
+    return a, b
+
+
 def _text_keys(history: np.ndarray, word: np.ndarray, places: Known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The keys of the pairs of whole texts, whose histories are the words before, so that words are
     looked up once; and which of the words have a place, and which place."""
@@ -189,57 +199,61 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", fold: i
 
         def pairs(batches):
             for batch, _ in blocks(batches, "text"):
-                texts, starts, ends, first = _cut(batch.column(0))
-                history, word, _ = _pairs(slice_hashes(texts.data, starts, ends), first)
-                if alphabet is not None:
-                    both = np.isin(history, alphabet.value) & np.isin(word, alphabet.value)
-                    history, word = history[both], word[both]
-                    found, found_b = places.value.find(history), places.value.find(word)
-                    key = _key(history, word, found, found_b)
-                else:
-                    key, _, _ = _text_keys(history, word, places.value)
-                order = np.argsort(key)
-                ordered = key[order]
-                first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(key) else order
-                key, where, n = ordered[first], order[first], np.diff(np.append(first, len(key)))
-                rows = []
-                for bucket, at in _by_bucket(key, buckets):
-                    rare = where[at[key[at] < 0]]
-                    rows.append({"bucket": bucket, "size": len(at), "pairs": _pack(np.diff(key[at], prepend=np.int64(0)), n[at]), "rare": _pack(history[rare], word[rare])})
-                if rows:
+                if rows := counted(batch.column(0)):
                     yield pa.RecordBatch.from_pylist(rows, packed)
 
+        def counted(column):
+            texts, starts, ends, first = _cut(column)
+            history, word, _ = _pairs(slice_hashes(texts.data, starts, ends), first)
+            del texts, starts, ends
+            if alphabet is not None:
+                both = np.isin(history, alphabet.value) & np.isin(word, alphabet.value)
+                history, word = history[both], word[both]
+                found, found_b = places.value.find(history), places.value.find(word)
+                key = _key(history, word, found, found_b)
+            else:
+                key, _, _ = _text_keys(history, word, places.value)
+            order = np.argsort(key)
+            ordered = key[order]
+            first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(key) else order
+            key, where, n = ordered[first], order[first], np.diff(np.append(first, len(key)))
+            rows = []
+            for bucket, at in _by_bucket(key, buckets):
+                rare = where[at[key[at] < 0]]
+                rows.append({"bucket": bucket, "size": len(at), "pairs": _pack(np.diff(key[at], prepend=np.int64(0)), n[at]), "rare": _pack(history[rare], word[rare])})
+            return rows
+
         def merge(table):
-            sizes, found = table.column("size").to_pylist(), []
-            for size, data, rare in zip(sizes, table.column("pairs").to_pylist(), table.column("rare").to_pylist()):
-                key, n = _unpack(data, size, 2)
+            found = []
+            for size, data, rare in zip(*(table.column(c) for c in ("size", "pairs", "rare"))):
+                key, n = _unpack(data.as_py(), size.as_py(), 2)
                 key = np.cumsum(key)
-                a, b = key >> 32, key & 0xFFFFFFFF
-                other = key < 0
-                a[~other], b[~other] = places.value.key[a[~other]], places.value.key[b[~other]]
-                a[other], b[other] = _unpack(rare, int(other.sum()), 2)
-                found.append((key, a, b, n))
-            key, a, b, n = (np.concatenate(c) for c in zip(*found))
+                found.append((key, n, *_unpack(rare.as_py(), int((key < 0).sum()), 2)))
+            key, n, rare_a, rare_b = (np.concatenate(c) for c in zip(*found))
+            del found
             order = np.argsort(key, kind="stable")
             first = np.flatnonzero(np.diff(key[order], prepend=key[order[0]] - 1))
             sums = np.add.reduceat(n[order], first)
             often = sums >= least
             at = order[first[often]]
-            return pa.table({"a": a[at], "b": b[at], "n": sums[often]})
+            a, b = _words_of(key, at, rare_a, rare_b, places.value.key)
+            return pa.table({"a": a, "b": b, "n": sums[often]})
 
         packed = pa.schema([("bucket", pa.int32()), ("size", pa.int32()), ("pairs", pa.binary()), ("rare", pa.binary())])
         seen = work.table(docs.filter(train).select("text").mapInArrow(pairs, "bucket int, size int, pairs binary, rare binary")
                           .groupBy("bucket").applyInArrow(merge, "a long, b long, n long"), "pairs")
         # Words with what their failure arc carries: one row on either side of each join key.
         kept = F.greatest(F.col("n") - discount, F.lit(0.0))
-        end_row = spark.createDataFrame([(None, n_texts, END)] if n_texts else [], "piece string, n long, h long")
+        end_row = spark.range(1 if n_texts else 0).select(F.lit(None).cast("string").alias("piece"), F.lit(n_texts).cast("long").alias("n"), F.lit(END).alias("h"))
         given = seen.groupBy(F.col("a").alias("h")).agg(F.sum(kept).alias("given"))
         rest = F.greatest(F.lit(1e-12), F.least(F.lit(1.0), 1 - F.coalesce("given", F.lit(0.0)) / F.col("n")))
         words = work.table(unigrams.unionByName(end_row).join(given, "h", "left").select("piece", "h", "n", rest.alias("rest")), "words")
         frequent = Known(words.join(F.broadcast(spark.createDataFrame(pa.table({"h": places.value.key}))), "h", "left_semi").select("h", "n", "rest").toArrow())
-        known = spark.sparkContext.broadcast(frequent.aligned(places.value.key))  # a word's place is its row
         learnt = n_texts > 0
         log_unknown = -np.log10(total + kinds + 1)
+        frequent = frequent.aligned(places.value.key)  # a word's place is its row
+        frequent.values += [np.log10(frequent.values[0] + 1.0) + log_unknown, np.log10(frequent.values[1])]  # n, rest and their logarithms
+        known = spark.sparkContext.broadcast(frequent)
 
         def look_up(batches):
             for batch in batches:
@@ -274,35 +288,43 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", fold: i
         def score(batches):
             number = TaskContext.get().partitionId() << 33
             for batch, _ in blocks(batches, "text"):
-                texts, starts, ends, first = _cut(batch.column(1))
-                hashes = slice_hashes(texts.data, starts, ends)
-                history, word, which = _pairs(hashes, first)
-                key, here, at = _text_keys(history, word, places.value)
-                own = np.arange(len(hashes)) + run_ids(first)  # the words among the tokens, without the ends
-                here, at = here[own] & learnt, at[own]
-                log = np.where(here, np.log10(known.value.value(0, here, at, 0) + 1.0) + log_unknown, 0.0)
-                fail = np.log10(known.value.value(1, here, at, 1.0))
-                doc = run_ids(first)
-                n_known = np.bincount(doc, here, minlength=texts.count).astype(np.int64)
-                base = np.bincount(doc, log, minlength=texts.count) + end_log
-                hit, place = hot.value.find(key)
-                taken = hot.value.value(0, hit, place, 0.0)
-                whole = base + end_fail + np.bincount(doc, fail, minlength=texts.count) + np.bincount(which, taken, minlength=texts.count)
-                yield filled({
-                    "doc": pa.array(number + np.arange(texts.count)), "id": batch.column(0), "held_out": batch.column(2),
-                    "n_tokens": pa.array(np.diff(first) + 1, pa.int64()), "n_known": pa.array(n_known + learnt, pa.int64()),
-                    "base_score": pa.array(base), "score": pa.array(whole),
-                    "rare": rare_pieces(texts, starts, ends, hashes, doc, ~here),
-                }, texts.count, batch.column(0).type)
-                if learnt:
-                    others = np.flatnonzero(~hit)
-                    key, which, n = _distinct_pairs(key[others], which[others])
-                    parts = [(b, len(at), _pack(np.diff(key[at], prepend=np.int64(0)), which[at], n[at])) for b, at in _by_bucket(key, buckets)]
-                    if parts:
-                        bucket, size, data = zip(*parts)
-                        yield filled({"doc": pa.array([number] * len(parts), pa.int64()), "bucket": pa.array(bucket, pa.int32()), "size": pa.array(size, pa.int32()), "pairs": pa.array(data, pa.binary())},
-                                     len(parts), batch.column(0).type)
-                number += texts.count
+                yield from scored_block(batch, number)
+                number += batch.num_rows
+
+        def scored_block(batch, number):
+            texts, starts, ends, first = _cut(batch.column(1))
+            doc, hashes = run_ids(first), slice_hashes(texts.data, starts, ends)
+            key, here, at, which, hit, taken = found_arcs(hashes, first, texts.count)
+            here &= learnt
+            base = np.bincount(doc, known.value.value(2, here, at, 0.0), minlength=texts.count) + end_log
+            fail = np.bincount(doc, known.value.value(3, here, at, 0.0), minlength=texts.count)
+            n_known = np.bincount(doc, here, minlength=texts.count).astype(np.int64)
+            del at
+            yield filled({
+                "doc": pa.array(number + np.arange(texts.count)), "id": batch.column(0), "held_out": batch.column(2),
+                "n_tokens": pa.array(np.diff(first) + 1, pa.int64()), "n_known": pa.array(n_known + learnt, pa.int64()),
+                "base_score": pa.array(base), "score": pa.array(base + end_fail + fail + taken),
+                "rare": rare_pieces(texts, starts, ends, hashes, doc, ~here),
+            }, texts.count, batch.column(0).type)
+            del texts, starts, ends, hashes, doc, here
+            if learnt:
+                key, which, n = _distinct_pairs(key[~hit], which[~hit])
+                parts = [(b, len(at), _pack(np.diff(key[at], prepend=np.int64(0)), which[at], n[at])) for b, at in _by_bucket(key, buckets)]
+                if parts:
+                    bucket, size, data = zip(*parts)
+                    yield filled({"doc": pa.array([number] * len(parts), pa.int64()), "bucket": pa.array(bucket, pa.int32()), "size": pa.array(size, pa.int32()), "pairs": pa.array(data, pa.binary())},
+                                 len(parts), batch.column(0).type)
+
+        def found_arcs(hashes, first, count):
+            """The key of each token's pair and its text, which words have a place and which place, whether the
+            pair is in the broadcast, and the sum of the broadcast's gains for each text."""
+            history, word, which = _pairs(hashes, first)
+            key, here, at = _text_keys(history, word, places.value)
+            own = np.arange(len(hashes)) + run_ids(first)  # the words among the tokens, without the ends
+            here, at = here[own], at[own]
+            del history, word, own
+            hit, place = hot.value.find(key)
+            return key, here, at, which, hit, np.bincount(which, hot.value.value(0, hit, place, 0.0), minlength=count)
 
         def filled(columns, rows, id_type):
             return pa.record_batch({name: columns[name] if name in columns else pa.nulls(rows, type_ or id_type) for name, type_ in layout.items()})

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.cases import crc_mod, frame, lowered, rows
 
@@ -223,6 +224,18 @@ def test_language_model_names_the_words_of_pairs():
     assert (a.tolist(), b.tolist()) == ([3, 70, 2, 50], [6, 60, 5, 70])
 
 
+def test_language_model_sorts_only_frequent_words(spark):
+    """The most frequent words are found among little more than themselves."""
+    from veilframe.llm.language_model import _upper
+
+    words = spark.createDataFrame([(f"w{k}", 1 + 5000 // (k % 5000 + 1)) for k in range(10_000)], "piece string, n long").repartition(4)
+    top = lambda df, n: [r.piece for r in df.orderBy(F.desc("n"), "piece").limit(n).collect()]
+    for n in (0, 1, 7, 100, 20_000):
+        assert top(_upper(words, n), n) == top(words, n)
+    assert 100 <= _upper(words, 100).count() < 130 and _upper(words, 20_000).count() == 10_000
+    assert _upper(words.limit(0), 5).collect() == []
+
+
 def test_language_model_starts_no_second_kind_of_worker(spark, monkeypatch):
     """Rows made by Python's parallelize would start workers of their own, which stay in an executor's memory."""
     from pyspark import SparkContext

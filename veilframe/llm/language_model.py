@@ -163,6 +163,18 @@ def _most_frequent(arcs: DataFrame, most: int) -> DataFrame:
     return arcs.filter(size >= least) if least is not None else arcs.limit(0)
 
 
+def _upper(words: DataFrame, least: int) -> DataFrame:
+    """The words of the upper logarithmic classes that hold at least so many together, all if there are fewer:
+    the most frequent ones are among these, so that one task need not sort those of the whole vocabulary."""
+    size = F.floor(F.log2("n") * 8)
+    sum_ = 0
+    for r in words.groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect():  # at most 8 * 64 rows
+        sum_ += r["count"]
+        if sum_ >= least:
+            return words.filter(size >= r["size"])
+    return words
+
+
 def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", fold: int = 7, held: int = 2, states: int | None = None, least: int = 2, discount: float = DISCOUNT, head: int = HEAD, arcs_head: int = ARCS) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) per id.
 
@@ -193,7 +205,7 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", fold: i
             top = unigrams.orderBy(F.desc("n"), "piece").limit(states - 1).select("h").toArrow().column(0).to_numpy()
             alphabet = spark.sparkContext.broadcast(np.append(top, END))
 
-        head_words = unigrams.orderBy(F.desc("n"), "piece").limit(head).select("h").toArrow().column(0).to_numpy()
+        head_words = _upper(unigrams, head).orderBy(F.desc("n"), "piece").limit(head).select("h").toArrow().column(0).to_numpy()
         places = spark.sparkContext.broadcast(Known(pa.table({"h": np.append(head_words, END)})))
         buckets = int(n_words // BUCKET_TOKENS) | 1
 

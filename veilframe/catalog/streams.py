@@ -179,6 +179,7 @@ def gateway_vault(spark: SparkSession, sf: str) -> DataFrame:
         streams.process_batch(requests.filter(F.col("request_id").cast("long") % 2 == batch), batch, fixtures.bank(sf), paths, context)
     logs.write_batch(logs.read_log(spark, paths["audit"]).limit(10), paths["audit"], 2)
     commits.merge(spark, paths, commits.SINKS, "merged")
+    commits.clean(spark, paths, list(commits.SINKS))  # nobody else reads what was merged
     read = {name: commits.read_committed(spark, paths[name], paths["manifest"], name, schema) for name, schema in commits.SINKS.items()}
     records = read["audit"].select("request_id", "status")
     reviews = read["review"].groupBy("request_id").agg(F.count("*").alias("reviews"))

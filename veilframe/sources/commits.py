@@ -15,9 +15,11 @@ from pyspark.sql.types import StructType
 
 from veilframe import schemas
 from veilframe.sources.logs import read_log, write_batch
-from veilframe.sources.storage import delete
+from veilframe.sources.storage import delete, stored_bytes
 
 MANIFEST = "batch string, sinks array<string>, replaces array<string>"
+#: Stored bytes from which on a merge writes more files: a compressed one is read by one task.
+FILE_BYTES = 16 << 20
 
 
 def commit(spark: SparkSession, manifest: str, batch: int | str, sinks: list[str], replaces: list[str] | None = None) -> None:
@@ -50,13 +52,16 @@ def read_committed(spark: SparkSession, path: str, manifest: str, name: str, sch
 
 def merge(spark: SparkSession, paths: Mapping[str, str], sinks: Mapping[str, str], batch: str, files: int = 1) -> int:
     """Merge all committed batches into one, under the key ``batch``; returns how many there were.
-    ``sinks``: name -> schema. What they replace stays readable until ``clean``."""
+    ``sinks``: name -> schema. What they replace stays readable until ``clean``. Each sink gets ``files``
+    files, or more where they would be longer than ``FILE_BYTES``; tasks put together what they read,
+    without a shuffle."""
     live = [r.batch for r in committed(spark, paths["manifest"]).collect()]  # one row a batch
     if len(live) < 2:
         return 0
     for name, schema in sinks.items():
         records = read_committed(spark, paths[name], paths["manifest"], name, schema)
-        write_batch(records.repartition(files), paths[name], batch)
+        held = sum(stored_bytes(spark, f"{paths[name]}/batch_id={key}") for key in live)
+        write_batch(records.coalesce(max(files, -(-held // FILE_BYTES))), paths[name], batch)
     commit(spark, paths["manifest"], batch, list(sinks), sorted(live))
     return len(live)
 

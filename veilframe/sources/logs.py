@@ -33,8 +33,10 @@ def append_log(records: DataFrame, path: str, by_date: bool = False) -> None:
 
 
 def write_batch(records: DataFrame, path: str, batch_id: int | str) -> None:
-    """Write one micro-batch under its own key: a replayed batch replaces itself."""
-    records.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/batch_id={batch_id}")
+    """Write one micro-batch under its own key: a replayed batch replaces itself. Its lines are compressed,
+    as the texts of a log repeat much; readers tell by the name of a file."""
+    writer = records.write.mode("overwrite").option("ignoreNullFields", "false").option("compression", "gzip")
+    writer.json(f"{path}/batch_id={batch_id}")
 
 
 def clear_log(spark: SparkSession, path: str, schema: str = schemas.AUDIT) -> None:

@@ -43,6 +43,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a path; none where there is nothing."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.getContentSummary(target).getLength() if system.exists(target) else 0
+
+
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
     """Intermediate tables written inside lie in one folder that is deleted at the end. What is

@@ -2,11 +2,18 @@
 
 import os
 
+from pyspark.sql import functions as F
+
+from tests.test_requests import frame, request
 from tests.test_trail import record
 from veilframe import schemas
+from veilframe.functions.masking import BUNDLED, Policy
+from veilframe.plans import gateway
 from veilframe.sources import commits, logs
 from veilframe.streaming import requests as streams
 
+_RULES = {("outbound", "private_phone"): ("vault", "v")}
+
 
 def _files(path):
     return sorted(f for base, _, files in os.walk(path) for f in files if f.startswith("part-"))
@@ -43,3 +50,25 @@ def test_large_merges_have_several_files(spark, tmp_path, monkeypatch):
     assert len(_files(f"{paths['audit']}/batch_id=again")) == 1
     ids = {r.request_id for r in commits.read_committed(spark, paths["audit"], paths["manifest"], "audit", schemas.AUDIT).collect()}
     assert ids == {str(i) for i in range(80)} | {"99"}
+
+
+def test_stored_result_holds_what_sinks_take(spark, bank, tmp_path, monkeypatch):
+    context = gateway.Context(policies={n: Policy(n, f"{n}_x", _RULES) for n in BUNDLED})
+    rows = [request(i, "analyst", "sql_query", "SELECT id, phone FROM customers ORDER BY id LIMIT 3") for i in (1, 2)]
+    stored, whole = {}, streams.durable
+
+    def watched(df, name):
+        stored[name] = df.schema
+        return whole(df, name)
+
+    monkeypatch.setattr(streams, "durable", watched)
+    paths = {n: str(tmp_path / n) for n in ("audit", "review", "vault", "held", "totals")}
+    streams.process_batch(frame(spark, rows), 0, bank, paths, context)
+    assert not {"output", "response", "decisions", "outbound_decision", "whole"} & set(stored["log"].names)
+    assert "mutated_text" not in stored["log"]["outbound"].dataType.names
+    log = gateway.run_requests(frame(spark, rows), bank, context)
+    for name, schema, expected in (
+        ("audit", schemas.AUDIT, gateway.audit_rows(log, F.col("ts"))), ("vault", schemas.VAULT, gateway.vault_entries(log, F.col("ts"))),
+    ):
+        got = logs.read_log(spark, paths[name], schema).collect()
+        assert got and sorted(map(str, got)) == sorted(map(str, expected.collect()))

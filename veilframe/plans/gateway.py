@@ -392,14 +392,19 @@ def run_requests(requests: DataFrame, tables: Tables, context: Context = Context
 
 def audit_rows(log: DataFrame, timestamp: Column | None = None, latency_ms: Column | None = None) -> DataFrame:
     """The 17-field audit record: hashes, safe spans and masked texts, no raw text."""
+    return log.select(*audit_columns(timestamp, latency_ms))
+
+
+def audit_columns(timestamp: Column | None = None, latency_ms: Column | None = None) -> list[Column]:
+    """The fields of ``audit_rows``."""
     ts = F.current_timestamp() if timestamp is None else timestamp
     latency = F.lit(0.0) if latency_ms is None else latency_ms
     last = F.element_at(F.col("decisions"), -1)["sanitized_text"]
-    return log.select(
+    return [
         F.coalesce("request_id", hashing.uuid_from(F.col("scan_text"))).alias("request_id"),
         ts.alias("timestamp_utc"),
         hashing.actor(F.col("role"), F.col("user_id").cast("string"), F.col("request_id")).alias("actor"),
-        "tool_name",
+        F.col("tool_name"),
         F.sha2(F.coalesce("scan_text", F.lit("")), 256).alias("raw_query_hash"),
         safe_spans(F.col("inbound_detections")).alias("inbound_detections"),
         F.coalesce("inbound.decisions", empty("array<struct<category:string,action:string,reason:string>>")).alias(
@@ -412,12 +417,24 @@ def audit_rows(log: DataFrame, timestamp: Column | None = None, latency_ms: Colu
             "policy_decisions_outbound"
         ),
         F.when(F.size("decisions") > 1, F.coalesce(last, F.lit(""))).otherwise("").alias("tool_output_final"),
-        "status",
+        F.col("status"),
         latency.cast("double").alias("latency_ms"),
         F.coalesce("inbound.review_queue_id", "outbound.review_queue_id").alias("review_queue_id"),
         policy_version(F.col("policy")).alias("policy_version"),
         F.lit(fixed.MODEL_VERSION).alias("model_version"),
-    )
+    ]
+
+
+def for_sinks(log: DataFrame, timestamp: Column | None = None, latency_ms: Column | None = None, *others: str) -> DataFrame:
+    """What the stored tables take from a result, without the texts that none of them holds: ``audit``, the
+    finished record, the columns that ``review_entries``, ``vault_entries`` and ``audit_totals`` read, and ``others``."""
+
+    def side(name: str) -> Column:
+        fields = [F.col(name)[c].alias(c) for c in ("has_review_flag", "review_queue_id", "review", "original_text_hash", "vault")]
+        return F.when(F.col(name).isNotNull(), F.struct(*fields)).alias(name)
+
+    audit = F.struct(*audit_columns(timestamp, latency_ms)).alias("audit")
+    return log.select("request_id", "ts", "role", "user_id", "tool_name", "gate", "status", "totals", side("inbound"), side("outbound"), audit, *others)
 
 
 def audit_totals(log: DataFrame, timestamp: Column | None = None) -> DataFrame:

@@ -88,14 +88,16 @@ def process_batch(
 
 
 def write_sinks(log: DataFrame, batch_id: int | str, paths: Mapping[str, str], latency_ms: Column | None = None) -> None:
-    """The sinks of a batch from its result, which is stored once: a cached one would keep as many
-    partitions as its last shuffle, and each sink a file for each of them."""
-    log, time = durable(log, "log"), F.col("ts")
+    """The sinks of a batch from its result. What they take from it is stored once: a cached one would
+    keep as many partitions as its last shuffle, and each sink a file for each of them."""
+    time = F.col("ts")
+    payload = held_payload(log.sparkSession) if "held" in paths else F.lit(None).cast("string")
+    log = durable(gateway.for_sinks(log.withColumn("_payload", payload), time, latency_ms, "_payload"), "log")
     if "totals" in paths:
         write_batch(gateway.audit_totals(log, time), paths["totals"], batch_id)
     if "held" in paths:
-        write_batch(held_requests(log), paths["held"], batch_id)
-    write_batch(gateway.audit_rows(log, time, latency_ms), paths["audit"], batch_id)
+        write_batch(_held(log, F.col("_payload")), paths["held"], batch_id)
+    write_batch(log.select("audit.*"), paths["audit"], batch_id)
     write_batch(gateway.review_entries(log, time), paths["review"], batch_id)
     write_batch(gateway.vault_entries(log, time), paths["vault"], batch_id)
     if "manifest" in paths:
@@ -104,9 +106,16 @@ def write_sinks(log: DataFrame, batch_id: int | str, paths: Mapping[str, str], l
 
 def held_requests(log: DataFrame) -> DataFrame:
     """``schemas.HELD``: requests that wait for a review, each with its admission as JSON."""
-    held = log.filter(F.col("gate") == "review_queued")
-    payload = F.to_json(F.struct(*admission(log.sparkSession).names), PAYLOAD)
-    none = F.lit(None).cast("string")
+    return _held(log, held_payload(log.sparkSession))
+
+
+def held_payload(spark: SparkSession) -> Column:
+    """The admission of a request that waits for a review, as JSON; null for others."""
+    return F.when(F.col("gate") == "review_queued", F.to_json(F.struct(*admission(spark).names), PAYLOAD))
+
+
+def _held(log: DataFrame, payload: Column) -> DataFrame:
+    held, none = log.filter(F.col("gate") == "review_queued"), F.lit(None).cast("string")
     return held.select("request_id", "ts", F.lit("request").alias("kind"), none.alias("action"), none.alias("reason"), payload.alias("payload"))
 
 

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from tests.test_requests import frame, request
 from tests.test_trail import record
 from veilframe import schemas
+from veilframe.catalog import streams as catalog
 from veilframe.functions.masking import BUNDLED, Policy
 from veilframe.plans import gateway
 from veilframe.sources import commits, logs
 from veilframe.streaming import requests as streams
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
 _RULES = {("outbound", "private_phone"): ("vault", "v")}
 
 
@@ -72,3 +74,19 @@ def test_stored_result_holds_what_sinks_take(spark, bank, tmp_path, monkeypatch)
     ):
         got = logs.read_log(spark, paths[name], schema).collect()
         assert got and sorted(map(str, got)) == sorted(map(str, expected.collect()))
+
+
+def test_ids_of_the_stream_are_kept_outside_the_heap(spark, sf, monkeypatch):
+    usual, seen = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider", []
+
+    def started(*a, **k):
+        seen.append(spark.conf.get(_STORE))
+        raise KeyError
+
+    monkeypatch.setattr(catalog.streams, "start_gateway", started)
+    with streams.set_for(spark, {_STORE: usual}):
+        try:
+            catalog.stream_gateway(spark, sf)
+        except KeyError:
+            pass
+        assert seen == [catalog._ROCKS] and spark.conf.get(_STORE) == usual

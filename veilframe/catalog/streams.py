@@ -53,10 +53,15 @@ ORACLES["stream_admission"] = log_sql(
 def stream_gateway(spark: SparkSession, sf: str) -> DataFrame:
     """All stages per micro-batch; audit records with the entries written beside them."""
     paths = {name: new_path(spark, name) for name in ("audit", "review", "vault")}
-    query = streams.start_gateway(
-        _request_stream(spark, sf), fixtures.bank(sf), paths, new_path(spark, "position"), "40 days", once=True
-    )
-    query.awaitTermination()
+    before = spark.conf.get(_STORE)
+    spark.conf.set(_STORE, _ROCKS)  # ids of weeks do not fit the heap
+    try:
+        query = streams.start_gateway(
+            _request_stream(spark, sf), fixtures.bank(sf), paths, new_path(spark, "position"), "40 days", once=True
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set(_STORE, before)
     from veilframe import schemas
 
     records = logs.read_log(spark, paths["audit"])
